@@ -6,14 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_counts, token_store
+from . import decontamination, packing, secrets, sharding, simhash, token_counts, token_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op1_secret_links": secrets.op1_secret_links,
+    "op2_winnow_decontamination": decontamination.op2_winnow_decontamination,
     "op3_wavelet_store": token_store.op3_wavelet_store,
     "op6_digest_counts": token_counts.op6_digest_counts,
+    "op7_simhash_groups": simhash.op7_simhash_groups,
+    "op8_two_pass_shards": sharding.op8_two_pass_shards,
     "op9_nnls_packing": packing.op9_nnls_packing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_secret_links": secrets.SQL,
+    "op2_winnow_decontamination": decontamination.SQL,
+}
