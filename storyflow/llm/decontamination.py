@@ -67,9 +67,10 @@ def _windows(df: DataFrame, length: int, *keep: str) -> DataFrame:
     return df.where(F.size("words") >= length).select(*keep, F.explode(spans).alias("w")).select(*keep, F.lit(length).alias("length"), "w.s", "w.a", "w.b")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, k: int = GRAM) -> DataFrame:
-    """``doc_id, n_words, n_hit, items`` (ids as sorted strings) of each row of ``docs``
-    (doc_id, text) against the items of ``benchmark`` (item_id, text)."""
+def find_hits(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, k: int = GRAM) -> tuple[DataFrame, DataFrame]:
+    """What ``docs`` (doc_id, text) share with ``benchmark`` (item_id, text): of every row
+    ``doc_id, th`` (its text's hash) ``, n_words``, and of each text with a hit, once,
+    ``doc_id, th, n_hit, items`` (ids as sorted strings)."""
     items = common.saved(benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), common.words(F.col("text")).alias("words")).where(F.size("words") > 0).distinct())
     short = [r["n"] for r in items.select(F.size("words").alias("n")).where(F.col("n") < window).distinct().collect()]  # under `window` rows
     scheme = _scheme(short, window, k)
@@ -110,8 +111,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     sets = matched.select("doc_id", "th", "items_key").distinct().join(shared.select("items_key", "items").dropDuplicates(["items_key"]), "items_key")
     named = sets.select("doc_id", "th", F.explode("items").alias("item")).groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("item")).alias("items"))
     both = hit.alias("h").join(named.alias("i"), F.expr("h.doc_id <=> i.doc_id AND h.th = i.th")).select("h.doc_id", "h.th", "n_hit", "items")
-    both = common.saved(both)
-    return marked.select("doc_id", "th", "n_words").alias("m").join(both.alias("b"), F.expr("m.doc_id <=> b.doc_id AND m.th = b.th"), "left").select("m.doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return marked.select("doc_id", "th", "n_words"), common.saved(both)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """``doc_id, n_words, n_hit, items`` (ids as sorted strings) of each row of ``docs``."""
+    marked, both = find_hits(docs, benchmark, **options)
+    joined = marked.alias("m").join(both.alias("b"), F.expr("m.doc_id <=> b.doc_id AND m.th = b.th"), "left")
+    return joined.select("m.doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """``docs`` without the rows whose text shares a window with an item."""
+    _, hits = find_hits(docs, benchmark, **options)
+    return docs.alias("d").join(hits.alias("h"), (F.col("d.doc_id").cast("long").eqNullSafe(F.col("h.doc_id"))) & (F.xxhash64("d.text") == F.col("h.th")), "left_anti")
 
 
 def op2_winnow_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

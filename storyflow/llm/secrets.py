@@ -77,9 +77,10 @@ def _any(tests: list[Column]) -> Column:
     return out
 
 
-def scan(docs: DataFrame, *, scope: int = SCOPE) -> DataFrame:
-    """``doc_id, found`` of each row of ``docs`` (doc_id, text): an array of structs start,
-    kind (its number in KINDS), end, in that order, of all reported spans."""
+def find_spans(docs: DataFrame, *, scope: int = SCOPE) -> tuple[DataFrame, DataFrame]:
+    """Of every row of ``docs`` (doc_id, text) ``doc_id, th`` (its text's hash), and of each
+    text with a reported span, once, ``doc_id, th, found``: an array of structs start, kind
+    (its number in KINDS), end, in that order."""
     text = common.text_of()
     scanned = common.saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), _all_matches(text).alias("parts")))
     own = ["doc_id", "th"]
@@ -99,7 +100,31 @@ def scan(docs: DataFrame, *, scope: int = SCOPE) -> DataFrame:
     )
     reported = rows.where(F.col("kind") < STRONG).select(*own, "start", "kind", "end").unionByName(linked.select(*own, "start", "kind", "end").distinct())
     found = reported.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("found"))
-    return scanned.select(*own).alias("s").join(found.alias("f"), F.expr("s.doc_id <=> f.doc_id AND s.th = f.th"), "left").select("s.doc_id", F.coalesce("found", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")).alias("found"))
+    return scanned.select(*own), found
+
+
+def scan(docs: DataFrame, **options) -> DataFrame:
+    """``doc_id, found`` of each row of ``docs``: see :func:`find_spans`."""
+    rows, found = find_spans(docs, **options)
+    joined = rows.alias("s").join(found.alias("f"), F.expr("s.doc_id <=> f.doc_id AND s.th = f.th"), "left")
+    return joined.select("s.doc_id", F.coalesce("found", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")).alias("found"))
+
+
+def redact(docs: DataFrame, *, mark: str = "[SECRET]", **options) -> DataFrame:
+    """``docs`` with every reported span of its text replaced by ``mark``, spans that overlap
+    by one.  A column n_chars, if there is one, follows the text."""
+    _, found = find_spans(docs, **options)
+    empty = F.array().cast("array<struct<s:bigint,e:bigint>>")
+    last = lambda acc: F.element_at(acc, -1)
+    span = lambda s, e: F.struct(s.alias("s"), e.alias("e"))
+    add = lambda acc, x: F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["e"] > x["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(span(last(acc)["s"], F.greatest(last(acc)["e"], x["end"]))))).otherwise(F.concat(acc, F.array(span(x["start"], x["end"]))))
+    merged = common.saved(found.select("doc_id", "th", F.aggregate("found", empty, add).alias("cut")))
+    text = F.col("d.text")
+    gap = lambda i: F.substring(text, (F.coalesce(F.get("cut", i - 1)["e"], F.lit(0)) + 1).cast("int"), (F.coalesce(F.get("cut", i)["s"], F.char_length(text)) - F.coalesce(F.get("cut", i - 1)["e"], F.lit(0))).cast("int"))
+    clean = F.when(F.col("cut").isNull(), text).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.size("cut")), gap), mark))
+    joined = docs.alias("d").join(merged.alias("f"), (F.col("d.doc_id").cast("long").eqNullSafe(F.col("f.doc_id"))) & (F.xxhash64(text) == F.col("f.th")), "left")
+    out = joined.select(*[clean.alias(c) if c == "text" else F.col(f"d.`{c}`") for c in docs.columns])
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def _joined(spans: Column) -> Column:

@@ -37,7 +37,8 @@ SEED = 42
 
 
 def fingerprints(docs: DataFrame, *, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """``doc_id, fp`` (the 64 bits as a signed long) of each row of ``docs`` (doc_id, text)."""
+    """``doc_id, th`` (the text's hash) ``, fp`` (the 64 bits as a signed long) of each row of
+    ``docs`` (doc_id, text)."""
 
     def run(batches):
         import numpy as np
@@ -60,10 +61,10 @@ def fingerprints(docs: DataFrame, *, shingle: int = SHINGLE, seed: int = SEED) -
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                fps = np.array([fingerprint(t) for t in part.column(1).to_pylist()], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps)], names=["doc_id", "fp"])
+                fps = np.array([fingerprint(t) for t in part.column(2).to_pylist()], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps)], names=["doc_id", "th", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def block_keys(bits: int = BITS, blocks: int = BLOCKS) -> list[int]:
@@ -119,15 +120,30 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, bits: int = BITS, blocks: int = BLOCKS, seed: int = SEED, crowd: int = CROWD) -> DataFrame:
-    """``doc_id, fp, component_id`` of each row of ``docs`` (doc_id, text); a component's id
-    is its smallest doc_id."""
+    """``doc_id, th, fp, root, component_id`` of each row of ``docs`` (doc_id, text): ``root``
+    names its component, ``component_id`` is that component's smallest doc_id."""
     marked = common.saved(fingerprints(docs, shingle=shingle, seed=seed))
     per_fp = common.saved(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(per_fp.select("fp"), bits=bits, blocks=blocks, crowd=crowd)).withColumnRenamed("node", "fp")
     rooted = common.saved(per_fp.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(ids, "root").select("fp", "root", "component_id")
+    return marked.join(named, "fp").select("doc_id", "th", "fp", "root", "component_id")
+
+
+def keep_first(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest doc_id."""
+    found = near_duplicates(docs, **options)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("k"))
+    first = common.saved(first.select("k.doc_id", "k.th"))
+    mine = F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.doc_id")) & (F.xxhash64("d.text") == F.col("k.th"))
+    kept = docs.alias("d").join(first.alias("k"), mine, "left_semi")
+    # Rows that repeat both id and text are one document: told apart only where there are any.
+    again = common.saved(found.groupBy("doc_id", "th").count().where("count > 1").select("doc_id", "th"))
+    if again.first() is None:
+        return kept
+    repeats = kept.alias("d").join(again.alias("k"), mine, "left_semi").withColumn("th", F.xxhash64("text")).dropDuplicates(["doc_id", "th"]).select(*docs.columns)
+    return kept.alias("d").join(again.alias("k"), mine, "left_anti").unionByName(repeats)
 
 
 def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
