@@ -53,7 +53,11 @@ def _scheme(lengths: list[int], window: int, k: int) -> list[tuple[int, int]]:
 def _kept(df: DataFrame, scheme: list[tuple[int, int]]) -> DataFrame:
     """Replaces the column words by fps: structs of gram length and kept hash."""
     df = df.withColumns({f"g{k}": gram_hashes(F.col("words"), k) for k, _ in scheme})
-    return df.withColumn("fps", F.concat(*[F.transform(winnowed(F.col(f"g{k}"), span), lambda h, k=k: F.struct(F.lit(k).alias("k"), h.alias("h"))) for k, span in scheme])) if len(scheme) > 1 else df.withColumn("fps", winnowed(F.col(f"g{scheme[0][0]}"), scheme[0][1]))
+    kept = [winnowed(F.col(f"g{k}"), span) for k, span in scheme]
+    if len(scheme) == 1:
+        return df.withColumn("fps", kept[0])
+    tagged = lambda k: lambda h: F.struct(F.lit(k).alias("k"), h.alias("h"))
+    return df.withColumn("fps", F.concat(*[F.transform(c, tagged(k)) for c, (k, _) in zip(kept, scheme)]))
 
 
 def _exploded(df: DataFrame, scheme: list[tuple[int, int]], *keep: str) -> DataFrame:

@@ -91,9 +91,12 @@ def links(fps: DataFrame, *, bits: int = BITS, blocks: int = BLOCKS, crowd: int
     crowded = keyed.join(sizes.where(F.col("c") > crowd), ["i", "v"], "left_semi").select("fp").distinct()
     flips = F.array(*[F.lit(0).cast("long"), *[F.lit((1 << i) - (1 << 64) if i == 63 else 1 << i) for i in range(64)]])
     around = crowded.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("mid"))
-    # At most 65 fingerprints lie within one bit of a midpoint: linked to the least of them.
-    stars = around.groupBy("mid").agg(F.min("fp").alias("a"), F.collect_list("fp").alias("members")).where(F.size("members") > 1)
-    stars = stars.select("a", F.explode("members").alias("b")).where((F.col("a") != F.col("b")) & near)
+    if bits == 2:
+        # At most 65 fingerprints lie within one bit of a midpoint: linked to the least of them.
+        stars = around.groupBy("mid").agg(F.min("fp").alias("a"), F.collect_list("fp").alias("members")).where(F.size("members") > 1)
+        stars = stars.select("a", F.explode("members").alias("b")).where((F.col("a") != F.col("b")) & near)
+    else:
+        stars = around.where("fp != mid").select(F.col("fp").alias("a"), F.col("mid").alias("b")).join(fps.select(F.col("fp").alias("b")), "b", "left_semi").where(near).select("a", "b")
     return pairs.unionByName(stars).distinct()
 
 
