@@ -44,7 +44,8 @@ def scored(df: DataFrame, lexicon=default.LEXICON, columns: tuple[tuple[str, int
         found = F.array_intersect(word_runs(classifier_text(name), longest), table)
         part = _weighted(found, lookup, times)
         hits = part if hits is None else F.concat(hits, part)
-    df = df.withColumn("_hits", hits)
+    # Through explode, so that the optimiser cannot copy the scan of the text into what reads it.
+    df = df.select("*", F.explode(F.array(hits)).alias("_hits"))
     names = [c for c, _, _ in lexicon]
     total = lambda c: F.aggregate(F.filter("_hits", lambda h: h["category"] == c), F.lit(0), lambda s, h: s + h["points"])
     scores = F.filter(F.transform(F.array(*map(F.lit, names)), lambda c: F.struct(c.alias("key"), total(c).alias("value"))), lambda e: e["value"] > 0)
@@ -66,7 +67,7 @@ def classified(df: DataFrame, lexicon=default.LEXICON, breaking=default.BREAKING
     df = scored(df, lexicon)
     entry = lambda e: F.struct(e["value"].alias("score"), F.element_at(priorities, e["key"]).alias("priority"), e["key"].alias("category"))
     ranked = F.reverse(F.array_sort(F.transform(F.map_entries("scores"), entry)))
-    df = df.withColumn("_ranked", ranked)
+    df = df.select("*", F.explode(F.array(ranked)).alias("_ranked"))
     top, second = F.get("_ranked", F.lit(0)), F.get("_ranked", F.lit(1))
     won = F.coalesce(top["score"] >= minimum, F.lit(False))
     floor = F.greatest(F.lit(minimum), F.bround(top["score"] * 0.5).cast("int"))

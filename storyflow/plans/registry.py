@@ -19,7 +19,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[name] = f
         if sql:
-            SQL[name] = f"WITH {VIEWS}\n{sql}"
+            SQL[name] = f"WITH RECURSIVE {VIEWS}\n{sql}"
         return f
 
     return add
@@ -52,6 +52,6 @@ def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-VIEWS = r"""stories AS (SELECT doc_id AS pos, coalesce(string_split(text, chr(10))[1], '') AS title, coalesce(string_split(text, chr(10))[2], '') AS summary,
+VIEWS = r"""stories AS MATERIALIZED (SELECT doc_id AS pos, coalesce(string_split(text, chr(10))[1], '') AS title, coalesce(string_split(text, chr(10))[2], '') AS summary,
   coalesce(text, '') AS body, source, lang, TIMESTAMP '2024-01-01' + to_hours(CAST(doc_id AS INTEGER)) AS published,
   'https://www.' || source || '.Example.com//news/' || CAST(doc_id % 700 AS VARCHAR) || '/?utm_source=feed&page=' || CAST(doc_id % 3 AS VARCHAR) || '#top' AS url FROM documents)"""

@@ -119,14 +119,17 @@ def story_search(spark, sf):
 
 _MULT = {"title": 3, "summary": 2, "body": 1}
 _WEIGHTS = ", ".join(f"('{cat}', {p}, '{w}', {n})" for cat, p, ws in FIXTURE_LEXICON for w, n in ws.items())
+_KEYWORDS = sorted({w for _, _, ws in FIXTURE_LEXICON for w in ws})
+_MULT_SQL = " UNION ALL ".join(f"SELECT pos, '{w}' AS keyword, {' + '.join(f'CASE WHEN {_has(sec, [w])} THEN {n} ELSE 0 END' for sec, n in _MULT.items())} AS times FROM t" for w in _KEYWORDS)
 _CLASS_SQL = f"""lx(category, priority, keyword, weight) AS (VALUES {_WEIGHTS}),
-t AS (SELECT pos, {_classifier('title')} AS title, {_classifier('summary')} AS summary, {_classifier('body')} AS body, {_classifier("concat_ws(' ', title, summary, body)")} AS whole FROM stories),
-h AS (SELECT pos, category, priority, keyword, weight * ({" + ".join(rf"CASE WHEN regexp_matches({s}, '(^|[^\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}])' || keyword || '([^\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}]|$)') THEN {m} ELSE 0 END" for s, m in _MULT.items())}) AS points FROM t, lx),
+t AS MATERIALIZED (SELECT pos, {_classifier('title')} AS title, {_classifier('summary')} AS summary, {_classifier('body')} AS body, {_classifier("concat_ws(' ', title, summary, body)")} AS whole FROM stories),
+m AS ({_MULT_SQL}),
+h AS MATERIALIZED (SELECT pos, category, priority, keyword, weight * times AS points FROM m JOIN lx USING (keyword)),
 sc AS (SELECT pos, category, priority, sum(points)::INT AS score FROM h GROUP BY ALL HAVING sum(points) > 0),
 rk AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY score DESC, priority DESC, category DESC) AS n FROM sc),
 top AS (SELECT a.pos, a.category, a.priority, a.score, coalesce(b.score, 0) AS second FROM rk AS a LEFT JOIN rk AS b ON b.pos = a.pos AND b.n = 2 WHERE a.n = 1),
 oth AS (SELECT rk.pos, string_agg(rk.category, ',' ORDER BY rk.n) AS secondary FROM rk JOIN top USING (pos) WHERE rk.n > 1 AND rk.score >= greatest(5, round_even(top.score * 0.5, 0)) AND rk.n <= 4 GROUP BY rk.pos),
-cl AS (SELECT t.pos, coalesce(top.score >= 5, FALSE) AS won, coalesce(CASE WHEN top.score >= 5 THEN top.category END, 'Other') AS "primary",
+cl AS MATERIALIZED (SELECT t.pos, coalesce(top.score >= 5, FALSE) AS won, coalesce(CASE WHEN top.score >= 5 THEN top.category END, 'Other') AS "primary",
  CASE WHEN top.score >= 5 THEN top.score ELSE 0 END AS score, coalesce(CASE WHEN top.score >= 5 THEN secondary END, '') AS secondary,
  CASE WHEN top.score >= 5 THEN round_even(least(1.0::DOUBLE, top.score / 40.0::DOUBLE) * 0.65::DOUBLE + (top.score - second) / top.score::DOUBLE * 0.35::DOUBLE, 2) ELSE 0 END AS confidence,
  CASE WHEN top.score >= 5 THEN least(100, top.priority + CASE WHEN top.score >= 40 THEN 5 ELSE 0 END + CASE WHEN top.score >= 70 THEN 5 ELSE 0 END) ELSE 25 END AS priority,
@@ -142,8 +145,8 @@ def classification(spark, sf):
     return _classified(spark, sf).select("pos", "primary", F.array_join("secondary", ",").alias("secondary"), "score", "confidence", "priority", "breaking")
 
 
-@query("a9_matched_keywords", f""", {_CLASS_SQL}, m AS (SELECT pos, keyword, max(points)::INT AS points FROM h WHERE points > 0 GROUP BY ALL)
-SELECT pos, string_agg(keyword || '=' || points, ',' ORDER BY keyword) AS matched FROM m GROUP BY pos""")
+@query("a9_matched_keywords", f""", {_CLASS_SQL}, mk AS (SELECT pos, keyword, max(points)::INT AS points FROM h WHERE points > 0 GROUP BY ALL)
+SELECT pos, string_agg(keyword || '=' || points, ',' ORDER BY keyword) AS matched FROM mk GROUP BY pos""")
 def matched_keywords(spark, sf):
     pairs = F.transform(F.array_sort(F.map_entries("matched")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
     return classify.scored(stories(spark, sf), FIXTURE_LEXICON).select("pos", F.array_join(pairs, ",").alias("matched")).where("matched <> ''")
@@ -172,7 +175,7 @@ def locality(spark, sf):
     return stories(spark, sf).select("pos", classify.locality("title", "source", ("thea", "los"), ("the", "la"), ("inner", "outer")).alias("locality"))
 
 
-@query("flagship_front_page", f""", {_CLASS_SQL}, fp AS (SELECT pos, sha256({c(rf"regexp_replace({fold("title || ' ' || body")}, '[^\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}\s]', '', 'g')")}) AS f FROM stories),
+@query("flagship_front_page", f""", {_CLASS_SQL}, fp AS MATERIALIZED (SELECT pos, sha256({c(rf"regexp_replace({fold("title || ' ' || body")}, '[^\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}\s]', '', 'g')")}) AS f FROM stories),
  kept AS (SELECT min(pos) AS pos FROM fp GROUP BY f)
 SELECT "primary", CASE WHEN priority >= 90 THEN 1 WHEN priority >= 75 THEN 2 WHEN priority >= 60 THEN 3 WHEN priority >= 50 THEN 4 ELSE 5 END AS homepage_rank, count(*) AS stories, count(*) FILTER (breaking) AS breaking, sum(score)::BIGINT AS score
 FROM cl JOIN kept USING (pos) GROUP BY ALL""")
@@ -235,10 +238,10 @@ def listing_join(spark, sf):
     return table(spark, sf, "documents").join(lab, "doc_id", "left").select("doc_id", "quality", F.coalesce("stored", F.lit(False)).alias("stored"))
 
 
-@query("j2_overlay", "SELECT pos, CASE WHEN pos % 2 = 0 THEN CASE WHEN pos % 4 = 0 THEN '' ELSE upper(title) END ELSE title END AS title, CASE WHEN pos % 2 = 0 AND pos % 6 <> 0 THEN 'd' ELSE lang END AS areas FROM stories")
+@query("j2_overlay", "SELECT pos, CASE WHEN pos % 2 = 0 THEN CASE WHEN pos % 4 = 0 THEN '' ELSE reverse(title) END ELSE title END AS title, CASE WHEN pos % 2 = 0 AND pos % 6 <> 0 THEN 'd' ELSE lang END AS areas FROM stories")
 def overlay(spark, sf):
     s = stories(spark, sf).select("pos", "title", F.array("lang").alias("areas"))
-    d = s.where("pos % 2 = 0").select("pos", F.when(F.col("pos") % 4 == 0, "").otherwise(F.upper("title")).alias("title"), F.when(F.col("pos") % 6 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("d"))).alias("areas"))
+    d = s.where("pos % 2 = 0").select("pos", F.when(F.col("pos") % 4 == 0, "").otherwise(F.reverse("title")).alias("title"), F.when(F.col("pos") % 6 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("d"))).alias("areas"))
     return joins.overlay(s, d, "pos", ("areas",)).select("pos", "title", F.array_join("areas", ",").alias("areas"))
 
 
@@ -326,7 +329,7 @@ def store_summary(spark, sf):
 @query("a4_health_pivot", "SELECT count(*) AS sources, count(*) FILTER (n > 60) AS busy, count(*) FILTER (n <= 60 AND n > 20) AS some, count(*) FILTER (n <= 20) AS few, sum(n)::BIGINT AS stories FROM (SELECT source, count(*) AS n FROM stories GROUP BY source)")
 def health_pivot(spark, sf):
     g = stories(spark, sf).groupBy("source").agg(F.count("*").alias("n"))
-    return g.agg(F.count("*").alias("sources"), F.count_if("n > 60").alias("busy"), F.count_if("n <= 60 AND n > 20").alias("some"), F.count_if("n <= 20").alias("few"), F.sum("n").alias("stories"))
+    return g.agg(F.count("*").alias("sources"), F.count_if(F.expr("n > 60")).alias("busy"), F.count_if(F.expr("n <= 60 AND n > 20")).alias("some"), F.count_if(F.expr("n <= 20")).alias("few"), F.sum("n").alias("stories"))
 
 
 @query("a5_completeness", "SELECT source, count(*) FILTER (length(body) >= 1000) AS complete, count(*) FILTER (length(body) < 1000) AS incomplete, bool_and(length(body) > 5) AS every_, bool_or(length(body) > 9000) AS some_ FROM stories GROUP BY source")
