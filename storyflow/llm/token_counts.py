@@ -79,7 +79,8 @@ def count_tokens(docs: DataFrame, cache: str | None = None, *, tokenizer: str =
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([name] * part.num_rows), pa.array(count(part.column(1).to_pylist()), pa.int64())], names=["digest", "version", "n_tokens"])
 
     misses.mapInArrow(encode, CACHE).write.mode("append").parquet(folder)
-    counts = _cache(spark, folder).where(F.col("version") == name).select("digest", "n_tokens").dropDuplicates(["digest"])
+    # Written, so that the join below deals both sides anew and Spark can split a hot digest.
+    counts = common.saved(_cache(spark, folder).where(F.col("version") == name).select("digest", "n_tokens").dropDuplicates(["digest"]))
     return docs.select("doc_id", "n_bytes", digest).join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
 
 
