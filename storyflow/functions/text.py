@@ -116,7 +116,7 @@ def paragraphs(c: Column | str) -> Column:
 def terminal_punctuation(c: Column | str) -> Column:
     """Adds a full stop unless the text ends with a mark."""
     text = F.trim(blank(c))
-    return F.when((text == "") | text.rlike("[.!?…:;\"”]$"), text).otherwise(F.concat(text, F.lit(".")))
+    return F.when((text == "") | text.rlike("[.!?:;”\"’]$"), text).otherwise(F.concat(text, F.lit(".")))
 
 
 def substantially_same(a: Column, b: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers
 from ..functions.text import casefold
-from ..operators import filters, publish
+from ..operators import editing, filters, publish
 from ..streaming import state
 from .registry import query, stories, table
 from .text_queries import c, fold
@@ -27,7 +27,7 @@ def html_and_markdown(spark, sf):
     return stories(spark, sf).select("pos", F.sha2(publish.markdown("title", "body"), 256).alias("markdown"), F.sha2(publish.html_page("title", "body"), 256).alias("html"))
 
 
-@query("p7_breaking", f"""SELECT pos, 'BREAKING: ' || {c('title')} || chr(10) || chr(10) || CASE WHEN s = '' OR regexp_matches(s, '[.!?…:;\"”]$') THEN s ELSE s || '.' END AS breaking FROM (SELECT pos, title, CASE WHEN len(string_split({c('summary')}, ' ')) <= 55 THEN {c('summary')} ELSE rtrim(array_to_string(string_split({c('summary')}, ' ')[1:55], ' '), ' ,;:-') || '…' END AS s FROM stories)""")
+@query("p7_breaking", f"""SELECT pos, 'BREAKING: ' || {c('title')} || chr(10) || chr(10) || CASE WHEN s = '' OR regexp_matches(s, '[.!?:;”\"’]$') THEN s ELSE s || '.' END AS breaking FROM (SELECT pos, title, CASE WHEN len(string_split({c('summary')}, ' ')) <= 55 THEN {c('summary')} ELSE rtrim(array_to_string(string_split({c('summary')}, ' ')[1:55], ' '), ' ,;:-') || '…' END AS s FROM stories)""")
 def breaking(spark, sf):
     return stories(spark, sf).select("pos", publish.breaking("title", "summary").alias("breaking"))
 
@@ -35,7 +35,7 @@ def breaking(spark, sf):
 @query("p5_newsletter", f"""SELECT pos, length(t) AS n, sha256(t) AS text FROM (SELECT pos, list_reduce(list_concat([{c('title')}], {_PS}[1:4]), lambda s, p: CASE WHEN length(s) + 2 + length(p) <= 1800 THEN s || chr(10) || chr(10) || p ELSE s END) AS t FROM stories WHERE NOT regexp_matches({c('body')}, '^["“]'))""")
 def newsletter(spark, sf):
     t = publish.newsletter("title", "body")
-    return stories(spark, sf).where(~F.trim("body").rlike('^["“]')).select("pos", F.char_length(t).alias("n"), F.sha2(t, 256).alias("text"))
+    return stories(spark, sf).where(~F.trim("body").rlike('^["“]')).select("pos", F.char_length(t).cast("long").alias("n"), F.sha2(t, 256).alias("text"))
 
 
 @query("n50_cards", f"SELECT pos, CASE WHEN length({c('body')}) > 190 THEN substr({c('body')}, 1, 187) || '...' ELSE {c('body')} END AS card, CASE WHEN pos % 3 = 0 THEN 'no image' WHEN pos % 2 = 0 THEN 'approved' ELSE 'not reviewed' END AS rights FROM stories")
@@ -61,13 +61,13 @@ def meaningful_summaries(spark, sf):
 @query("o2_oldest_first", "SELECT pos, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN lang <> 'es' THEN published END ASC NULLS FIRST, pos) AS oldest, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN lang <> 'es' THEN published END ASC NULLS LAST, pos) AS oldest_last FROM stories")
 def oldest_first(spark, sf):
     s = stories(spark, sf).withColumn("t", F.when(F.col("lang") != "es", F.col("published")))
-    by = lambda order: F.row_number().over(Window.partitionBy("source").orderBy(order, "pos"))
+    by = lambda order: F.row_number().over(Window.partitionBy("source").orderBy(order, "pos")).cast("long")
     return s.select("pos", by(F.asc_nulls_first("t")).alias("oldest"), by(F.asc_nulls_last("t")).alias("oldest_last"))
 
 
 @query("o4_title_order", f"SELECT pos, row_number() OVER (PARTITION BY source ORDER BY encode({fold('title')}), pos) AS rank FROM stories")
 def title_order(spark, sf):
-    return stories(spark, sf).select("pos", F.row_number().over(Window.partitionBy("source").orderBy(casefold("title"), "pos")).alias("rank"))
+    return stories(spark, sf).select("pos", F.row_number().over(Window.partitionBy("source").orderBy(casefold("title"), "pos")).cast("long").alias("rank"))
 
 
 @query("a7_run_statistics", """SELECT event_type, count(*) AS attempted, count(*) FILTER (value > 50) AS succeeded, CASE WHEN count(*) > 0 THEN round_even(count(*) FILTER (value > 50) / count(*) * 100, 2) ELSE 0 END AS success_rate, greatest(0, count(*) - 1000) AS over_limit FROM events GROUP BY event_type""")
@@ -82,3 +82,12 @@ def union_all(spark, sf):
     rest = d.where("lang = 'de'").select("doc_id", "source")
     all_ = d.unionByName(rest, allowMissingColumns=True).unionByName(table(spark, sf, "labels").select("doc_id"), allowMissingColumns=True)
     return all_.groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query("n21_house_style")
+def house_style(spark, sf):
+    """Every body in house style, short paragraphs merged; tested by hand, there is no SQL."""
+    from ..functions.text import paragraphs
+
+    edited = F.transform(paragraphs("body"), lambda p: editing.without_repeats(editing.house_style(p)))
+    return stories(spark, sf).select("pos", F.array_join(editing.merged(edited), "\n\n").alias("body"))

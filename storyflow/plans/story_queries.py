@@ -349,7 +349,7 @@ def page_order(spark, sf):
  user_id - lag(user_id) OVER (PARTITION BY event_type ORDER BY event_id) AS change, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS n FROM events) WHERE n <= 5""")
 def latest_runs(spark, sf):
     runs = table(spark, sf, "events").select(F.col("event_type").alias("module"), F.col("event_id").alias("started_at"), F.col("user_id").alias("found"))
-    return store.latest_runs(runs)
+    return store.latest_runs(runs).withColumn("n", F.col("n").cast("long"))
 
 
 @query("o1_newest_first", f"SELECT row_number() OVER (ORDER BY CASE WHEN lang = 'es' THEN NULL ELSE date_trunc('day', published) END DESC NULLS LAST, encode({fold('title')}) DESC, pos) AS rank, pos FROM stories")
@@ -357,7 +357,7 @@ def newest_first(spark, sf):
     s = stories(spark, sf).withColumn("day", F.when(F.col("lang") != "es", F.date_trunc("day", "published")))
     ordered = ordering.newest_first(s, "day")
     w = Window.orderBy(F.desc_nulls_last("day"), text.casefold("title").desc(), "pos")
-    return ordered.select(F.row_number().over(w).alias("rank"), "pos")
+    return ordered.select(F.row_number().over(w).cast("long").alias("rank"), "pos")
 
 
 @query("o7_top_per_source", f"SELECT pos, source FROM (SELECT pos, source, row_number() OVER (PARTITION BY source ORDER BY length(body) DESC, pos) AS n FROM stories) WHERE n <= 3")

@@ -75,10 +75,10 @@ def story_statistics(spark, sf):
 @query("n16_paragraphs", f"""SELECT pos, len(p) AS n, array_to_string(p, '¶') AS joined FROM (SELECT pos, list_filter(list_transform(string_split(trim(body), chr(10)), lambda x: {c('x')}), lambda x: x <> '') AS p FROM stories)""")
 def paragraph_lists(spark, sf):
     p = text.paragraphs("body")
-    return stories(spark, sf).select("pos", F.size(p).alias("n"), F.array_join(p, "¶").alias("joined"))
+    return stories(spark, sf).select("pos", F.size(p).cast("long").alias("n"), F.array_join(p, "¶").alias("joined"))
 
 
-@query("n24_terminal_punctuation", "SELECT pos, CASE WHEN trim(title) = '' OR regexp_matches(trim(title), '[.!?…:;\"”]$') THEN trim(title) ELSE trim(title) || '.' END AS ended FROM stories")
+@query("n24_terminal_punctuation", "SELECT pos, CASE WHEN trim(title) = '' OR regexp_matches(trim(title), '[.!?:;”\"’]$') THEN trim(title) ELSE trim(title) || '.' END AS ended FROM stories")
 def ended(spark, sf):
     return stories(spark, sf).select("pos", text.terminal_punctuation("title").alias("ended"))
 
