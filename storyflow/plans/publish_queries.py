@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..data.boilerplate import BOILERPLATE_LINES
 from ..functions import numbers
 from ..functions.text import casefold
-from ..operators import editing, filters, publish
+from ..operators import editing, filters, images, publish
 from ..streaming import state
 from .registry import query, stories, table
 from .text_queries import c, fold
@@ -91,3 +92,50 @@ def house_style(spark, sf):
 
     edited = F.transform(paragraphs("body"), lambda p: editing.without_repeats(editing.house_style(p)))
     return stories(spark, sf).select("pos", F.array_join(editing.merged(edited), "\n\n").alias("body"))
+
+
+_BOILER = ", ".join(f"'{x}'" for x in BOILERPLATE_LINES)
+
+
+@query("x4_own_lines", rf"""SELECT pos, array_to_string(list_filter(list_transform(string_split(body, chr(10)), lambda x: {c('x')}), lambda t: NOT (length(t) < 2 OR {fold('t')} IN ({_BOILER})
+ OR regexp_matches(t, '(?i)^(published|updated|posted|date|author|by|category|tags?|location|share)\s*:') OR regexp_matches(t, '^\d{{1,2}}(st|nd|rd|th)? [A-Z][a-z]+ \d{{4}}$|^\d{{1,2}}/\d{{1,2}}/\d{{4}}$|^\d{{1,2}}:\d{{2}}( ?[ap]m)?$'))), chr(10)) AS body FROM stories""")
+def own_lines(spark, sf):
+    return stories(spark, sf).select("pos", F.array_join(images.own_lines("body"), "\n").alias("body"))
+
+
+@query("x8_best_images", """SELECT pos, CASE WHEN pos % 5 = 0 THEN 'https://x.org/meta.jpg' WHEN pos % 3 = 0 THEN 'https://x.org/wide.jpg' WHEN pos % 7 = 0 THEN 'https://x.org/small.jpg' END AS image FROM stories""")
+def best_images(spark, sf):
+    p = F.col("pos")
+    one = lambda url, w, h, meta: F.struct(F.lit(url).alias("url"), w.alias("width"), h.alias("height"), F.lit(meta).alias("metadata"))
+    some = F.filter(
+        F.array(
+            F.when(p % 7 == 0, one("https://x.org/small.jpg", F.lit(100), F.lit(80), False)),
+            F.when(p % 3 == 0, one("https://x.org/wide.jpg", F.lit(900), F.lit(0), False)),
+            F.when(p % 5 == 0, one("https://x.org/meta.jpg", F.lit(0), F.lit(0), True)),
+            one("https://x.org/site-logo.png", F.lit(2000), F.lit(2000), False),
+        ),
+        lambda x: x.isNotNull(),
+    )
+    return stories(spark, sf).select("pos", images.best_image(some).alias("image"))
+
+
+@query("x16_without_attachment", """SELECT conv_id, turn, array_to_string(list_filter(l, lambda x, i: i = 1 OR x <> l[i - 1]), '|') AS lines FROM (SELECT conv_id, turn, list_filter(string_split(coalesce(text, ''), ' '), lambda x: x NOT IN ('the', 'of', 'la')) AS l FROM conversations)""")
+def without_attachment(spark, sf):
+    lines = F.split(F.coalesce("text", F.lit("")), " ")
+    attachment = F.array(*map(F.lit, ("the", "of", "la")))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(images.without_attachment(lines, attachment), "|").alias("lines"))
+
+
+@query("t3_pending_items", """SELECT module, key, CASE WHEN complete THEN 'staged' ELSE 'pending' END AS state, CASE WHEN complete THEN done ELSE last END AS at FROM (
+ SELECT event_type AS module, CAST(user_id AS VARCHAR) AS key, bool_or(value > 60) AS complete, min(event_id) FILTER (value > 60) AS done, max(event_id) AS last FROM events GROUP BY ALL)""")
+def pending_items(spark, sf):
+    e = table(spark, sf, "events").select(F.col("event_type").alias("module"), F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("at"), (F.col("value") > 60).alias("complete"))
+    return state.pending(e)
+
+
+@query("t11_deliveries", """SELECT user_id, CASE s WHEN 'queued' THEN 'sending' WHEN 'sending' THEN CASE WHEN ok THEN 'sent' ELSE 'failed' END ELSE s END AS state FROM (
+ SELECT event_id AS user_id, ['queued', 'sending', 'sent', 'failed'][event_id % 4 + 1] AS s, value > 50 AS ok FROM events)""")
+def deliveries(spark, sf):
+    states = F.array(*map(F.lit, ("queued", "sending", "sent", "failed")))
+    e = table(spark, sf, "events").select(F.col("event_id").alias("user_id"), F.element_at(states, (F.col("event_id") % 4 + 1).cast("int")).alias("s"), (F.col("value") > 50).alias("ok"))
+    return e.select("user_id", state.delivery_step(F.col("s"), F.col("ok")).alias("state"))

@@ -60,3 +60,15 @@ def to_store(write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, in
             write(batch, batch_id)
 
     return run
+
+
+def pending(items: DataFrame) -> DataFrame:
+    """``module, key, state, at``: an item is staged when its first complete version came, and
+    pending, as of its latest version, until then.  ``items``: module, key, at, complete."""
+    g = items.groupBy("module", "key").agg(F.bool_or("complete").alias("c"), F.min(F.when(F.col("complete"), F.col("at"))).alias("done"), F.max("at").alias("last"))
+    return g.select("module", "key", F.when(F.col("c"), "staged").otherwise("pending").alias("state"), F.when(F.col("c"), F.col("done")).otherwise(F.col("last")).alias("at"))
+
+
+def delivery_step(current: Column, succeeded: Column) -> Column:
+    """The next state of a delivery: queued, sending, then sent or failed, which stay."""
+    return F.when(current == "queued", "sending").when(current == "sending", F.when(succeeded, "sent").otherwise("failed")).otherwise(current)
