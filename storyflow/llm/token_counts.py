@@ -63,11 +63,12 @@ def count_tokens(docs: DataFrame, cache: str | None = None, *, tokenizer: str =
     text = common.text_of()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (normalise(text) if normalise else text).alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
     digest = F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest")
-    known = _cache(spark, folder).where(F.col("version") == name).select("digest", "n_tokens").dropDuplicates(["digest"])
 
-    # Distinct texts: by digest, which stands for the text and is far shorter. Copies
-    # are joined before the shuffle as far as a task holds them.
-    misses = docs.select(digest, "text").join(known, "digest", "left_anti").groupBy("digest").agg(F.first("text").alias("text"))
+    # Distinct texts first: copies are merged where they lie, so that a text of many copies
+    # crosses the shuffle once a task, and the look-up needs no shuffle of its own.
+    misses = docs.select(digest, "text").groupBy("digest").agg(F.first("text").alias("text"))
+    if _there(spark, folder):
+        misses = misses.join(_cache(spark, folder).where(F.col("version") == name).select("digest"), "digest", "left_anti")
 
     def encode(batches):
         import pyarrow as pa
@@ -84,10 +85,13 @@ def count_tokens(docs: DataFrame, cache: str | None = None, *, tokenizer: str =
     return docs.select("doc_id", "n_bytes", digest).join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
 
 
-def _cache(spark: SparkSession, folder: str) -> DataFrame:
+def _there(spark: SparkSession, folder: str) -> bool:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-    return spark.read.schema(CACHE).parquet(folder) if there else spark.createDataFrame([], CACHE)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def _cache(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(CACHE).parquet(folder)
 
 
 def op6_digest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
