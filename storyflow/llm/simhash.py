@@ -136,7 +136,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, bits: int = BITS
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id."""
-    found = near_duplicates(docs, **options)
+    return first_of(docs, near_duplicates(docs, **options))
+
+
+def first_of(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` with one row of each ``root`` of ``found`` (doc_id, th, root, a row for each of ``docs``)."""
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("k"))
     first = common.saved(first.select("k.doc_id", "k.th"))
     mine = F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.doc_id")) & (F.xxhash64("d.text") == F.col("k.th"))
