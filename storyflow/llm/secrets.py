@@ -77,10 +77,9 @@ def _any(tests: list[Column]) -> Column:
     return out
 
 
-def find_spans(docs: DataFrame, *, scope: int = SCOPE) -> tuple[DataFrame, DataFrame]:
-    """Of every row of ``docs`` (doc_id, text) ``doc_id, th`` (its text's hash), and of each
-    text with a reported span, once, ``doc_id, th, found``: an array of structs start, kind
-    (its number in KINDS), end, in that order."""
+def _parts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of every row of ``docs`` (doc_id, text) ``doc_id, th`` (its text's hash), and the parts
+    of each text once: doc_id, th, kind, start, end, role."""
     text = common.text_of()
     scanned = common.saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), _all_matches(text).alias("parts")))
     own = ["doc_id", "th"]
@@ -89,18 +88,41 @@ def find_spans(docs: DataFrame, *, scope: int = SCOPE) -> tuple[DataFrame, DataF
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(ahead)).where("ok")
     role = F.element_at(F.array(*[F.lit(ROLES[k]) for k in KINDS]), F.col("kind") + 1)
     rows = common.saved(rows.select(*own, "kind", (F.col("end") - F.col("size")).cast("long").alias("start"), F.col("end").cast("long").alias("end"), role.alias("role")))
+    return scanned.select(*own), rows
 
+
+def _linked(rows: DataFrame, scope: int) -> DataFrame:
+    """Each weak part beside a complementary one, with the nearest of these as ``beside``
+    (a struct gap, start, kind, end): joined on cells of their document, then by interval."""
     weak = rows.where(F.col("kind") >= STRONG).withColumn("cell", F.explode(F.sequence(F.expr(f"greatest(0, start - {scope}) div {scope}"), F.expr(f"(`end` + {scope}) div {scope}"))))
     others = rows.withColumn("cell", F.explode(F.sequence(F.expr(f"start div {scope}"), F.expr(f"(`end` - 1) div {scope}"))))
-    linked = weak.alias("w").join(
+    near = weak.alias("w").join(
         others.alias("o"),
         F.expr(f"w.doc_id <=> o.doc_id AND w.th = o.th AND w.cell = o.cell AND o.start < w.`end` + {scope} AND o.`end` > w.start - {scope}")
         & F.expr("CASE w.role WHEN 'secret' THEN o.role IN ('ident', 'endpoint') ELSE o.role = 'secret' END"),
-        "left_semi",
     )
-    reported = rows.where(F.col("kind") < STRONG).select(*own, "start", "kind", "end").unionByName(linked.select(*own, "start", "kind", "end").distinct())
+    gap = F.expr("greatest(0, o.start - w.`end`, w.start - o.`end`)").alias("gap")
+    return near.groupBy("w.doc_id", "w.th", "w.start", "w.kind", "w.end").agg(F.min(F.struct(gap, "o.start", "o.kind", "o.end")).alias("beside"))
+
+
+def find_spans(docs: DataFrame, *, scope: int = SCOPE) -> tuple[DataFrame, DataFrame]:
+    """Of every row of ``docs`` (doc_id, text) ``doc_id, th`` (its text's hash), and of each
+    text with a reported span, once, ``doc_id, th, found``: an array of structs start, kind
+    (its number in KINDS), end, in that order."""
+    every, rows = _parts(docs)
+    own = ["doc_id", "th"]
+    reported = rows.where(F.col("kind") < STRONG).select(*own, "start", "kind", "end").unionByName(_linked(rows, scope).select(*own, "start", "kind", "end"))
     found = reported.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("found"))
-    return scanned.select(*own), found
+    return every, found
+
+
+def credentials(docs: DataFrame, *, scope: int = SCOPE) -> DataFrame:
+    """The linked parts: doc_id, and of each weak part beside a complementary one kind, start,
+    end and the same of its nearest complement (other_kind, other_start, other_end).  A text
+    that repeats under one doc_id is reported once."""
+    name = lambda c: F.element_at(F.array(*map(F.lit, KINDS)), F.col(c) + 1)
+    found = _linked(_parts(docs)[1], scope)
+    return found.select("doc_id", name("kind").alias("kind"), "start", "end", name("beside.kind").alias("other_kind"), F.col("beside.start").alias("other_start"), F.col("beside.end").alias("other_end"))
 
 
 def scan(docs: DataFrame, **options) -> DataFrame:
@@ -112,19 +134,21 @@ def scan(docs: DataFrame, **options) -> DataFrame:
 
 def redact(docs: DataFrame, *, mark: str = "[SECRET]", **options) -> DataFrame:
     """``docs`` with every reported span of its text replaced by ``mark``, spans that overlap
-    by one.  A column n_chars, if there is one, follows the text."""
+    by one.  A column n_chars, if there is one, follows a text that changes; rows without a
+    span come back as they are."""
     _, found = find_spans(docs, **options)
     empty = F.array().cast("array<struct<s:bigint,e:bigint>>")
     last = lambda acc: F.element_at(acc, -1)
     span = lambda s, e: F.struct(s.alias("s"), e.alias("e"))
     add = lambda acc, x: F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["e"] > x["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(span(last(acc)["s"], F.greatest(last(acc)["e"], x["end"]))))).otherwise(F.concat(acc, F.array(span(x["start"], x["end"]))))
     merged = common.saved(found.select("doc_id", "th", F.aggregate("found", empty, add).alias("cut")))
-    text = F.col("d.text")
-    gap = lambda i: F.substring(text, (F.coalesce(F.get("cut", i - 1)["e"], F.lit(0)) + 1).cast("int"), (F.coalesce(F.get("cut", i)["s"], F.char_length(text)) - F.coalesce(F.get("cut", i - 1)["e"], F.lit(0))).cast("int"))
-    clean = F.when(F.col("cut").isNull(), text).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.size("cut")), gap), mark))
+    text, cut = F.col("d.text"), F.col("f.cut")
+    gap = lambda i: F.substring(text, (F.coalesce(F.get(cut, i - 1)["e"], F.lit(0)) + 1).cast("int"), (F.coalesce(F.get(cut, i)["s"], F.char_length(text)) - F.coalesce(F.get(cut, i - 1)["e"], F.lit(0))).cast("int"))
+    clean = F.array_join(F.transform(F.sequence(F.lit(0), F.size(cut)), gap), mark)
     joined = docs.alias("d").join(merged.alias("f"), (F.col("d.doc_id").cast("long").eqNullSafe(F.col("f.doc_id"))) & (F.xxhash64(text) == F.col("f.th")), "left")
-    out = joined.select(*[clean.alias(c) if c == "text" else F.col(f"d.`{c}`") for c in docs.columns])
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    same = [common.named("d", c) for c in docs.columns]
+    new = {"text": clean, "n_chars": F.char_length(clean).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return joined.select(*[F.when(cut.isNull(), old).otherwise(new[c]).alias(c) if c in new else old.alias(c) for c, old in zip(docs.columns, same)])
 
 
 def _joined(spans: Column) -> Column:
