@@ -3,8 +3,9 @@
 A text's k-grams of words are hashed, and the least hash of every ``window - k + 1``
 consecutive ones is kept.  Texts that share ``window`` words share the least hash of
 that span, so the join of kept hashes finds every document with a shared span.  Hits
-are then extended: the windows of those documents alone are compared with the items'
-windows by 128 bits of hash, and the words of equal windows are marked.
+are then extended: in those documents alone the places of the k-grams that the items'
+kept hashes hold are looked up, the windows around such a place are compared with the
+items' windows by 128 bits of hash, and the words of equal windows are marked.
 
 An item of fewer words is one window of its own length L.  For L >= k the documents'
 hashes are kept over L - k + 1 positions, which keeps all that the wider windows keep;
@@ -14,8 +15,8 @@ No table is broadcast unless Spark finds its file smaller than its own threshold
 
 Defined cases: a null text has no words and is not contaminated; an item without words
 is no window; a null item_id is an item whose id is the empty string; items that repeat
-an id count once; rows that repeat a doc_id are judged by their own texts; with empty
-tables no row, or no hit, results; other columns are ignored.
+an id count once; rows that repeat a doc_id are judged by their own texts; long texts are
+searched whole; with empty tables no row, or no hit, results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -65,10 +66,32 @@ def _exploded(df: DataFrame, scheme: list[tuple[int, int]], *keep: str) -> DataF
     return rows.select(*keep, "f.k", "f.h") if len(scheme) > 1 else rows.select(*keep, F.lit(scheme[0][0]).alias("k"), F.col("f").alias("h"))
 
 
+def _window(words: Column, i: Column, length: int) -> Column:
+    """Start, length and two hashes of the window of ``length`` words at ``i``."""
+    held = [F.get(words, i + j) for j in range(length)]
+    return F.struct(i.alias("s"), F.lit(length).alias("length"), F.xxhash64(*held).alias("a"), F.xxhash64(F.lit(length), *held).alias("b"))
+
+
 def _windows(df: DataFrame, length: int, *keep: str) -> DataFrame:
     """A row for each window of ``length`` words: start, length and two hashes."""
-    spans = F.transform(F.sequence(F.lit(0), F.size("words") - length), lambda i: F.struct(i.alias("s"), F.xxhash64(*[F.get(F.col("words"), i + j) for j in range(length)]).alias("a"), F.xxhash64(F.lit(length), *[F.get(F.col("words"), i + j) for j in range(length)]).alias("b")))
-    return df.where(F.size("words") >= length).select(*keep, F.explode(spans).alias("w")).select(*keep, F.lit(length).alias("length"), "w.s", "w.a", "w.b")
+    spans = F.transform(F.sequence(F.lit(0), F.size("words") - length), lambda i: _window(F.col("words"), i, length))
+    return df.where(F.size("words") >= length).select(*keep, F.explode(spans).alias("w")).select(*keep, "w.*")
+
+
+def _starts(grams: Column, n: int, g: int, last: Column) -> Column:
+    """Where the windows of ``n`` words start, up to ``last``, that hold one of the ``grams`` of ``g`` words."""
+    first = lambda x: F.greatest(F.lit(0), x["p"] - (n - g))
+    around = lambda x: F.sequence(first(x), F.least(x["p"], last))
+    hits = F.filter(grams, lambda x: (x["k"] == g) & (first(x) <= last))
+    return F.array_distinct(F.flatten(F.transform(hits, around)))
+
+
+def _around(places: DataFrame, lengths: list[int], k: int) -> DataFrame:
+    """The windows of ``places`` (words, grams: places of hits by gram length) that hold a hit."""
+    words = F.col("words")
+    window = lambda n: lambda i: _window(words, i, n)
+    some = [F.transform(_starts(F.col("grams"), n, min(k, n), F.size(words) - n), window(n)) for n in lengths]
+    return places.select("doc_id", "th", F.explode(F.concat(*some)).alias("w")).select("doc_id", "th", "w.*")
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, k: int = GRAM) -> tuple[DataFrame, DataFrame]:
@@ -101,12 +124,16 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, k:
     marked = common.saved(_kept(keyed, scheme).select("doc_id", "th", F.size("words").cast("long").alias("n_words"), "fps"))
     found = common.saved(_exploded(marked, scheme, "doc_id", "th").join(fps, ["k", "h"], "left_semi").select("doc_id", "th").distinct())
 
-    again = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").alias("d").join(found.alias("f"), F.expr("d.doc_id <=> f.doc_id AND d.th = f.th"), "left_semi").select("doc_id", "th", common.words(F.col("text")).alias("words"))
-    matched = None
-    for n in [window, *short]:
-        rows = _windows(again, n, "doc_id", "th").join(shared.select("length", "a", "b", "items_key"), ["length", "a", "b"]).select("doc_id", "th", "s", "length", "items_key")
-        matched = rows if matched is None else matched.unionByName(rows)
-    matched = common.saved(matched)
+    again = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").alias("d").join(found.alias("f"), F.expr("d.doc_id <=> f.doc_id AND d.th = f.th"), "left_semi")
+    again = common.saved(again.select("doc_id", "th", common.words(F.col("text")).alias("words")))
+    grams = None
+    for g, _ in scheme:
+        rows = again.select("doc_id", "th", F.lit(g).alias("k"), F.posexplode(gram_hashes(F.col("words"), g)).alias("p", "h"))
+        grams = rows if grams is None else grams.unionByName(rows)
+    grams = grams.join(fps, ["k", "h"], "left_semi").groupBy("doc_id", "th").agg(F.collect_set(F.struct("k", "p")).alias("grams"))
+    places = again.alias("a").join(grams.alias("g"), F.expr("a.doc_id <=> g.doc_id AND a.th = g.th")).select("a.doc_id", "a.th", "words", "grams")
+    matched = _around(places, [window, *short], k).join(shared.select("length", "a", "b", "items_key"), ["length", "a", "b"])
+    matched = common.saved(matched.select("doc_id", "th", "s", "length", "items_key"))
 
     # Words in the union of the spans: each span adds what lies beyond the end so far.
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
