@@ -2,9 +2,10 @@
 
 Texts are dealt by ranges of doc_id, so that each task tokenises one range in
 ascending order and writes its ids into one shard file, or into several of at most
-``shard_tokens`` ids (a longer document has a shard of its own).  A task writes each
-file under a name of its own and renames it, so a task that runs twice leaves one
-file with the same content.  Reading goes through Spark's binaryFile source.
+``shard_tokens`` ids (a longer document has a shard of its own).  Every attempt of a
+task writes files of names of its own; the manifest, a table that Spark commits, names
+those of the attempts that count, and only these are read.  Reading goes through
+Spark's binaryFile source.
 
 Defined cases: a null text is empty (only the end id); rows that repeat a doc_id are
 all kept, next to each other, ordered by their text's hash; a null doc_id comes first
@@ -16,7 +17,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -48,12 +49,15 @@ def write(docs: DataFrame, folder: str, *, tokenizer: str = TOKENIZER, end_id: i
     """Writes the shard files of ``docs`` (doc_id, text) to ``folder`` and returns their
     manifest: part, k, file, docs, tokens."""
     spark = docs.sparkSession
+    folder = common.qualified(spark, folder)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
     n = common.pieces(docs, range_bytes, spark.sparkContext.defaultParallelism, F.octet_length("text"))
     dealt = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("m"))
     dealt = dealt.repartitionByRange(n, "doc_id", "h", "m").sortWithinPartitions("doc_id", "h", "m").select("doc_id", "text")
 
     def to_files(batches):
+        import uuid
+
         import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
@@ -61,7 +65,7 @@ def write(docs: DataFrame, folder: str, *, tokenizer: str = TOKENIZER, end_id: i
         from . import wavelet
         from .tokenizing import WordBpe, loaded
 
-        part, k, files = TaskContext.get().partitionId(), 0, []
+        part, k, files, attempt = TaskContext.get().partitionId(), 0, [], uuid.uuid4().hex
         dtype = loaded(WordBpe, tokenizer).dtype
         end = np.array([end_id], dtype).tobytes()
         held, doc_ids, lengths, size = [], [], [], 0
@@ -70,7 +74,7 @@ def write(docs: DataFrame, folder: str, *, tokenizer: str = TOKENIZER, end_id: i
             nonlocal k, size
             ids = np.frombuffer(b"".join(held), dtype)
             nulls = np.array([d is None for d in doc_ids], bool)
-            name = f"shard-{part:07d}-{k:05d}.wm"
+            name = f"shard-{part:07d}-{k:05d}-{attempt}.wm"
             put(folder, name, wavelet.encode(ids, np.array([d or 0 for d in doc_ids], np.int64), np.array(lengths, np.int64), nulls))
             files.append((part, k, name, len(doc_ids), len(ids)))
             k, size = k + 1, 0
@@ -95,28 +99,23 @@ def write(docs: DataFrame, folder: str, *, tokenizer: str = TOKENIZER, end_id: i
 
 
 def put(folder: str, name: str, data: bytes) -> None:
-    """Writes a file so that it is there whole or not at all."""
-    import os
-    import uuid
-
+    """Writes a file into a folder given with its scheme (file, hdfs, s3, gs, ...)."""
     from pyarrow import fs
 
-    store, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{os.path.abspath(folder)}")
+    store, root = fs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1))
     store.create_dir(root, recursive=True)
-    draft = f"{root}/_{name}-{uuid.uuid4().hex}"
-    with store.open_output_stream(draft) as f:
+    with store.open_output_stream(f"{root}/{name}") as f:
         f.write(data)
-    store.move(draft, f"{root}/{name}")
 
 
 def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """The documents in shard files: file, doc_id, start (ids of all documents before it),
-    n_tokens, ids_crc32.  The files are decoded whole, one at a time."""
+    """The documents in the shard files that ``manifest`` names: file, doc_id, start (ids of
+    all documents before it), n_tokens, ids_crc32.  The files are decoded whole, one at a time."""
     if manifest.first() is None:
         return spark.createDataFrame([], "file string, doc_id long, start long, n_tokens long, ids_crc32 long")
-    # A row for each shard: few beside the documents, and summed up in shard order.
-    first = manifest.select("file", (F.sum("tokens").over(Window.orderBy("part", "k").rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens")).alias("first"))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.wm").load(folder).select("path", "content")
+    first = common.saved(common.offsets(manifest.select("part", "k", "file", "tokens"), "tokens").select("file", F.col("at").alias("first")))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.wm").load(folder)
+    files = files.select(F.substring_index("path", "/", -1).alias("file"), "content").join(first, "file", "left_semi").select("file", "content")
 
     def from_files(batches):
         import numpy as np
@@ -131,7 +130,7 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
                 ends = np.cumsum(shard.lengths)
                 before = ends - shard.lengths
                 crc = [zlib.crc32(memoryview(raw)[4 * a : 4 * b]) for a, b in zip(before.tolist(), ends.tolist())]
-                name = batch.column(0)[i].as_py().rsplit("/", 1)[1]
+                name = batch.column(0)[i].as_py()
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(crc)), pa.array(shard.doc_ids, mask=shard.nulls), pa.array(before), pa.array(shard.lengths), pa.array(crc, pa.int64())], names=["file", "doc_id", "before", "n_tokens", "ids_crc32"])
 
     return files.mapInArrow(from_files, ROWS).join(first, "file").select("file", "doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
