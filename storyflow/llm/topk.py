@@ -2,11 +2,12 @@
 
 A block of vectors has one list for each dimension, sorted by component.  A query reads
 the lists of its positive weights from the top and those of its negative ones from the
-bottom, all to the same depth.  What it has read of a vector, with the least (most) that
-the unread lists can still add, bounds the vector's score from below (above).  Reading
-goes on until the k-th lower bound leaves few vectors whose upper bound reaches it; those
-are scored in full.  All queries of a block of queries go together, so that a bound is a
-matrix product.
+bottom, batch by batch, all to the same depth.  What it has read of a vector, with the
+least (most) that the unread lists can still add, bounds the vector's score from below
+(above); bounds are worked out only for vectors that may still be among the k best.
+Reading stops when no other vector's upper bound reaches the k-th lower bound, and goes on
+only for the entries of the vectors left, whose scores it resolves.  No entry is looked up
+by its vector.
 
 Vectors and queries are dealt into blocks of bounded size that meet in pairs: a stated
 query set against all rows.  Each pair gives k rows a query, and those are merged by
@@ -16,8 +17,8 @@ Defined cases: vectors that are null or hold a null or non-finite component, and
 a null id, take no part; vectors are compared with queries of their own number of
 components only; ties go to the smaller id; rows that repeat an id are rows of their own,
 and a query leaves out its own row alone; an empty table gives no row; other columns are
-ignored; components so large that scores leave 64 bits are scored in full precision and
-the score is cut to 64 bits.
+ignored; of components so large that scores leave 53 bits, bounds are kept as whole numbers
+of any size, and a score is cut to 64 bits.
 """
 
 from __future__ import annotations
@@ -31,57 +32,86 @@ from . import common
 K = 5
 SCALE = 256
 EVERY = 50
-VECTOR_BLOCK = 1024
-QUERY_BLOCK = 1024
-#: Depths at which a query looks whether it can stop, as parts of a list.
-DEPTHS = (0.25, 0.5, 0.7, 0.85)
-
-
-def read_lists(x: np.ndarray, q: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query (row of ``q``) the rows of ``x`` that may be among its k best, and
-    their exact scores.  ``own``: the row of ``x`` that a query leaves out, or -1."""
-    n = len(x)
-    if not len(q):
-        return []
+VECTOR_BLOCK = 4096
+QUERY_BLOCK = 512
+#: The first batch of a list and the largest one, as parts of it; batches double in between.
+FIRST_BATCH, LARGEST_BATCH = 1 / 32, 1 / 8
+
+
+#: Leaders whose lower bounds give the k-th one, and vectors that are tried before all are bounded.
+LEADERS, TRIED = 64, 128
+
+
+class Lists:
+    """The sorted lists of a block of vectors (rows of ``x``), one for each dimension."""
+
+    def __init__(self, x: np.ndarray):
+        self.n = len(x)
+        order = np.argsort(x, axis=0, kind="stable").T
+        values = np.take_along_axis(x.T, order, axis=1)
+        self.rank = np.empty(x.shape, np.int32)
+        np.put_along_axis(self.rank, order.T, np.arange(self.n, dtype=np.int32)[:, None], axis=0)
+        #: By the order of reading: from the top, from the bottom.
+        self.order, self.values = (np.ascontiguousarray(order[:, ::-1]), order), (np.ascontiguousarray(values[:, ::-1]), values)
+
+    def best(self, weights: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """The rows that are among the k best for ``weights``, with those that tie with the
+        last, their scores, and how many entries of the lists were read.  ``own``: the row
+        that is left out, or -1."""
+        n, up, down = self.n, np.flatnonzero(weights > 0), np.flatnonzero(weights < 0)
+        alive = np.delete(np.arange(n), own) if own >= 0 else np.arange(n)
+        w = weights[np.concatenate((up, down))]
+        m, depth, batch = len(w), 0, max(1, int(n * FIRST_BATCH))
+        read = np.zeros(n, w.dtype)
+        last = w * np.concatenate((self.values[0][up, -1], self.values[1][down, -1])) if n else w
+
+        def place(of: np.ndarray) -> np.ndarray:  # in the order of reading
+            r = self.rank[of]
+            return np.concatenate((n - 1 - r[:, up], r[:, down]), axis=1)
+
+        def read_to(end: int) -> None:
+            nonlocal depth
+            wanted = None
+            if len(alive) < n // 4:  # entries of vectors that are out are passed over
+                wanted = np.zeros(n, bool)
+                wanted[alive] = True
+            for side, dims in enumerate((up, down)):
+                at = self.order[side][dims, depth:end]
+                gain = self.values[side][dims, depth:end] * weights[dims, None]
+                at, gain = (at[wanted[at]], gain[wanted[at]]) if wanted is not None else (at.ravel(), gain.ravel())
+                if gain.dtype == object:
+                    np.add.at(read, at, gain)
+                elif len(at):
+                    read.__iadd__(np.bincount(at, gain, n))
+            depth = end
+
+        def bounds(of: np.ndarray, front: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            unread = (place(of) >= depth).astype(w.dtype)
+            return read[of] + unread @ last, read[of] + unread @ front
+
+        while depth < n and len(alive) > k and m:
+            read_to(min(n, depth + batch))
+            batch = min(2 * batch, max(1, int(n * LARGEST_BATCH)))
+            front = w * np.concatenate((self.values[0][up, depth - 1], self.values[1][down, depth - 1]))
+            few = min(len(alive), max(LEADERS, 4 * k))
+            leaders = alive[np.argpartition(read[alive], len(alive) - few)[-few:]]
+            kth = np.sort(bounds(leaders, front)[0])[-k]
+            tried = alive[:: max(1, len(alive) // TRIED)]
+            if depth == n or 2 * np.count_nonzero(bounds(tried, front)[1] < kth) >= len(tried):
+                alive = alive[bounds(alive, front)[1] >= kth]
+        if len(alive) and m:
+            read_to(max(depth, int(place(alive).max()) + 1))
+        return alive, read[alive], depth * m
+
+
+def read_lists(x: np.ndarray, q: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """For each query (row of ``q``) the rows of ``x`` that may be among its k best, their exact
+    scores, and the entries read.  ``own``: the row of ``x`` that a query leaves out, or -1."""
     biggest = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * x.shape[1]
-    if biggest >= 2.0**53:
-        scores = [(np.delete(np.arange(n), o) if o >= 0 else np.arange(n)) for o in own]
-        big = x.astype(object)
-        return [(rows, np.array([max(-(2**63), min(2**63 - 1, int(s))) for s in big[rows] @ w.astype(object)], dtype=np.int64)) for rows, w in zip(scores, q)]
-    xs, qs = x.astype(float), q.astype(float)
-    order = np.argsort(-xs, axis=0, kind="stable")
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.broadcast_to(np.arange(n)[:, None], order.shape), axis=0)
-    lists = np.take_along_axis(xs, order, axis=0)
-    out: list = [None] * len(q)
-    todo = np.arange(len(q))
-    for part in DEPTHS:
-        depth = int(n * part)
-        if depth < 1 or n <= 4 * k or not len(todo):
-            continue
-        up, down = np.maximum(qs[todo], 0), np.minimum(qs[todo], 0)
-        top, low = (rank < depth).astype(float), (rank >= n - depth).astype(float)
-        read = (xs * top) @ up.T + (xs * low) @ down.T
-        most = read + (1 - top) @ (up * lists[depth - 1]).T + (1 - low) @ (down * lists[n - depth]).T
-        least = read + (1 - top) @ (up * lists[-1]).T + (1 - low) @ (down * lists[0]).T
-        mine = np.flatnonzero(own[todo] >= 0)
-        most[own[todo][mine], mine] = least[own[todo][mine], mine] = -np.inf
-        kth = np.partition(least, n - k, axis=0)[n - k]
-        may = most >= kth
-        done = may.sum(axis=0) <= max(4 * k, n // 8)
-        for j in np.flatnonzero(done):
-            rows = np.flatnonzero(may[:, j])
-            out[todo[j]] = (rows, (xs[rows] @ qs[todo[j]]).astype(np.int64))
-        todo = todo[~done]
-    if len(todo):  # lists read to the end: every score is exact
-        scores = xs @ qs[todo].T
-        mine = np.flatnonzero(own[todo] >= 0)
-        scores[own[todo][mine], mine] = -np.inf
-        kth = np.partition(scores, max(0, n - k), axis=0)[max(0, n - k)]
-        for j, i in enumerate(todo):
-            rows = np.flatnonzero((scores[:, j] >= kth[j]) & (scores[:, j] > -np.inf))
-            out[i] = (rows, scores[rows, j].astype(np.int64))
-    return out
+    numbers = float if biggest < 2.0**53 else object
+    lists = Lists(x.astype(numbers))
+    found = [lists.best(w, int(o), k) for w, o in zip(q.astype(numbers), own)]
+    return [(rows, np.array([max(-(2**63), min(2**63 - 1, int(s))) for s in scores], np.int64), count) for rows, scores, count in found]
 
 
 def quantised(column: Column, scale: int = SCALE) -> Column:
@@ -112,7 +142,7 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = K, vector_block: int
         ids = vs["vec_id"].to_numpy()
         wide = lambda s: np.stack(s.to_numpy()).reshape(len(s), -1)
         parts = []
-        for (at, scores), qrow, qid in zip(read_lists(wide(vs["v"]), wide(qs["v"]), own, k), qs["row"], qs["vec_id"]):
+        for (at, scores, _), qrow, qid in zip(read_lists(wide(vs["v"]), wide(qs["v"]), own, k), qs["row"], qs["vec_id"]):
             o = np.lexsort((ids[at], -scores))[:k]
             parts.append(np.column_stack((np.full(len(o), qrow), np.full(len(o), qid), ids[at][o], scores[o])))
         return pd.DataFrame(np.concatenate(parts), columns=cols)
