@@ -6,9 +6,9 @@ the counts are appended to the cache, a Parquet table
 (digest binary, version string, n_tokens long).
 
 Content is normalised only as the tokenizer itself would ignore (not at all, unless
-``normalise`` is given), so counts are exact.  Only digests are shuffled: a distinct
-miss is encoded where one of its copies lies, the copy that an aggregate over digests
-names.
+``normalise`` is given), so counts are exact.  Copies of a text are merged by an aggregate
+over digests, first where they lie: of each distinct text a copy a task is shuffled, so a
+text of many copies is no hot key.  The cache is partitioned by version.
 
 Defined cases: a null text is empty and has no tokens; repeated rows and copies share
 one encoding and all keep their rows; an empty table gives no row; a null doc_id stays
@@ -27,8 +27,8 @@ from . import common
 TOKENIZER = "piece_bpe_32k.model"
 LIMIT = 4096
 CACHE = "digest binary, version string, n_tokens long"
-#: Bytes of text that a task encodes, about.
-TASK_BYTES = 8 << 20
+#: Session setting that names a cache folder for the query; without it, each call has a cache of its own.
+SETTING = "spark.storyflow.tokenCache"
 
 
 def version(tokenizer: str) -> str:
@@ -79,7 +79,7 @@ def count_tokens(docs: DataFrame, cache: str | None = None, *, tokenizer: str =
                 part = batch.slice(at, 64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([name] * part.num_rows), pa.array(count(part.column(1).to_pylist()), pa.int64())], names=["digest", "version", "n_tokens"])
 
-    misses.mapInArrow(encode, CACHE).write.mode("append").parquet(folder)
+    misses.mapInArrow(encode, CACHE).write.mode("append").partitionBy("version").parquet(folder)
     # Written, so that the join below deals both sides anew and Spark can split a hot digest.
     counts = common.saved(_cache(spark, folder).where(F.col("version") == name).select("digest", "n_tokens").dropDuplicates(["digest"]))
     return docs.select("doc_id", "n_bytes", digest).join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
@@ -96,5 +96,5 @@ def _cache(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_digest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's bytes and tokens, and whether they exceed the limit."""
-    counts = count_tokens(common.table(spark, sf_dir, "documents"))
+    counts = count_tokens(common.table(spark, sf_dir, "documents"), spark.conf.get(SETTING, None))
     return counts.withColumn("over_limit", F.col("n_tokens") > LIMIT)
