@@ -1,14 +1,20 @@
 """Packing documents into windows of tokens by non-negative least squares.
 
 Documents are cut at whole windows; what is left of each, shorter than a window, is
-counted in a histogram of lengths rounded up to ``unit`` tokens.  All combinations of
-at most ``depth`` such lengths that fill a window are enumerated, their repeat counts
-are solved against the histogram by non-negative least squares and rounded, no length
-being used more often than it occurs.  Documents take the slots of their length by
-rank.  What finds no slot is packed greedily: laid end to end and cut at the windows.
+counted in a histogram of lengths rounded up to ``unit`` tokens.  Repeat counts of the
+combinations of at most ``depth`` such lengths that fill a window are solved against the
+histogram by non-negative least squares.  Combinations are enumerated one by one as the
+solver asks for them: the one whose residuals sum up highest is the best filling of a
+knapsack of the window's size.  Counts are rounded down, so that no length is used more
+often than it occurs.
+
+What is left of the histogram is packed greedily: combinations of the longest lengths that
+fit, as often as they can be had, if they leave at most one unit free.  Documents take the
+slots of their length by rank.  What finds no slot is laid end to end and cut at the windows.
 
 Only the histogram (window / unit numbers) reaches the driver.  Ranks and places are
-sums over the tasks that tokenised the documents, so no task sees all documents.
+sums over chunks of rows of the tasks that tokenised the documents (see
+:func:`common.offsets`), so no task sees all documents, or all of a length.
 
 Defined cases: a null text is empty (one token, its end); rows that repeat a doc_id are
 documents of their own; a null doc_id stays null; an empty table gives no row; other
@@ -26,82 +32,107 @@ from .token_store import END_ID, TOKENIZER, encoded
 
 WINDOW = 4096
 UNIT = 16
-DEPTH = 3
-
-
-def combinations(parts: int, depth: int) -> np.ndarray:
-    """A column for each multiset of at most ``depth`` numbers from 1 that sum to ``parts``:
-    how often each number (row number + 1) is in it."""
-    columns: list[tuple[int, ...]] = []
-
-    def extend(chosen: tuple[int, ...], left: int) -> None:
-        if left == 0:
-            columns.append(chosen)
-        elif len(chosen) < depth:
-            least = chosen[-1] if chosen else 1
-            if len(chosen) == depth - 1:
-                if left >= least:
-                    columns.append((*chosen, left))
-            else:
-                for x in range(least, left + 1):
-                    extend((*chosen, x), left - x)
-
-    extend((), parts)
-    a = np.zeros((parts, len(columns)))
-    for j, c in enumerate(columns):
-        for x in c:
-            a[x - 1, j] += 1
-    return a
-
-
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
-    """x >= 0 that minimises |a x - b|: active sets after Lawson and Hanson."""
-    x, on = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
-    small = 1e-9 * max(1.0, float(np.abs(b).max(initial=0)))
+DEPTH = 12
+
+
+def best_combination(worth: np.ndarray, depth: int) -> tuple[float, np.ndarray]:
+    """The multiset of at most ``depth`` lengths (1 to the number of ``worth``) that sum to
+    that number and whose worth is highest: that worth, and how often each length is in it."""
+    parts = len(worth)
+    best = np.full(parts + 1, -np.inf)
+    best[0] = 0.0
+    choices = []
+    at = np.arange(parts + 1)
+    back = at[:, None] - np.arange(1, parts + 1)[None, :]  # room before a length is added
+    for _ in range(depth):
+        with_one = np.where(back >= 0, best[np.maximum(back, 0)] + worth[None, :], -np.inf)
+        pick = with_one.argmax(axis=1)
+        more = with_one[at, pick]
+        better = more > best
+        choices.append(np.where(better, pick + 1, 0))
+        best = np.where(better, more, best)
+    counts, room = np.zeros(parts, int), parts
+    for step in reversed(choices):
+        if step[room]:
+            counts[step[room] - 1] += 1
+            room -= step[room]
+    return float(best[parts]), counts
+
+
+def nnls(offer, b: np.ndarray, rounds: int = 1000) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, x): x > 0 that minimises |rows.T x - b|, the rows being those of ``offer`` that
+    are used: active sets after Lawson and Hanson.  ``offer(r)`` gives the row whose inner
+    product with r is highest, and that product."""
+    rows, x = np.zeros((0, len(b))), np.zeros(0)
+    small = 1e-7 * max(1.0, float(np.abs(b).max(initial=0)))
     for _ in range(rounds):
-        slope = a.T @ (b - a @ x)
-        slope[on] = -np.inf
-        j = int(slope.argmax())
-        if slope[j] <= small:
+        slope, row = offer(b - x @ rows)
+        if not slope > small or (rows == row).all(axis=1).any():
             break
-        on[j] = True
-        while True:
-            at = np.flatnonzero(on)
-            z = np.linalg.lstsq(a[:, at], b, rcond=None)[0]
+        rows, x = np.vstack((rows, row)), np.append(x, 0.0)
+        while len(rows):
+            gram = rows @ rows.T
+            z = np.linalg.solve(gram + 1e-12 * np.trace(gram) * np.eye(len(gram)), rows @ b)
             if (z > 0).all():
-                x[:] = 0
-                x[at] = z
+                x = z
                 break
             low = z <= 0
-            step = np.min(x[at][low] / np.maximum(x[at][low] - z[low], 1e-300))
-            x[at] += step * (z - x[at])
-            on[at[x[at] <= 1e-12]] = False
-            x[~on] = 0
-            if not on.any():
-                break
-    return x
+            step = np.min(x[low] / np.maximum(x[low] - z[low], 1e-300))
+            x = x + step * (z - x)
+            on = x > 1e-12
+            rows, x = rows[on], x[on]
+    return rows, x
 
 
 def plan(histogram: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
     """(combinations that are used, as rows of counts by length; how often each is)."""
-    a = combinations(len(histogram), depth)
-    have = (a[histogram == 0].sum(axis=0) == 0) if (histogram == 0).any() else np.ones(a.shape[1], bool)
-    a = a[:, have]
     total = float(histogram.sum())
-    if not a.shape[1] or not total:
-        return np.zeros((0, len(histogram)), int), np.zeros(0, int)
-    times = np.floor(nnls(a, histogram / total) * total + 0.5).astype(int)
-    for i in range(len(histogram)):  # rounding may ask for more than there is
-        over = int(a[i] @ times - histogram[i])
-        for j in np.argsort(-times * (a[i] > 0), kind="stable"):
+    absent = histogram == 0
+
+    def offer(r: np.ndarray) -> tuple[float, np.ndarray]:
+        return best_combination(np.where(absent, -np.inf, r), depth)
+
+    rows, x = nnls(offer, histogram / total) if total else (np.zeros((0, len(histogram))), np.zeros(0))
+    times = np.floor(x * total + 1e-6).astype(int)
+    for i in range(len(histogram)):  # the fit may ask for more than there is
+        over = int(rows[:, i] @ times - histogram[i])
+        for j in np.argsort(-times * (rows[:, i] > 0), kind="stable"):
             if over <= 0:
                 break
-            if a[i, j]:
-                less = min(times[j], -(-over // int(a[i, j])))
+            if rows[j, i]:
+                less = min(times[j], -(-over // int(rows[j, i])))
                 times[j] -= less
-                over -= less * int(a[i, j])
+                over -= less * int(rows[j, i])
     used = np.flatnonzero(times)
-    return a[:, used].T.astype(int), times[used]
+    return rows[used].astype(int), times[used]
+
+
+def greedy(left: np.ndarray, slack: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Combinations of lengths of the histogram ``left``, the longest that fit first, that
+    leave at most ``slack`` units of a window free, and how often each is used."""
+    left, parts = left.astype(int).copy(), len(left)
+    rows, times = [], []
+    longest = parts
+    while longest:
+        if not left[longest - 1]:
+            longest -= 1
+            continue
+        row, room = np.zeros(parts, int), parts
+        while room:
+            fits = np.flatnonzero(left[:room] > row[:room])
+            if not len(fits):
+                break
+            i = int(fits[-1])
+            row[i] += min(room // (i + 1), left[i] - row[i])
+            room = parts - int(row @ np.arange(1, parts + 1))
+        if room > slack:  # no shorter length fills it up: this one is laid end to end
+            left[longest - 1] = 0
+            continue
+        n = int((left[row > 0] // row[row > 0]).min())
+        left -= n * row
+        rows.append(row)
+        times.append(n)
+    return np.array(rows, int).reshape(-1, parts), np.array(times, int)
 
 
 def slots(rows: np.ndarray, times: np.ndarray) -> tuple[dict[int, list[tuple[int, int, int, int]]], int]:
@@ -144,24 +175,20 @@ def tokenised(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID)
 def place(lengths: DataFrame, *, window: int = WINDOW, unit: int = UNIT, depth: int = DEPTH) -> DataFrame:
     """Where each piece goes: part, k, start, length, sequence_id, place, base.
 
-    ``lengths``: part, k, n, a row for each document; (part, k) tells rows apart, and rows
-    of one part are few enough for a task.  ``base``: the offset of a piece whose sequence
-    is packed greedily or by itself; null where the pieces before it in its sequence say."""
-    spark = lengths.sparkSession
+    ``lengths``: part, k, n, a row for each document; (part, k) tells rows apart.  ``base``:
+    the offset of a piece whose sequence is laid end to end or a window by itself; null
+    where the pieces before it in its sequence say."""
     rest = F.col("n") % window
-    rows = lengths.select("part", "k", "n", rest.alias("rest"), F.ceil(rest / unit).cast("int").alias("cls"))
+    rows = lengths.select("part", "k", "n", rest.alias("rest"), F.ceil(rest / unit).cast("int").alias("cls"), F.lit(1).alias("one"))
     histogram = np.zeros(window // unit)
     for r in rows.where("cls > 0").groupBy("cls").count().collect():  # window / unit rows at most
         histogram[r["cls"] - 1] = r["count"]
-    runs, packed = slots(*plan(histogram, depth))
-
-    # Rank in a length class: the class's rows in the parts before, then in this part.
-    by_class = rows.where("cls > 0").groupBy("part", "cls").agg(F.count("*").alias("c"))
-    before = by_class.select("part", "cls", (F.sum("c").over(Window.partitionBy("cls").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")).alias("prior"))
-    ranked = rows.where("cls > 0").withColumn("own", F.row_number().over(Window.partitionBy("part", "cls").orderBy("k")) - 1)
-    ranked = ranked.join(before, ["part", "cls"]).select("part", "k", "n", "rest", "cls", (F.col("prior") + F.col("own")).alias("rank"))
-
+    fitted_rows, times = plan(histogram, depth)
+    more, more_times = greedy(histogram - (times @ fitted_rows if len(times) else 0))
+    runs, packed = slots(np.concatenate((fitted_rows, more)), np.concatenate((times, more_times)))
     tables = {c: tuple(np.array(x) for x in zip(*r)) for c, r in runs.items()}
+    # The rank in a length class decides the seat.
+    ranked = common.offsets(rows.where("cls > 0"), "one", ("cls",)).select("part", "k", "n", "rest", "cls", F.col("at").alias("rank"))
 
     def seats(frames):
         for pdf in frames:
@@ -179,26 +206,18 @@ def place(lengths: DataFrame, *, window: int = WINDOW, unit: int = UNIT, depth:
     start = F.col("n") - F.col("rest")
     fitted = seated.where("seq >= 0").select("part", "k", start.alias("start"), F.col("rest").alias("length"), F.col("seq").alias("sequence_id"), F.col("pos").alias("place"), F.lit(None).cast("long").alias("base"))
 
-    def running(df: DataFrame, amount: str) -> DataFrame:
-        """Adds ``at``: the amounts of all rows before, by part and k."""
-        parts = df.groupBy("part").agg(F.sum(amount).alias("c"))
-        prior = parts.select("part", (F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")).alias("prior"))
-        own = F.sum(amount).over(Window.partitionBy("part").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)) - F.col(amount)
-        return df.withColumn("own", own).join(prior, "part").withColumn("at", F.col("prior") + F.col("own"))
-
     # Laid end to end and cut at the windows.
-    laid = running(seated.where("seq < 0"), "rest")
+    laid = common.offsets(seated.where("seq < 0"), "rest")
     laid = laid.withColumn("w", F.explode(F.sequence(F.expr(f"at div {window}"), F.expr(f"(at + rest - 1) div {window}"))))
     lo, hi = F.greatest(F.col("at"), F.col("w") * window), F.least(F.col("at") + F.col("rest"), (F.col("w") + 1) * window)
     laid = laid.select("part", "k", (start + lo - F.col("at")).alias("start"), (hi - lo).alias("length"), (F.col("w") + packed).alias("sequence_id"), F.lit(0).cast("long").alias("place"), (lo - F.col("w") * window).alias("base"))
 
-    # Whole windows are sequences of their own, numbered down from -1 here: their number is not known before.
-    whole = running(rows.where(f"n >= {window}").withColumn("full", F.expr(f"n div {window}")), "full")
-    whole = whole.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)))
-    whole = whole.select("part", "k", (F.col("i") * window).alias("start"), F.lit(window).cast("long").alias("length"), (-F.col("at") - F.col("i") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("place"), F.lit(0).cast("long").alias("base"))
+    # Whole windows are sequences of their own, numbered after these.
     total = seated.where("seq < 0").agg(F.sum("rest").alias("s")).first()["s"] or 0
     shift = packed + -(-total // window)
-    whole = whole.withColumn("sequence_id", shift - 1 - F.col("sequence_id"))
+    whole = common.offsets(rows.where(f"n >= {window}").withColumn("full", F.expr(f"n div {window}")), "full")
+    whole = whole.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)))
+    whole = whole.select("part", "k", (F.col("i") * window).alias("start"), F.lit(window).cast("long").alias("length"), (shift + F.col("at") + F.col("i")).alias("sequence_id"), F.lit(0).cast("long").alias("place"), F.lit(0).cast("long").alias("base"))
     return fitted.unionByName(laid).unionByName(whole)
 
 
