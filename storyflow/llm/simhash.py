@@ -36,6 +36,28 @@ CROWD = 64
 SEED = 42
 
 
+def hashed(text: str | None, shingle: int, seed: int):
+    """The XXH64 of each of a text's shingles, in order, as little-endian unsigned numbers."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    ws = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if len(ws) <= shingle:
+        return np.array([xxh64_intdigest(b" ".join(ws), seed)] if ws else [], "<u8")
+    joined = map(b" ".join, zip(*(ws[i:] for i in range(shingle))))
+    return np.fromiter((xxh64_intdigest(s, seed) for s in joined), "<u8", len(ws) - shingle + 1)
+
+
+def majority(hashes) -> int:
+    """The bits that are set in over half of ``hashes``; zero if there is none."""
+    import numpy as np
+
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 8192):
+        ones += np.unpackbits(hashes[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprints(docs: DataFrame, *, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """``doc_id, th`` (the text's hash) ``, fp`` (the 64 bits as a signed long) of each row of
     ``docs`` (doc_id, text)."""
@@ -43,25 +65,11 @@ def fingerprints(docs: DataFrame, *, shingle: int = SHINGLE, seed: int = SEED) -
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        from xxhash import xxh64_intdigest
-
-        def fingerprint(text: str | None) -> int:
-            ws = (text or "").encode("utf-8", "surrogatepass").lower().split()
-            if not ws:
-                return 0
-            if len(ws) <= shingle:
-                return xxh64_intdigest(b" ".join(ws), seed)
-            joined = map(b" ".join, zip(*(ws[i:] for i in range(shingle))))
-            hashes = np.fromiter((xxh64_intdigest(s, seed) for s in joined), "<u8", len(ws) - shingle + 1)
-            ones = np.zeros(64, np.int64)
-            for at in range(0, len(hashes), 8192):
-                ones += np.unpackbits(hashes[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                fps = np.array([fingerprint(t) for t in part.column(2).to_pylist()], np.uint64).view(np.int64)
+                fps = np.array([majority(hashed(t, shingle, seed)) for t in part.column(2).to_pylist()], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps)], names=["doc_id", "th", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, fp long")
@@ -105,8 +113,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star rounds (Kiveris et al., 2014) until nothing changes.  Each
     round's edges are written to the shared folder; only their digest reaches the driver."""
+    spark = edges.sparkSession
     edges = common.saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
-    before = None
+    before = old = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -114,11 +123,14 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.where("u != v").distinct()
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = common.saved(small.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        folder = common.shared_dir(spark)
+        edges = common.saved(small.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), folder=folder)
         now = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)")).alias("s")).first()
+        if old:
+            common.remove(spark, old)  # the round before the last is read no more
         if now == before:
             break
-        before = now
+        before, old = now, folder
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
@@ -134,22 +146,32 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, bits: int = BITS
     return marked.join(named, "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest doc_id."""
-    return first_of(docs, near_duplicates(docs, **options))
+def keep_first(docs: DataFrame, *, similarity: tuple[int, int] | None = None, **options) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest doc_id.
+
+    With ``similarity`` (a fraction), links are pairs of texts whose sets of shingles have
+    that Jaccard similarity or more.  Fingerprints find the closest of them by pigeonhole
+    blocks; at 0.8, a pair differs in ten of 64 bits on average, which no choice of blocks
+    can find, so :mod:`near_copies` finds the rest, exactly."""
+    if similarity is None:
+        return first_of(docs, near_duplicates(docs, **options))
+    from . import near_copies
+
+    return first_of(docs, near_copies.near_copies(docs, similarity=similarity, **options))
 
 
 def first_of(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` with one row of each ``root`` of ``found`` (doc_id, th, root, a row for each of ``docs``)."""
+    """``docs`` with one row of each ``root`` of ``found`` (doc_id, th, root, a row for each of
+    ``docs``): that of the smallest doc_id.  Rows that repeat both id and text are one document."""
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("k"))
     first = common.saved(first.select("k.doc_id", "k.th"))
     mine = F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.doc_id")) & (F.xxhash64("d.text") == F.col("k.th"))
     kept = docs.alias("d").join(first.alias("k"), mine, "left_semi")
-    # Rows that repeat both id and text are one document: told apart only where there are any.
+    # Only where there are such rows at all are they told apart.
     again = common.saved(found.groupBy("doc_id", "th").count().where("count > 1").select("doc_id", "th"))
     if again.first() is None:
         return kept
-    repeats = kept.alias("d").join(again.alias("k"), mine, "left_semi").withColumn("th", F.xxhash64("text")).dropDuplicates(["doc_id", "th"]).select(*docs.columns)
+    repeats = kept.alias("d").join(again.alias("k"), mine, "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.alias("d").join(again.alias("k"), mine, "left_anti").unionByName(repeats)
 
 
