@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from storyflow.llm import near_copies
+from storyflow.llm import simhash
 
 from .test_operators import ODD, documents, rows
 
@@ -58,5 +58,5 @@ def test_stage_drops_texts_alike_to_four_fifths(spark, sf):
 @pytest.mark.parametrize("crowd", [64, 3])
 def test_no_pair_is_lost_or_added(spark, crowd):
     docs = made()
-    assert rows(near_copies.keep_first(documents(spark, docs), crowd=crowd), "doc_id") == brute_kept(docs)
-    assert near_copies.keep_first(documents(spark, docs).limit(0)).count() == 0
+    assert rows(simhash.keep_first(documents(spark, docs), shingle=5, similarity=(4, 5), crowd=crowd), "doc_id") == brute_kept(docs)
+    assert simhash.keep_first(documents(spark, docs).limit(0), shingle=5, similarity=(4, 5)).count() == 0
