@@ -39,8 +39,8 @@ def tracking_free(c: Column | str) -> Column:
 
 
 def page_key(c: Column | str) -> Column:
-    """Host without www., and path."""
-    return F.concat(F.regexp_replace(F.lower(part(c, 2)), r"^www\.", ""), F.rtrim(part(c, 3), F.lit("/")))
+    """Host without www., and path, both case-folded."""
+    return F.concat(F.regexp_replace(F.lower(part(c, 2)), r"^www\.", ""), F.rtrim(F.lower(part(c, 3)), F.lit("/")))
 
 
 def article_id(c: Column | str) -> Column:
@@ -48,14 +48,15 @@ def article_id(c: Column | str) -> Column:
     return F.regexp_extract(blank(c), r"/article/(\d+)", 1)
 
 
-def page_type(c: Column | str) -> Column:
-    """What a path looks like, first match first."""
-    path = F.lower(part(c, 3))
+def page_type(c: Column | str, html: Column | str) -> Column:
+    """What an address and its page look like, first match first: no path, a listing's path, a
+    feed's root, just one article element."""
+    path, page = F.rtrim(part(c, 3), F.lit("/")), blank(html)
     return (
-        F.when(path.isin("", "/"), "homepage")
-        .when(path.rlike(r"\.(xml|rss|atom)$|/(feed|rss)(/|$)"), "feed")
-        .when(path.rlike(r"/(news|latest|articles|blog|category)/?$"), "listing page")
-        .when(path.rlike(r"/(news|article|articles|story|blog)/.+"), "article page")
+        F.when(path == "", "homepage")
+        .when(path.rlike(r"(?i)/(news|latest|blog|articles?|stories)(/|$)"), "listing page")
+        .when(page.rlike(r"(?i)<rss[\s>/]"), "feed")
+        .when(F.regexp_count(page, F.lit(r"(?i)<article[\s>/]")) == 1, "article page")
         .otherwise("website page")
     )
 

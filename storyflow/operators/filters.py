@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..data.places import PLACES
+from ..data.rules import ARTICLE_URL_PARTS, BLOCKED_SUMMARIES, EXCLUDED_TITLES, URL_PENALTIES
 from ..functions.text import blank, casefold, clean
 
 
@@ -96,19 +97,34 @@ def validation_errors(title: Column | str, body: Column | str, least_title: int
     )
 
 
-def title_passes(title: Column | str, stop: tuple[str, ...] = ("read more", "latest news", "home", "contact us"), excluded: str | None = None) -> Column:
-    """Eight characters and two words or more, no stop title, not excluded."""
+def title_passes(title: Column | str, stop: tuple[str, ...] = EXCLUDED_TITLES, excluded: str | None = None) -> Column:
+    """Eight characters and two words or more, no stop title (marks at its ends apart), not excluded."""
     t = clean(title)
-    good = (F.char_length(t) >= 8) & (F.size(F.split(t, " ")) >= 2) & ~casefold(t).isin(*stop)
+    good = (F.char_length(t) >= 8) & (F.size(F.split(t, " ")) >= 2) & ~F.btrim(casefold(t), F.lit(" .:-–—")).isin(*stop)
     return good & ~t.rlike(f"(?i){excluded}") if excluded else good
 
 
-def candidate_score(title: Column, url: Column, has_date: Column, has_image: Column, paragraphs: Column, negative: tuple[tuple[str, int], ...] = (("cookie", 50), ("privacy", 80), ("login", 100))) -> Column:
-    """A page's points as an article: what speaks for it, less what speaks against."""
-    points = F.when(blank(url).rlike(r"/(news|article|story)"), 40).otherwise(0) + F.when(has_date, 30).otherwise(0)
-    points = points + F.when(F.char_length(clean(title)).between(20, 120), 25).otherwise(0) + F.when(has_image, 20).otherwise(0) + F.when(paragraphs > 0, 10).otherwise(0)
-    for word, less in negative:
-        points = points - F.when(F.contains(casefold(title), F.lit(word)), less).otherwise(0)
+def url_score(url: Column | str, now: Column, parts: tuple[str, ...] = ARTICLE_URL_PARTS, penalties: tuple[tuple[str, int], ...] = URL_PENALTIES) -> Column:
+    """40 for an article's address (a known part, or a year from 2000 to the next in its path), less the
+    penalty of each word in it that speaks against one."""
+    low = casefold(url)
+    path = F.regexp_extract(blank(url), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
+    years = F.regexp_extract_all(path, F.lit(r"(?:^|/)(20[0-9]{2})(?:/|$)"), F.lit(1))
+    dated = F.exists(years, lambda y: y.cast("int") <= F.year(now) + 1)
+    known = F.lit(False)
+    for p in parts:
+        known = known | F.contains(low, F.lit(p))
+    points = F.when(known | dated, 40).otherwise(0)
+    for word, less in penalties:
+        points = points + F.when(low.rlike(f"(?<![a-z0-9]){word}(?![a-z0-9])"), less).otherwise(0)
+    return points
+
+
+def candidate_score(url: Column, title: Column, now: Column, *, has_date: Column, has_image: Column, has_schema: Column, has_json_ld: Column, has_open_graph: Column, has_paragraph: Column) -> Column:
+    """A link's points as an article: its address's, and those of what its card shows."""
+    points = url_score(url, now) + F.when(F.char_length(blank(title)).between(20, 120), 25).otherwise(0)
+    for there, more in ((has_date, 30), (has_image, 20), (has_schema, 20), (has_json_ld, 15), (has_open_graph, 15), (has_paragraph, 10)):
+        points = points + F.when(there, more).otherwise(0)
     return points
 
 
@@ -125,14 +141,15 @@ def media_decision(created: Column, status: Column, embargo: Column, kind: Colum
     )
 
 
-def meaningful_summary(c: Column | str, blocked: tuple[str, ...] = ("published", "share this", "image")) -> Column:
+def meaningful_summary(c: Column | str, blocked: tuple[str, ...] = BLOCKED_SUMMARIES) -> Column:
     """The summary, or nothing where it starts as boilerplate, is a few words without an end, or only quotes."""
     s = clean(c)
+    low = F.btrim(casefold(s), F.lit(" :.-"))
     few = (F.size(F.split(s, " ")) <= 8) & ~s.rlike(r"[.!?]$")
     starts = F.lit(False)
     for b in blocked:
-        starts = starts | F.startswith(casefold(s), F.lit(b))
-    return F.when(starts | few | s.rlike("^[\"“].*[\"”]$"), "").otherwise(s)
+        starts = starts | F.startswith(low, F.lit(b))
+    return F.when(starts | few | (s.rlike("^[\"“‘']") & s.rlike("[\"”’']$")), "").otherwise(s)
 
 
 def search(df: DataFrame, text: str, columns: list[str]) -> DataFrame:

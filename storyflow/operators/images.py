@@ -6,16 +6,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..data.boilerplate import BOILERPLATE_LINES
+from ..data.rules import DECORATIONS
 from ..functions.text import blank, casefold, clean
 
-#: What a decoration's address holds.
-DECORATIONS = "logo|icon|avatar|placeholder|sprite|pixel"
+def url_dimensions(url: Column) -> tuple[Column, Column]:
+    """Width and height that an address names, the first of: 900x600, width= and height=, /standard/900/ (16 to 9); else 0."""
+    both = r"(?i)(?<![0-9])([0-9]{2,4})x([0-9]{2,4})(?![0-9])"
+    asked = r"(?i)[?&](?:width|w)=([0-9]{2,4}).*?[?&](?:height|h)=([0-9]{2,4})"
+    served = r"(?i)/(?:standard|news|ace)/([0-9]{2,4})(?=/)"
+    number = lambda pattern, i: F.regexp_extract(blank(url), pattern, i).cast("int")
+    there = lambda pattern: blank(url).rlike(pattern)
+    width = F.when(there(both), number(both, 1)).when(there(asked), number(asked, 1)).when(there(served), number(served, 1)).otherwise(0)
+    height = F.when(there(both), number(both, 2)).when(there(asked), number(asked, 2)).when(there(served), F.floor(number(served, 1) * 9 / 16).cast("int")).otherwise(0)
+    return width, height
 
 
 def feed_image_score(url: Column, width: Column, height: Column, metadata: Column) -> Column:
-    """The area, the square of the width or 1; much more from metadata, far less for decorations."""
+    """The area, the square of the width or 1, sizes also read from the address; much more from
+    metadata, far less for decorations."""
+    w, h = url_dimensions(url)
+    width, height = F.greatest(width, w).cast("long"), F.greatest(height, h).cast("long")
     area = F.when((width > 0) & (height > 0), width * height).when(width > 0, width * width).otherwise(1)
-    return area.cast("long") + F.when(metadata, 2_000_000).otherwise(0) - F.when(F.lower(blank(url)).rlike(DECORATIONS), 5_000_000).otherwise(0)
+    return area + F.when(metadata, 2_000_000).otherwise(0) - F.when(casefold(url).rlike("|".join(DECORATIONS)), 5_000_000).otherwise(0)
 
 
 def best_image(candidates: Column) -> Column:

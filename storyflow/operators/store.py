@@ -100,38 +100,54 @@ class Snapshots:
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
 
-    def _pointer(self) -> list[str]:
-        if not self._fs.exists(self._path("current.json")):
-            return []
-        text = self.spark.read.text(f"{self.folder}/current.json", wholetext=True).first()["value"]
-        try:
-            return list(json.loads(text)["versions"])
-        except (ValueError, KeyError, TypeError):
+    def _pointers(self) -> list[str]:
+        """The pointer files, newest first: each has a number higher than those before."""
+        if not self._fs.exists(self._path("")):
             return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._path(""))]
+        return sorted((n for n in names if n.startswith("current-") and n.endswith(".json")), reverse=True)
+
+    def _pointer(self) -> list[str]:
+        """The versions that the newest readable pointer names."""
+        for name in self._pointers():
+            text = self.spark.read.text(f"{self.folder}/{name}", wholetext=True).first()
+            try:
+                return list(json.loads(text["value"])["versions"])
+            except (ValueError, KeyError, TypeError):
+                continue
+        return []
 
     def save(self, df: DataFrame) -> str:
-        """Writes a version whole, then names it; at most the version before is kept beside it."""
+        """Writes a version whole, then a new pointer that names it; a crash at any time leaves the
+        pointer before.  At most the version before is kept beside the new one."""
         import uuid
 
         name = f"v-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.folder}/{name}")
-        old = self._pointer()
-        out = self._fs.create(self._path("current.json.new"), True)
+        old, pointers = self._pointer(), self._pointers()
+        number = int(pointers[0][8:-5]) + 1 if pointers else 0
+        draft = self._path(f".draft-{name}")
+        out = self._fs.create(draft, True)
         out.write(bytearray(json.dumps({"versions": [name, *old[:1]]}).encode()))
         out.close()
-        self._fs.delete(self._path("current.json"), False)
-        self._fs.rename(self._path("current.json.new"), self._path("current.json"))
+        if not self._fs.rename(draft, self._path(f"current-{number:012d}.json")):
+            raise OSError(f"another writer has saved pointer {number} of {self.folder}")
+        for gone in pointers:
+            self._fs.delete(self._path(gone), False)
         for gone in old[1:]:
             self._fs.delete(self._path(gone), True)
         return name
 
     def load(self) -> DataFrame | None:
-        """The newest version that can be read."""
-        from pyspark.errors import AnalysisException
+        """The newest version that can be read whole; one that is damaged inside is passed over."""
+        from py4j.protocol import Py4JJavaError
+        from pyspark.errors import PySparkException
 
         for name in self._pointer():
             try:
-                return self.spark.read.parquet(f"{self.folder}/{name}")
-            except AnalysisException:
+                df = self.spark.read.parquet(f"{self.folder}/{name}")
+                df.write.format("noop").mode("overwrite").save()
+                return df
+            except (PySparkException, Py4JJavaError):
                 continue
         return None

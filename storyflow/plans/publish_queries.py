@@ -6,37 +6,98 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..data.boilerplate import BOILERPLATE_LINES
+from ..data.rules import BLOCKED_SUMMARIES, DECORATIONS, NOISE_PREFIXES, SCRAPE_NOISE
 from ..functions import numbers
 from ..functions.text import casefold
-from ..operators import editing, filters, images, publish
+from ..operators import articles, editing, filters, images, publish
 from ..streaming import state
 from .registry import query, stories, table
-from .text_queries import c, fold
+from .text_queries import c, fold, key
 
 _PS = f"list_filter(list_transform(string_split(trim(body), chr(10)), lambda x: {c('x')}), lambda x: x <> '')"
-_ESC = "replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;')"
+_ESC = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;')"
+
+#: What stories lack to exercise the rules: a prefix, repeated and noisy paragraphs, a quote first, the title as summary.
+_NEWS = """news AS (SELECT pos, CASE WHEN pos % 3 = 0 THEN 'Latest News – ' || title WHEN pos % 13 = 0 THEN ' - ' ELSE title END AS title, CASE WHEN pos % 11 = 0 THEN upper(title) WHEN pos % 17 = 0 THEN 'Sign up!' WHEN pos % 4 = 0 THEN '' ELSE summary END AS summary,
+ CASE WHEN pos % 19 = 0 THEN '' ELSE CASE WHEN pos % 7 = 0 THEN '“It''s a quote,” <they> said & left.' || chr(10) ELSE '' END || body || CASE WHEN pos % 5 = 0 THEN chr(10) || 'a photo.JPG' || chr(10) || 'Subscribe to us' || chr(10) || body || chr(10) || 'He said "yes" then.' ELSE '' END END AS body,
+ source, CASE WHEN pos % 2 = 0 THEN 'Lincoln' ELSE '' END AS location, lang AS category, CASE WHEN pos % 3 = 1 THEN strftime(published, '%Y-%m-%d') ELSE '' END AS published FROM stories)"""
+
+
+def news(spark, sf):
+    p, at = F.col("pos"), F.col("pos") % 5 == 0
+    more = F.concat(F.lit("\na photo.JPG\nSubscribe to us\n"), "body", F.lit('\nHe said "yes" then.'))
+    body = F.concat(F.when(p % 7 == 0, "“It's a quote,” <they> said & left.\n").otherwise(""), "body", F.when(at, more).otherwise(""))
+    return stories(spark, sf).select(
+        "pos",
+        F.when(p % 3 == 0, F.concat(F.lit("Latest News – "), "title")).when(p % 13 == 0, " - ").otherwise(F.col("title")).alias("title"),
+        F.when(p % 11 == 0, F.upper("title")).when(p % 17 == 0, "Sign up!").when(p % 4 == 0, "").otherwise(F.col("summary")).alias("summary"),
+        F.when(p % 19 == 0, "").otherwise(body).alias("body"),
+        "source",
+        F.when(p % 2 == 0, "Lincoln").otherwise("").alias("location"),
+        F.col("lang").alias("category"),
+        F.when(p % 3 == 1, F.date_format("published", "yyyy-MM-dd")).otherwise("").alias("published"),
+    )
+
+
+def _noise(x: str) -> str:
+    fixed = ", ".join(f"'{v}'" for v in SCRAPE_NOISE)
+    return rf"({key(x)} = '' OR {key(x)} IN ({fixed}) OR regexp_full_match(trim({x}), '(?i)[^\n]*\.(jpg|jpeg|png|gif|webp|svg)') OR " + " OR ".join(f"starts_with({key(x)}, '{v}')" for v in NOISE_PREFIXES) + ")"
+
+
+_ART = rf"""{_NEWS}, a1 AS (SELECT *, trim(regexp_replace({c('title')}, '(?i)^(?:news|latest news|press release)\s*[:\-–—]\s*', ''), ' -–—') AS t, {c('summary')} AS s0, {_PS} AS lines FROM news),
+a2 AS (SELECT *, CASE WHEN {key('s0')} = {key('t')} OR {_noise('s0')} THEN '' ELSE s0 END AS s FROM a1),
+a3 AS (SELECT *, list_filter(lines, lambda x: NOT {_noise('x')} AND {key('x')} <> {key('t')} AND {key('x')} <> {key('s')}) AS own FROM a2),
+a4 AS (SELECT *, list_transform(own, lambda x: {key('x')}) AS keys FROM a3),
+art AS (SELECT pos, CASE WHEN t = '' THEN 'Untitled story' ELSE t END AS t, s, list_filter(own, lambda x, i: list_position(keys, keys[i]) = i) AS ps,
+ CASE WHEN source <> '' THEN ['Source: ' || source] ELSE [] END AS f1, CASE WHEN location <> '' THEN ['Area: ' || location] ELSE [] END AS f2, CASE WHEN category <> '' THEN ['Category: ' || category] ELSE [] END AS f3,
+ CASE WHEN published <> '' THEN ['Published: ' || published] ELSE [] END AS f4 FROM a4)"""
+_FALL = f"CASE WHEN s = '' AND len(ps) = 0 THEN '{publish.FALLBACK}' ELSE '' END"
+_FOOT = "array_to_string(list_concat(f1, f2, f3, f4), ' | ')"
+
+
+def _sections(x: str) -> str:
+    return f"array_to_string(list_filter(list_transform({x}, lambda x: trim(x)), lambda x: x <> ''), chr(10) || chr(10))"
+
+
+@query("p2_articles", f", {_ART} SELECT pos, t AS title, s AS summary, len(ps) AS n, sha256(array_to_string(ps, '¶')) AS paragraphs FROM art")
+def built(spark, sf):
+    a = articles.build(news(spark, sf)).select("pos", "article.*")
+    return a.select("pos", "title", "summary", F.size("paragraphs").cast("long").alias("n"), F.sha2(F.array_join("paragraphs", "¶"), 256).alias("paragraphs"))
 
 
-@query("p3_plain_text", f"SELECT pos, sha256(array_to_string(list_filter(list_concat([{c('title')}], {_PS}), lambda x: x <> ''), chr(10) || chr(10))) AS plain FROM stories")
+@query("p3_plain_text", f", {_ART} SELECT pos, sha256({_sections(f'list_concat([t, s], ps, [{_FALL}, array_to_string(list_concat(f1, f2, f4), chr(32) || chr(124) || chr(32))])')}) AS plain FROM art")
 def plain_text(spark, sf):
-    return stories(spark, sf).select("pos", F.sha2(publish.plain_text("title", "body"), 256).alias("plain"))
+    return articles.build(news(spark, sf)).select("pos", F.sha2(publish.plain_text(F.col("article")), 256).alias("plain"))
 
 
-@query("p4_html_and_markdown", f"""SELECT pos, sha256('# ' || {c('title')} || CASE WHEN len({_PS}) = 0 THEN '' ELSE chr(10) || chr(10) || array_to_string({_PS}, chr(10) || chr(10)) END) AS markdown,
- sha256('<article>' || chr(10) || '<h1>' || {_ESC.format(c('title'))} || '</h1>' || chr(10) || array_to_string(list_transform({_PS}, lambda p: '<p>' || {_ESC.format('p')} || '</p>'), chr(10)) || chr(10) || '</article>') AS html FROM stories""")
+@query("p4_html_and_markdown", f""", {_ART} SELECT pos, sha256({_sections(f"list_concat(['# ' || t, CASE WHEN s <> '' THEN '**' || s || '**' ELSE '' END], ps, [{_FALL}, CASE WHEN {_FOOT} <> '' THEN '*' || {_FOOT} || '*' ELSE '' END])")}) AS markdown,
+ sha256(array_to_string(['<!DOCTYPE html>', '<html lang="en">', '<head>', '<meta charset="utf-8">', '<title>' || {_ESC.format('t')} || '</title>', '</head>', '<body>', '<article>', '<h1>' || {_ESC.format('t')} || '</h1>',
+ CASE WHEN s <> '' THEN '<p><strong>' || {_ESC.format('s')} || '</strong></p>' ELSE '' END, CASE WHEN s = '' AND len(ps) = 0 THEN '<p>{publish.FALLBACK}</p>' ELSE array_to_string(list_transform(ps, lambda p: '<p>' || {_ESC.format('p')} || '</p>'), chr(10)) END,
+ CASE WHEN {_FOOT} <> '' THEN '<p><small>' || {_ESC.format(_FOOT)} || '</small></p>' ELSE '' END, '</article>', '</body>', '</html>', ''], chr(10))) AS html FROM art""")
 def html_and_markdown(spark, sf):
-    return stories(spark, sf).select("pos", F.sha2(publish.markdown("title", "body"), 256).alias("markdown"), F.sha2(publish.html_page("title", "body"), 256).alias("html"))
+    a = F.col("article")
+    return articles.build(news(spark, sf)).select("pos", F.sha2(publish.markdown(a), 256).alias("markdown"), F.sha2(publish.html_page(a), 256).alias("html"))
 
 
-@query("p7_breaking", f"""SELECT pos, 'BREAKING: ' || {c('title')} || chr(10) || chr(10) || CASE WHEN s = '' OR regexp_matches(s, '[.!?:;”\"’]$') THEN s ELSE s || '.' END AS breaking FROM (SELECT pos, title, CASE WHEN len(string_split({c('summary')}, ' ')) <= 55 THEN {c('summary')} ELSE rtrim(array_to_string(string_split({c('summary')}, ' ')[1:55], ' '), ' ,;:-') || '…' END AS s FROM stories)""")
+@query("p7_breaking", f""", {_ART} SELECT pos, {_sections("['🚨 BREAKING NEWS', t, CASE WHEN len(string_split(x, ' ')) <= 55 THEN x ELSE rtrim(array_to_string(string_split(x, ' ')[1:55], ' '), ' ,;:-') || '…' END]")} AS breaking FROM (SELECT *, CASE WHEN s <> '' THEN s ELSE coalesce(ps[1], '') END AS x FROM art)""")
 def breaking(spark, sf):
-    return stories(spark, sf).select("pos", publish.breaking("title", "summary").alias("breaking"))
+    return articles.build(news(spark, sf)).select("pos", publish.breaking(F.col("article")).alias("breaking"))
 
 
-@query("p5_newsletter", f"""SELECT pos, length(t) AS n, sha256(t) AS text FROM (SELECT pos, list_reduce(list_concat([{c('title')}], {_PS}[1:4]), lambda s, p: CASE WHEN length(s) + 2 + length(p) <= 1800 THEN s || chr(10) || chr(10) || p ELSE s END) AS t FROM stories WHERE NOT regexp_matches({c('body')}, '^["“]'))""")
+_QUOTE = publish.QUOTE.replace("\\", "")
+_LAST = lambda mark, back: f"CASE WHEN instr(reverse(h), {back}) > 0 THEN length(h) - instr(reverse(h), {back}) - {mark} + 1 ELSE -1 END"
+
+
+@query("p5_newsletter", f""", {_ART}, n1 AS (SELECT *, CASE WHEN s <> '' THEN s ELSE coalesce(ps[1], '') END AS o FROM art), n2 AS (SELECT *, list_filter(ps, lambda x: {key('x')} <> {key('o')}) AS l FROM n1),
+n3 AS (SELECT *, list_filter(range(1, len(l) + 1), lambda i: regexp_matches(l[i], '{_QUOTE}')) AS q, list_filter(range(1, len(l) + 1), lambda i: NOT regexp_matches(l[i], '{_QUOTE}'))[1:4] AS k FROM n2),
+n4 AS (SELECT *, list_transform(CASE WHEN len(q) = 0 OR (len(k) = 4 AND q[1] > k[4]) THEN k WHEN len(k) = 4 THEN list_concat(k[1:3], q[1:1]) ELSE list_concat(k, q[1:1]) END, lambda i: l[i]) AS b FROM n3),
+n5 AS (SELECT pos, {_sections(f"list_concat([t, o], b, [CASE WHEN s = '' AND len(ps) = 0 THEN '{publish.NEWSLETTER_FALLBACK}' ELSE '' END, array_to_string(list_concat(f2, f3, f1), ' | ')])")} AS w FROM n4),
+n6 AS (SELECT *, substr(w, 1, 1799) AS h FROM n5), n7 AS (SELECT *, {_LAST(2, 'chr(10) || chr(10)')} AS gap, greatest({_LAST(2, "' .'")}, {_LAST(2, "' !'")}, {_LAST(2, "' ?'")}) AS stop FROM n6),
+n8 AS (SELECT pos, CASE WHEN length(w) <= 1800 THEN w ELSE regexp_replace(CASE WHEN gap > 900 THEN substr(h, 1, gap) WHEN stop > 900 THEN substr(h, 1, stop + 1) ELSE h END, '\\s+$', '') || '…' END AS x FROM n7)
+SELECT pos, length(x) AS n, sha256(x) AS text FROM n8""")
 def newsletter(spark, sf):
-    t = publish.newsletter("title", "body")
-    return stories(spark, sf).where(~F.trim("body").rlike('^["“]')).select("pos", F.char_length(t).cast("long").alias("n"), F.sha2(t, 256).alias("text"))
+    t = publish.newsletter(F.col("article"))
+    return articles.build(news(spark, sf)).select("pos", t.alias("t")).select("pos", F.char_length("t").cast("long").alias("n"), F.sha2("t", 256).alias("text"))
 
 
 @query("n50_cards", f"SELECT pos, CASE WHEN length({c('body')}) > 190 THEN substr({c('body')}, 1, 187) || '...' ELSE {c('body')} END AS card, CASE WHEN pos % 3 = 0 THEN 'no image' WHEN pos % 2 = 0 THEN 'approved' ELSE 'not reviewed' END AS rights FROM stories")
@@ -54,9 +115,19 @@ def change_labels(spark, sf):
     return g.select("module", "day", state.change_label(F.col("n"), F.col("before"), F.col("n") - F.col("before")).alias("label"))
 
 
-@query("f26_meaningful_summaries", f"""SELECT pos, CASE WHEN starts_with({fold('s')}, 'published') OR starts_with({fold('s')}, 'share this') OR starts_with({fold('s')}, 'image') OR (len(string_split(s, ' ')) <= 8 AND NOT regexp_matches(s, '[.!?]$')) OR regexp_matches(s, '^["“].*["”]$') THEN '' ELSE s END AS summary FROM (SELECT pos, {c('summary')} AS s FROM stories)""")
+def _blocked(x: str) -> str:
+    return " OR ".join("starts_with({}, '{}')".format(f"trim({fold(x)}, ' :.-')", v.replace("'", "''")) for v in BLOCKED_SUMMARIES)
+
+
+_SUMMARIES = "SELECT pos, CASE pos % 6 WHEN 0 THEN 'Image caption: ' || title WHEN 1 THEN ' – ' || title WHEN 2 THEN '“' || summary || '”' WHEN 3 THEN ': Please try again ' || summary WHEN 4 THEN chr(39) || title || chr(39) ELSE summary END AS summary FROM stories"
+
+
+@query("f26_meaningful_summaries", f"""SELECT pos, CASE WHEN {_blocked('s')} OR (len(string_split(s, ' ')) <= 8 AND NOT regexp_matches(s, '[.!?]$')) OR (regexp_matches(s, '^["“‘'']') AND regexp_matches(s, '["”’'']$')) THEN '' ELSE s END AS summary FROM (SELECT pos, {c('summary')} AS s FROM ({_SUMMARIES}))""")
 def meaningful_summaries(spark, sf):
-    return stories(spark, sf).select("pos", filters.meaningful_summary("summary").alias("summary"))
+    p, kind = F.col("pos"), F.col("pos") % 6
+    summary = F.when(kind == 0, F.concat(F.lit("Image caption: "), "title")).when(kind == 1, F.concat(F.lit(" – "), "title")).when(kind == 2, F.concat(F.lit("“"), "summary", F.lit("”")))
+    summary = summary.when(kind == 3, F.concat(F.lit(": Please try again "), "summary")).when(kind == 4, F.concat(F.lit("'"), "title", F.lit("'"))).otherwise(F.col("summary"))
+    return stories(spark, sf).select(p, filters.meaningful_summary(summary).alias("summary"))
 
 
 @query("o2_oldest_first", "SELECT pos, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN lang <> 'es' THEN published END ASC NULLS FIRST, pos) AS oldest, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN lang <> 'es' THEN published END ASC NULLS LAST, pos) AS oldest_last FROM stories")
@@ -103,18 +174,26 @@ def own_lines(spark, sf):
     return stories(spark, sf).select("pos", F.array_join(images.own_lines("body"), "\n").alias("body"))
 
 
-@query("x8_best_images", """SELECT pos, CASE WHEN pos % 5 = 0 THEN 'https://x.org/meta.jpg' WHEN pos % 3 = 0 THEN 'https://x.org/wide.jpg' WHEN pos % 7 = 0 THEN 'https://x.org/small.jpg' END AS image FROM stories""")
+#: Three candidates a story: two by address and size, one logo.
+_CANDIDATES = """SELECT pos, unnest([{'i': 0, 'url': 'https://x.org/' || pos % 9 || '00x' || pos % 7 || '50/a.jpg', 'w': pos % 4 * 100, 'h': pos % 3 * 90, 'meta': pos % 5 = 0},
+ {'i': 1, 'url': 'https://x.org/ace/standard/' || (pos % 6 + 1) || '20/b.jpg?width=' || (pos % 8 + 2) || '0&height=40', 'w': 0, 'h': 0, 'meta': pos % 11 = 0},
+ {'i': 2, 'url': 'https://x.org/site-' || CASE WHEN pos % 2 = 0 THEN 'Crest' ELSE 'photo' END || '.png', 'w': pos % 10 * 60, 'h': 0, 'meta': FALSE}]) AS k FROM stories"""
+
+
+@query("x8_best_images", rf"""SELECT pos, CASE WHEN max(score) > 0 THEN first(url ORDER BY score DESC, i) END AS image FROM (SELECT pos, i, url, CASE WHEN w > 0 AND h > 0 THEN w * h WHEN w > 0 THEN w * w ELSE 1 END + CASE WHEN meta THEN 2000000 ELSE 0 END
+ - CASE WHEN regexp_matches(lower(url), '{"|".join(DECORATIONS)}') THEN 5000000 ELSE 0 END AS score FROM (SELECT pos, i, url, meta, greatest(w, CASE WHEN a[1] <> '' THEN CAST(a[1] AS BIGINT) WHEN b[1] <> '' THEN CAST(b[1] AS BIGINT) WHEN d <> '' THEN CAST(d AS BIGINT) ELSE 0 END) AS w,
+ greatest(h, CASE WHEN a[1] <> '' THEN CAST(a[2] AS BIGINT) WHEN b[1] <> '' THEN CAST(b[2] AS BIGINT) WHEN d <> '' THEN CAST(d AS BIGINT) * 9 // 16 ELSE 0 END) AS h FROM (SELECT pos, k.i AS i, k.url AS url, k.w AS w, k.h AS h, k.meta AS meta,
+ [regexp_extract(k.url, '(^|[^0-9])([0-9]{{2,4}})[xX]([0-9]{{2,4}})($|[^0-9])', 2), regexp_extract(k.url, '(^|[^0-9])([0-9]{{2,4}})[xX]([0-9]{{2,4}})($|[^0-9])', 3)] AS a,
+ [regexp_extract(k.url, '[?&](?:width|w)=([0-9]{{2,4}}).*?[?&](?:height|h)=([0-9]{{2,4}})', 1), regexp_extract(k.url, '[?&](?:width|w)=([0-9]{{2,4}}).*?[?&](?:height|h)=([0-9]{{2,4}})', 2)] AS b, regexp_extract(k.url, '/(?:standard|news|ace)/([0-9]{{2,4}})/', 1) AS d
+ FROM ({_CANDIDATES})))) GROUP BY pos""")
 def best_images(spark, sf):
     p = F.col("pos")
-    one = lambda url, w, h, meta: F.struct(F.lit(url).alias("url"), w.alias("width"), h.alias("height"), F.lit(meta).alias("metadata"))
-    some = F.filter(
-        F.array(
-            F.when(p % 7 == 0, one("https://x.org/small.jpg", F.lit(100), F.lit(80), False)),
-            F.when(p % 3 == 0, one("https://x.org/wide.jpg", F.lit(900), F.lit(0), False)),
-            F.when(p % 5 == 0, one("https://x.org/meta.jpg", F.lit(0), F.lit(0), True)),
-            one("https://x.org/site-logo.png", F.lit(2000), F.lit(2000), False),
-        ),
-        lambda x: x.isNotNull(),
+    text = lambda *parts: F.concat(*[x.cast("string") if not isinstance(x, str) else F.lit(x) for x in parts])
+    one = lambda url, w, h, meta: F.struct(url.alias("url"), w.alias("width"), h.alias("height"), meta.alias("metadata"))
+    some = F.array(
+        one(text("https://x.org/", p % 9, "00x", p % 7, "50/a.jpg"), p % 4 * 100, p % 3 * 90, p % 5 == 0),
+        one(text("https://x.org/ace/standard/", p % 6 + 1, "20/b.jpg?width=", p % 8 + 2, "0&height=40"), F.lit(0).cast("long"), F.lit(0).cast("long"), p % 11 == 0),
+        one(F.concat(F.lit("https://x.org/site-"), F.when(p % 2 == 0, "Crest").otherwise("photo"), F.lit(".png")), p % 10 * 60, F.lit(0).cast("long"), F.lit(False)),
     )
     return stories(spark, sf).select("pos", images.best_image(some).alias("image"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..data import lexicon as default
 from ..data.places import PLACES
+from ..data.rules import ARTICLE_URL_PARTS, EXCLUDED_TITLES, URL_PENALTIES
 from ..functions import dates, text, urls
 from ..operators import classify, dedup, filters, joins, ordering, store
 from ..streaming import state
@@ -88,17 +89,26 @@ def validation(spark, sf):
     return stories(spark, sf).select("pos", F.array_join(filters.validation_errors("title", "body"), "|").alias("errors"))
 
 
-@query("f17_title_gate", f"""SELECT pos FROM (SELECT pos, {c('title')} AS t FROM stories) WHERE length(t) >= 8 AND len(string_split(t, ' ')) >= 2 AND {fold('t')} NOT IN ('read more', 'latest news', 'home', 'contact us') AND NOT regexp_matches(t, '(?i)^the')""")
+_TITLES = "SELECT pos, CASE pos % 5 WHEN 0 THEN '– Latest News: ' WHEN 1 THEN ' Privacy Policy...' ELSE title END AS title FROM stories"
+
+
+@query("f17_title_gate", f"""SELECT pos FROM (SELECT pos, {c('title')} AS t FROM ({_TITLES})) WHERE length(t) >= 8 AND len(string_split(t, ' ')) >= 2 AND trim({fold('t')}, ' .:-–—') NOT IN ({", ".join(f"'{x}'" for x in EXCLUDED_TITLES)}) AND NOT regexp_matches(t, '(?i)^the')""")
 def title_gate(spark, sf):
-    return stories(spark, sf).where(filters.title_passes("title", excluded="^the")).select("pos")
+    title = F.when(F.col("pos") % 5 == 0, "– Latest News: ").when(F.col("pos") % 5 == 1, " Privacy Policy...").otherwise(F.col("title"))
+    return stories(spark, sf).where(filters.title_passes(title, excluded="^the")).select("pos")
 
 
-@query("f20_candidate_scores", f"""SELECT pos, 40 + CASE WHEN pos % 2 = 0 THEN 30 ELSE 0 END + CASE WHEN length({c('title')}) BETWEEN 20 AND 120 THEN 25 ELSE 0 END + CASE WHEN pos % 3 = 0 THEN 20 ELSE 0 END + CASE WHEN pos % 4 > 0 THEN 10 ELSE 0 END
- - CASE WHEN contains({fold('title')}, 'the') THEN 50 ELSE 0 END - CASE WHEN contains({fold('title')}, 'la') THEN 80 ELSE 0 END AS score FROM stories""")
+@query("f20_candidate_scores", rf"""SELECT page_id, CASE WHEN {" OR ".join(f"contains(lower(u), '{x}')" for x in ARTICLE_URL_PARTS)} OR len(list_filter(regexp_extract_all(regexp_extract(u, '://[^/?#]*([^?#]*)', 1), '(?:^|/)(20[0-9]{{2}})(?:/|$)', 1), lambda y: CAST(y AS INTEGER) <= 2025)) > 0 THEN 40 ELSE 0 END
+ + {" + ".join(f"CASE WHEN regexp_matches(lower(u), '(^|[^a-z0-9]){w}($|[^a-z0-9])') THEN {n} ELSE 0 END" for w, n in URL_PENALTIES)}
+ + CASE WHEN length(t) BETWEEN 20 AND 120 THEN 25 ELSE 0 END + CASE WHEN contains(h, '<time') THEN 30 ELSE 0 END + CASE WHEN contains(h, '<img') THEN 20 ELSE 0 END + CASE WHEN contains(h, 'articleBody') THEN 20 ELSE 0 END
+ + CASE WHEN contains(h, 'ld+json') THEN 15 ELSE 0 END + CASE WHEN contains(h, 'og:type') THEN 15 ELSE 0 END + CASE WHEN contains(h, '<p') THEN 10 ELSE 0 END AS score
+ FROM (SELECT page_id, coalesce(html, '') AS h, regexp_extract(coalesce(html, ''), '<title>([^<]*)', 1) AS t, url || CASE page_id % 6 WHEN 0 THEN '/2023/08/policy' WHEN 1 THEN '/Shop/login-now' WHEN 2 THEN '/1999/2031/' WHEN 3 THEN '/2031/2024/' WHEN 4 THEN '/Match-Report/7' ELSE '' END AS u FROM pages)""")
 def candidate_scores(spark, sf):
-    p = F.col("pos")
-    s = filters.candidate_score(F.col("title"), F.col("url"), p % 2 == 0, p % 3 == 0, p % 4, (("the", 50), ("la", 80)))
-    return stories(spark, sf).select("pos", s.alias("score"))
+    i, h = F.col("page_id") % 6, F.coalesce("html", F.lit(""))
+    tail = F.when(i == 0, "/2023/08/policy").when(i == 1, "/Shop/login-now").when(i == 2, "/1999/2031/").when(i == 3, "/2031/2024/").when(i == 4, "/Match-Report/7").otherwise("")
+    there = lambda mark: F.contains(h, F.lit(mark))
+    s = filters.candidate_score(F.concat("url", tail), F.regexp_extract(h, "<title>([^<]*)", 1), now(), has_date=there("<time"), has_image=there("<img"), has_schema=there("articleBody"), has_json_ld=there("ld+json"), has_open_graph=there("og:type"), has_paragraph=there("<p"))
+    return table(spark, sf, "pages").select("page_id", s.alias("score"))
 
 
 @query("f11_media_decisions", f"""SELECT pos, CASE WHEN published < TIMESTAMP '{NOW}' - INTERVAL '72 hours' OR published > TIMESTAMP '{NOW}' THEN 'outside_date_limit' WHEN pos % 7 = 0 THEN 'not_published'

@@ -95,7 +95,7 @@ def hashtag_lists(spark, sf):
 
 @query("n31_urls", r"""SELECT page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || lower(regexp_extract(url, '://([^/?#]*)', 1)) || regexp_replace(p, '/+', '/', 'g') AS query_free,
  rtrim(regexp_replace(lower(trim(url)), '[#?].*$', ''), '/') AS bare, regexp_replace(trim(url), '#.*$', '') AS fragment_free,
- regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^www\.', '') || rtrim(p, '/') AS page_key,
+ regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^www\.', '') || rtrim(lower(p), '/') AS page_key,
  lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || lower(regexp_extract(url, '://([^/?#]*)', 1)) || p || CASE WHEN len(q) = 0 THEN '' ELSE '?' || array_to_string(q, '&') END AS tracking_free
  FROM (SELECT page_id, url, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS p, list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[^=]*|fbclid|gclid)(=|$)')) AS q FROM pages)""")
 def url_forms(spark, sf):
@@ -107,10 +107,13 @@ def plain_pages(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.plain_html("html").alias("plain"))
 
 
-@query("n47_page_types", r"""SELECT page_id, CASE WHEN p IN ('', '/') THEN 'homepage' WHEN regexp_matches(p, '\.(xml|rss|atom)$|/(feed|rss)(/|$)') THEN 'feed' WHEN regexp_matches(p, '/(news|latest|articles|blog|category)/?$') THEN 'listing page'
- WHEN regexp_matches(p, '/(news|article|articles|story|blog)/.+') THEN 'article page' ELSE 'website page' END AS page_type FROM (SELECT page_id, lower(regexp_extract(url, '://[^/?#]*([^?#]*)', 1)) AS p FROM pages)""")
+@query("n47_page_types", r"""SELECT page_id, CASE WHEN p = '' THEN 'homepage' WHEN regexp_matches(p, '(?i)/(news|latest|blog|articles?|stories)(/|$)') THEN 'listing page' WHEN regexp_matches(html, '(?i)<rss[\s>/]') THEN 'feed'
+ WHEN len(regexp_extract_all(html, '(?i)<article[\s>/]')) = 1 THEN 'article page' ELSE 'website page' END AS page_type FROM (SELECT page_id, coalesce(html, '') AS html, rtrim(regexp_extract(u, '://[^/?#]*([^?#]*)', 1), '/') AS p
+ FROM (SELECT page_id, html, CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN regexp_replace(url, '://([^/?#]*).*$', '://\1/About/') ELSE regexp_replace(url, '://([^/?#]*).*$', '://\1/Stories/x') END AS u FROM pages))""")
 def page_types(spark, sf):
-    return table(spark, sf, "pages").select("page_id", urls.page_type("url").alias("page_type"))
+    host, i = F.regexp_extract("url", "^([^:]*://[^/?#]*)", 1), F.col("page_id") % 3
+    u = F.when(i == 0, F.col("url")).when(i == 1, F.concat(host, F.lit("/About/"))).otherwise(F.concat(host, F.lit("/Stories/x")))
+    return table(spark, sf, "pages").select("page_id", urls.page_type(u, "html").alias("page_type"))
 
 
 @query("dt1_parsed_dates", """SELECT pos, epoch_us(published) AS iso, epoch_us(date_trunc('second', published)) AS rfc, epoch_us(date_trunc('day', published)) AS uk, NULL::BIGINT AS bad, strftime(published, '%-d %B %Y') AS shown FROM stories""")

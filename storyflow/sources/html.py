@@ -11,15 +11,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..data.rules import NEGATIVE_KEYWORDS, POSITIVE_KEYWORDS
+
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: What ends an open paragraph or list item.
 _CLOSES = {"p": {"p"}, "li": {"li", "p"}, "div": {"p"}, "section": {"p"}, "article": {"p"}, "ul": {"p"}, "h1": {"p"}, "h2": {"p"}, "h3": {"p"}}
 _SKIPPED = frozenset("script style noscript template svg".split())
 #: Parts of a page that are never its text.
 _CHROME = frozenset("nav header footer aside form button".split())
-_GOOD = ("article", "body", "content", "entry", "main", "post", "story", "text")
-_BAD = ("ad", "advert", "banner", "comment", "cookie", "footer", "menu", "nav", "promo", "related", "share", "sidebar", "social", "subscribe")
-
 
 class Node:
     __slots__ = ("tag", "attrs", "children", "parent")
@@ -94,8 +93,7 @@ def parse(html: str | None) -> Node:
 def score(n: Node) -> int:
     """A container's points as the place of the main text."""
     mark = f"{n.attrs.get('id', '')} {n.attrs.get('class', '')} {n.attrs.get('role', '')}".lower()
-    words = set(re.findall(r"[a-z]+", mark))
-    points = 300 * (n.tag == "article") + 250 * (n.attrs.get("itemprop") == "articleBody") + 40 * sum(g in words for g in _GOOD) - 300 * sum(b in words for b in _BAD)
+    points = 300 * (n.tag == "article") + 250 * (n.attrs.get("itemprop") == "articleBody") + 40 * sum(g in mark for g in POSITIVE_KEYWORDS) - 300 * sum(b in mark for b in NEGATIVE_KEYWORDS)
     paragraphs = n.find("p")
     points += min(len(paragraphs), 30) * 25 - 150 * (len(paragraphs) < 2)
     points += min(len(n.find("h2")), 10) * 20 + min(len(n.find("h3")), 10) * 10
