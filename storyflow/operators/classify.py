@@ -1,12 +1,15 @@
 """Classification by a weighted lexicon, and the decisions that follow from it.
 
-The lexicon is a table of category, priority and keyword weights.  A text's runs of one to
-three words are taken once and looked up in it, so the cost does not grow with the number
-of keywords, and no table is joined.
+The lexicon is a table of category, priority and keyword weights.  A text is cut into words
+once; single words are looked up in it by hash, and runs of several words are made only
+where a word starts a keyword, so the cost does not grow with the number of keywords.
+The lexicon is a part of the plan: some thousands of keywords, not some hundred thousand.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,44 +19,59 @@ from ..functions.text import blank, classifier_text
 SECTIONS = (("title", 3), ("summary", 2), ("body", 1))
 
 
-def word_runs(text: Column, longest: int) -> Column:
-    """Every distinct run of 1 to ``longest`` words parted by single spaces."""
-    runs = [F.regexp_extract_all(text, F.lit(r"(?U)(?<!\w)(?=(\w+" + r" \w+" * (k - 1) + r")(?!\w))"), F.lit(1)) for k in range(1, longest + 1)]
-    return F.array_distinct(F.concat(*runs))
+def word_list(text: Column) -> Column:
+    """The words of a normalised text in order, with a mark wherever more than a space parts them."""
+    return F.split(F.regexp_replace(text, r"(?U)[^\w ]+", " ¦ "), " +")
+
+
+def _runs(words: Column, keywords: list[str], length: int) -> Column:
+    """The distinct ``keywords`` of ``length`` words among ``words``."""
+    first = {k.split(" ")[0] for k in keywords}
+    run = lambda w, i: F.when(w.isin(*first), F.array_join(F.slice(words, i + 1, F.lit(length)), " "))
+    return F.array_distinct(F.filter(F.transform(words, run), lambda r: r.isin(*keywords)))
+
+
+def keywords_in(words: Column, text: Column, keywords: list[str]) -> Column:
+    """The distinct ``keywords`` that stand in a normalised text as whole words.  ``words``
+    and ``text`` must be columns, not expressions: they are read once for each word."""
+    plain = [k for k in keywords if re.fullmatch(r"\w+(?: \w+)*", k)]
+    single = [k for k in plain if " " not in k]
+    found = [F.array_distinct(F.filter(words, lambda w: w.isin(*single)))] if single else []
+    for n in sorted({k.count(" ") + 1 for k in plain} - {1}):
+        found.append(_runs(words, [k for k in plain if k.count(" ") + 1 == n], n))
+    odd = [F.when(has_any(text, (k,)), F.lit(k)) for k in keywords if k not in plain]  # with marks inside
+    return F.concat(*found, *([F.array_compact(F.array(*odd))] if odd else []))
 
 
 def has_any(text: Column, keywords: tuple[str, ...]) -> Column:
     """Whether a normalised text has a keyword as whole words."""
-    import re
-
     return text.rlike(r"(?U)(?<!\w)(?:" + "|".join(re.escape(k) for k in keywords) + r")(?!\w)")
 
 
-def scored(df: DataFrame, lexicon=default.LEXICON, columns: tuple[tuple[str, int], ...] = SECTIONS) -> DataFrame:
+def scored(df: DataFrame, lexicon=default.LEXICON, columns: tuple[tuple[str, int], ...] = SECTIONS, keep_texts: bool = False) -> DataFrame:
     """Adds ``scores`` (category to points) and ``matched`` (keyword to points)."""
     weights: dict[str, list[tuple[str, int]]] = {}
     for category, _, words in lexicon:
         for w, n in words.items():
             weights.setdefault(w, []).append((category, n))
-    longest = max(len(w.split(" ")) for w in weights)
     table = F.array(*[F.lit(w) for w in weights])
     entry = lambda w: F.array(*[F.struct(F.lit(c).alias("category"), F.lit(n).alias("n")) for c, n in weights[w]])
     lookup = F.map_from_arrays(table, F.array(*[entry(w) for w in weights]))
-    hits = None
-    for name, times in columns:
-        found = F.array_intersect(word_runs(classifier_text(name), longest), table)
-        part = _weighted(found, lookup, times)
-        hits = part if hits is None else F.concat(hits, part)
-    # Through explode, so that the optimiser cannot copy the scan of the text into what reads it.
-    df = df.select("*", F.explode(F.array(hits)).alias("_hits"))
+    # Through explode, so that the optimiser cannot copy the cleaning of the text into what reads it.
+    texts = [classifier_text(name) for name, _ in columns]
+    df = df.select("*", F.explode(F.array(F.struct(*[t.alias(f"t{i}") for i, t in enumerate(texts)]))).alias("_texts"))
+    df = df.select("*", F.explode(F.array(F.struct(*[word_list(F.col(f"_texts.t{i}")).alias(f"w{i}") for i in range(len(columns))]))).alias("_words"))
+    parts = [_weighted(keywords_in(F.col(f"_words.w{i}"), F.col(f"_texts.t{i}"), list(weights)), lookup, times) for i, (_, times) in enumerate(columns)]
+    hits = F.concat(*parts)
+    df = df.select("*", F.explode(F.array(hits)).alias("_hits")).drop("_words")
     names = [c for c, _, _ in lexicon]
     total = lambda c: F.aggregate(F.filter("_hits", lambda h: h["category"] == c), F.lit(0), lambda s, h: s + h["points"])
     scores = F.filter(F.transform(F.array(*map(F.lit, names)), lambda c: F.struct(c.alias("key"), total(c).alias("value"))), lambda e: e["value"] > 0)
-    words = F.array_sort(F.array_distinct(F.transform("_hits", lambda h: h["word"])))
+    hit = F.array_sort(F.array_distinct(F.transform("_hits", lambda h: h["word"])))
     # A keyword counts as the most that any of its categories gives it over all sections.
     points = lambda w: F.array_max(F.transform(F.filter("_hits", lambda h: h["word"] == w), lambda h: F.aggregate(F.filter("_hits", lambda g: (g["word"] == w) & (g["category"] == h["category"])), F.lit(0), lambda s, g: s + g["points"])))
-    matched = F.transform(words, lambda w: F.struct(w.alias("key"), points(w).alias("value")))
-    return df.withColumns({"scores": F.map_from_entries(scores), "matched": F.map_from_entries(matched)}).drop("_hits")
+    matched = F.transform(hit, lambda w: F.struct(w.alias("key"), points(w).alias("value")))
+    return df.withColumns({"scores": F.map_from_entries(scores), "matched": F.map_from_entries(matched)}).drop("_hits", *([] if keep_texts else ["_texts"]))
 
 
 def _weighted(found: Column, lookup: Column, times: int) -> Column:
@@ -64,7 +82,7 @@ def _weighted(found: Column, lookup: Column, times: int) -> Column:
 def classified(df: DataFrame, lexicon=default.LEXICON, breaking=default.BREAKING, *, minimum: int = default.MINIMUM_SCORE, most: int = 3) -> DataFrame:
     """Adds primary, secondary, score, confidence, priority and breaking."""
     priorities = F.create_map(*[x for c, p, _ in lexicon for x in (F.lit(c), F.lit(p))])
-    df = scored(df, lexicon)
+    df = scored(df, lexicon, keep_texts=True)
     entry = lambda e: F.struct(e["value"].alias("score"), F.element_at(priorities, e["key"]).alias("priority"), e["key"].alias("category"))
     ranked = F.reverse(F.array_sort(F.transform(F.map_entries("scores"), entry)))
     df = df.select("*", F.explode(F.array(ranked)).alias("_ranked"))
@@ -74,7 +92,7 @@ def classified(df: DataFrame, lexicon=default.LEXICON, breaking=default.BREAKING
     others = F.filter(F.slice("_ranked", 2, 1000), lambda e: e["score"] >= floor)
     share = F.least(F.lit(1.0), top["score"] / 40.0) * 0.65 + (top["score"] - F.coalesce(second["score"], F.lit(0))) / top["score"] * 0.35
     rank = F.least(F.lit(100), top["priority"] + F.when(top["score"] >= 40, 5).otherwise(0) + F.when(top["score"] >= 70, 5).otherwise(0))
-    text = classifier_text(F.concat_ws(" ", *[blank(c) for c, _ in SECTIONS]))
+    text = F.array_join(F.filter(F.array(*[F.col(f"_texts.t{i}") for i in range(len(SECTIONS))]), lambda t: t != ""), " ")
     return df.withColumns(
         {
             "primary": F.when(won, top["category"]).otherwise(default.DEFAULT_CATEGORY),
@@ -84,7 +102,7 @@ def classified(df: DataFrame, lexicon=default.LEXICON, breaking=default.BREAKING
             "priority": F.when(won, rank).otherwise(default.DEFAULT_PRIORITY),
             "breaking": has_any(text, breaking),
         }
-    ).drop("_ranked")
+    ).drop("_ranked", "_texts")
 
 
 def decided(df: DataFrame) -> DataFrame:

@@ -66,7 +66,12 @@ def authority_lists(spark, sf):
     return stories(spark, sf).select("pos", F.array_join(desk.authorities(F.array(one, other)), "|").alias("names"))
 
 
-@query("n42_image_subjects", f"""SELECT pos, CASE WHEN pos % 5 = 4 THEN trim(source) WHEN t = '' THEN trim(source) WHEN pos % 5 = 2 THEN regexp_replace(t, '\\.+$', '') || '. Permission for use' ELSE regexp_replace(t, '\\.+$', '') END AS subject FROM (SELECT pos, source, CASE WHEN pos % 5 = 3 THEN regexp_replace({c('title')}, '\\.$', '') || '.x' ELSE {c('title')} END AS t FROM stories)""")
+_MARKS = "['. credit:', ' credit:', '. permission for', ' permission for']"
+_CAPTION = c("CASE pos % 5 WHEN 0 THEN t || '. CREDIT: A. Person' WHEN 1 THEN t || ' credit: x. Permission for y' WHEN 2 THEN t || '. Permission for use Credit: no' WHEN 3 THEN t || '.x' ELSE '  ' END")
+
+
+@query("n42_image_subjects", rf"""SELECT pos, CASE WHEN cut = '' THEN trim(source) ELSE cut END AS subject FROM (SELECT pos, source, CASE WHEN m IS NULL THEN v ELSE rtrim(trim(substr(v, 1, strpos({fold('v')}, m) - 1)), '.') END AS cut
+ FROM (SELECT pos, source, v, list_filter({_MARKS}, lambda m: contains({fold('v')}, m))[1] AS m FROM (SELECT pos, source, {_CAPTION} AS v FROM (SELECT pos, source, regexp_replace({c('title')}, '\.+$', '') AS t FROM stories))))""")
 def image_subjects(spark, sf):
     i, t = F.col("pos") % 5, F.regexp_replace(F.trim(F.regexp_replace("title", r"(?U)\s+", " ")), r"\.+$", "")
     caption = F.when(i == 0, F.concat(t, F.lit(". CREDIT: A. Person"))).when(i == 1, F.concat(t, F.lit(" credit: x. Permission for y"))).when(i == 2, F.concat(t, F.lit(". Permission for use Credit: no"))).when(i == 3, F.concat(t, F.lit(".x"))).otherwise("  ")
