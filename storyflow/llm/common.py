@@ -91,19 +91,19 @@ def pieces(df: DataFrame, target: int, least: int, *sizes: Column) -> int:
     return max(least, -(-int(total) // target))
 
 
-def offsets(rows: DataFrame, amount: str, by: tuple[str, ...] = ()) -> DataFrame:
+def offsets(rows: DataFrame, amount: str, by: tuple[str, ...] = (), *, chunk: int = CHUNK) -> DataFrame:
     """``rows`` (part, k, ...) with ``at``: the sum of ``amount`` over all rows before it in the
     order of part and k, among those with equal ``by``.
 
-    ``part`` numbers tasks, ``k`` the rows of one.  Sums go up by chunks of ``CHUNK`` rows,
+    ``part`` numbers tasks, ``k`` the rows of one.  Sums go up by chunks of ``chunk`` rows,
     by parts and by ``CHUNK`` parts, so that no task sees more than a chunk's rows, a part's
-    chunks or a row for every ``CHUNK`` parts."""
+    chunks or a row for every ``CHUNK`` parts.  ``by`` parts chunks further: then they may be larger."""
 
     def before(group: list[str], order: str, what: str) -> Column:
         return F.sum(what).over(Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(what)
 
     by = list(by)
-    rows = rows.withColumn("chunk", F.expr(f"k div {CHUNK}"))
+    rows = rows.withColumn("chunk", F.expr(f"k div {chunk}"))
     chunks = rows.groupBy(*by, "part", "chunk").agg(F.sum(amount).alias("c"))
     parts = chunks.groupBy(*by, "part").agg(F.sum("c").alias("c")).withColumn("far", F.expr(f"part div {CHUNK}"))
     far = parts.groupBy(*by, "far").agg(F.sum("c").alias("c")).select(*by, "far", before(by, "far", "c").alias("f"))

@@ -188,7 +188,7 @@ def place(lengths: DataFrame, *, window: int = WINDOW, unit: int = UNIT, depth:
     runs, packed = slots(np.concatenate((fitted_rows, more)), np.concatenate((times, more_times)))
     tables = {c: tuple(np.array(x) for x in zip(*r)) for c, r in runs.items()}
     # The rank in a length class decides the seat.
-    ranked = common.offsets(rows.where("cls > 0"), "one", ("cls",)).select("part", "k", "n", "rest", "cls", F.col("at").alias("rank"))
+    ranked = common.offsets(rows.where("cls > 0"), "one", ("cls",), chunk=4096).select("part", "k", "n", "rest", "cls", F.col("at").alias("rank"))
 
     def seats(frames):
         for pdf in frames:
