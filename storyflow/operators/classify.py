@@ -34,7 +34,7 @@ def _runs(words: Column, keywords: list[str], length: int) -> Column:
 def keywords_in(words: Column, text: Column, keywords: list[str]) -> Column:
     """The distinct ``keywords`` that stand in a normalised text as whole words.  ``words``
     and ``text`` must be columns, not expressions: they are read once for each word."""
-    plain = [k for k in keywords if re.fullmatch(r"\w+(?: \w+)*", k)]
+    plain = [k for k in keywords if re.match(r"\w+(?: \w+)*\Z", k)]
     single = [k for k in plain if " " not in k]
     found = [F.array_distinct(F.filter(words, lambda w: w.isin(*single)))] if single else []
     for n in sorted({k.count(" ") + 1 for k in plain} - {1}):
