@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from storyflow.plans import desk_queries, page_queries, publish_queries, registry, story_queries, text_queries  # noqa: F401
+from storyflow.plans import desk_queries, page_queries, publish_queries, registry, social_queries, story_queries, text_queries  # noqa: F401
 
 
 @pytest.fixture(scope="module")
