@@ -83,10 +83,13 @@ def content_retention(store: DataFrame, now: Column, days: int = 7) -> DataFrame
 
 
 def latest_runs(runs: DataFrame, most: int = 5, by: str = "module") -> DataFrame:
-    """The last runs of each module, with the count before and the change."""
-    w = Window.partitionBy(by).orderBy("started_at")
+    """The last runs of each module, with the count before and the change.
+
+    The runs needed are chosen first, one more than are shown, so that Spark limits each
+    partition before the shuffle; a module's whole history is never sorted."""
     back = Window.partitionBy(by).orderBy(F.desc("started_at"))
-    return runs.withColumns({"previous": F.lag("found").over(w), "change": F.col("found") - F.lag("found").over(w), "n": F.row_number().over(back)}).where(F.col("n") <= most)
+    last = runs.withColumn("n", F.row_number().over(back)).where(F.col("n") <= most + 1)
+    return last.withColumn("previous", F.lead("found").over(back)).withColumn("change", F.col("found") - F.col("previous")).where(F.col("n") <= most).select(*runs.columns, "previous", "change", "n")
 
 
 class Snapshots:

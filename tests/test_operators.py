@@ -186,3 +186,16 @@ def test_streams_agree_with_batches(spark, sf, tmp_path):
     q.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.count() == e.select("module", "key").distinct().count() == got.select("module", "key").distinct().count()
+
+
+def test_ranks_across_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from storyflow.operators import ordering
+
+    rows = [(i, None if i % 3 == 0 else i % 7) for i in range(500)]
+    df = spark.createDataFrame(rows, "pos int, k int").repartition(5)
+    got = ordering.ranked(df, F.desc_nulls_last("k"), F.asc("pos")).collect()
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert sorted((r["rank"], r["pos"]) for r in got) == [(i + 1, r[0]) for i, r in enumerate(want)]
+    assert ordering.ranked(df.where("pos < 0"), F.asc("pos")).count() == 0
