@@ -267,12 +267,18 @@ def without_deleted(spark, sf):
     return joins.without(table(spark, sf, "documents"), table(spark, sf, "labels").where("toxic = 1"), "doc_id").select("doc_id")
 
 
-@query("j6_find_draft", """, d AS (SELECT pos AS draft_id, CASE WHEN pos % 2 = 0 THEN title ELSE '' END AS identity, source || (pos % 50) AS url, lang || (pos % 50) AS other FROM stories WHERE pos % 10 = 0)
-SELECT s.pos, coalesce((SELECT min(draft_id) FROM d WHERE d.identity = s.title AND d.identity <> ''), (SELECT min(draft_id) FROM d WHERE s.source || (s.pos % 50) IN (d.url, d.other))) AS draft_id FROM stories s""")
+@query("j6_find_draft", """, d AS (SELECT pos AS draft_id, CASE WHEN pos % 20 = 0 THEN title ELSE '' END AS identity, CASE WHEN pos % 10 = 0 THEN source || (pos % 50) ELSE 'x' || pos END AS url, CASE WHEN pos % 10 = 0 THEN lang || (pos % 50) ELSE '' END AS other FROM stories),
+ i AS (SELECT identity, min(draft_id) AS n FROM d WHERE identity <> '' GROUP BY identity), u AS (SELECT url, min(draft_id) AS n FROM (SELECT draft_id, url FROM d UNION ALL SELECT draft_id, other FROM d) WHERE url <> '' GROUP BY url)
+SELECT s.pos, coalesce(i.n, u.n) AS draft_id FROM stories s LEFT JOIN i ON i.identity = s.title LEFT JOIN u ON u.url = s.source || (s.pos % 50)""")
 def find_draft(spark, sf):
     s = stories(spark, sf)
-    near = (F.col("pos") % 50).cast("string")
-    drafts = s.where("pos % 10 = 0").select(F.col("pos").alias("draft_id"), F.when(F.col("pos") % 2 == 0, F.col("title")).otherwise("").alias("identity"), F.concat("source", near).alias("url"), F.concat("lang", near).alias("source_url"))
+    near, tenth = (F.col("pos") % 50).cast("string"), F.col("pos") % 10 == 0
+    drafts = s.select(
+        F.col("pos").alias("draft_id"),
+        F.when(F.col("pos") % 20 == 0, F.col("title")).otherwise("").alias("identity"),
+        F.when(tenth, F.concat("source", near)).otherwise(F.concat(F.lit("x"), F.col("pos").cast("string"))).alias("url"),
+        F.when(tenth, F.concat("lang", near)).otherwise("").alias("source_url"),
+    )
     return joins.find_draft(s.select("pos", F.col("title").alias("identity"), F.concat("source", near).alias("url")), drafts).select("pos", "draft_id")
 
 
@@ -365,9 +371,8 @@ def latest_runs(spark, sf):
 @query("o1_newest_first", f"SELECT row_number() OVER (ORDER BY CASE WHEN lang = 'es' THEN NULL ELSE date_trunc('day', published) END DESC NULLS LAST, encode({fold('title')}) DESC, pos) AS rank, pos FROM stories")
 def newest_first(spark, sf):
     s = stories(spark, sf).withColumn("day", F.when(F.col("lang") != "es", F.date_trunc("day", "published")))
-    ordered = ordering.newest_first(s, "day")
-    w = Window.orderBy(F.desc_nulls_last("day"), text.casefold("title").desc(), "pos")
-    return ordered.select(F.row_number().over(w).cast("long").alias("rank"), "pos")
+    s = s.select("pos", "day", text.casefold("title").alias("title"))
+    return ordering.ranked(s, F.desc_nulls_last("day"), F.desc("title"), F.asc("pos")).select("rank", "pos")
 
 
 @query("o7_top_per_source", f"SELECT pos, source FROM (SELECT pos, source, row_number() OVER (PARTITION BY source ORDER BY length(body) DESC, pos) AS n FROM stories) WHERE n <= 3")
@@ -375,9 +380,11 @@ def top_per_source(spark, sf):
     return ordering.top_per_group(stories(spark, sf), "source", 3, F.char_length("body").desc(), F.asc("pos")).select("pos", "source")
 
 
-@query("so2_key_changes", "SELECT doc_id, CASE WHEN l.doc_id2 IS NULL THEN 'new' WHEN d.doc_id1 IS NULL THEN 'gone' ELSE 'kept' END AS state FROM (SELECT doc_id AS doc_id, doc_id AS doc_id1 FROM documents WHERE doc_id % 3 <> 0) d FULL JOIN (SELECT DISTINCT doc_id AS doc_id, doc_id AS doc_id2 FROM labels) l USING (doc_id)")
+@query("so2_key_changes", """SELECT k AS doc_id, CASE WHEN NOT known THEN 'new' WHEN NOT now THEN 'gone' ELSE 'kept' END AS state
+ FROM (SELECT k, bool_or(now) AS now, bool_or(NOT now) AS known FROM (SELECT CASE WHEN doc_id % 3 = 0 THEN -1 - doc_id ELSE doc_id END AS k, true AS now FROM documents UNION ALL SELECT doc_id, false FROM labels) GROUP BY k)""")
 def key_changes(spark, sf):
-    return ordering.key_changes(table(spark, sf, "documents").where("doc_id % 3 <> 0"), table(spark, sf, "labels"), "doc_id")
+    moved = F.when(F.col("doc_id") % 3 == 0, -1 - F.col("doc_id")).otherwise(F.col("doc_id"))
+    return ordering.key_changes(table(spark, sf, "documents").select(moved.alias("doc_id")), table(spark, sf, "labels"), "doc_id")
 
 
 # -- retention and state -------------------------------------------------------------------
