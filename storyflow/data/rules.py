@@ -46,3 +46,17 @@ NEGATIVE_KEYWORDS = (
     "share", "sharing", "social", "comment", "related", "recommend", "sidebar", "widget", "advert", "promo", "newsletter",
     "subscription", "subscribe", "modal", "popup", "overlay", "footer", "nav", "navigation", "cookie",
 )
+
+#: Parts and endings of addresses that are no articles; a part that begins with a slash ends with a word's end.
+EXCLUDED_URL_PARTS = (
+    "#", "javascript:", "mailto:", "tel:", "/contact", "/about", "/privacy", "/terms", "/cookie", "/login", "/sign-in", "/membership",
+    "/shop", "/gallery", "/sponsors", "/safeguarding",
+)
+EXCLUDED_URL_ENDINGS = (
+    "/about", "/contact", "/privacy", "/accessibility", "/history", "/committee", "/join", "/shop", "/calendar", "/results",
+    "/fixtures", "/tables",
+)
+
+#: Lines of a record's page that belong to the site, and what such lines start with.
+DETAIL_UI_LINES = ("advanced search", "all", "story", "advisory", "download text", "download images", "log out")
+DETAIL_PREFIXES = ("slug:", "by:", "author's email:", "last reviewed by email:", "created at:", "modified at:")

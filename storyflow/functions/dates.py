@@ -37,6 +37,45 @@ def relative(c: Column | str, now: Column) -> Column:
     return F.timestamp_seconds(F.unix_timestamp(now) - back * 60)
 
 
+_MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
+_DAYS = "Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday"
+#: Where a council's page names a day, the first of these that occurs: with the weekday or without, month or day first.
+COUNCIL_DAYS = (
+    rf"(?:{_DAYS})[, ]+(?<month>{_MONTHS})\s+(?<day>\d{{1,2}}),\s+(?<year>\d{{4}})",
+    rf"(?:{_DAYS})[,]?\s+(?<day>\d{{1,2}})\s+(?<month>{_MONTHS})\s+(?<year>\d{{4}})",
+    rf"(?<day>\d{{1,2}})\s+(?<month>{_MONTHS})\s+(?<year>\d{{4}})",
+    rf"(?<month>{_MONTHS})\s+(?<day>\d{{1,2}}),?\s+(?<year>\d{{4}})",
+)
+#: After the last of each of these stands a page's date.
+COUNCIL_PREFIXES = ("Article posted on ", "Published on ", "Last Updated on ")
+
+
+def council(c: Column | str, now: Column) -> Column:
+    """The date that a council's page shows: so long ago, a whole date, or a day named within other text."""
+    t = F.trim(F.regexp_replace(blank(c), r"(?U)\s+", " "))
+    ago = r"(?i)\b(\d+)\s+(day|hour|minute)s?\s+ago\b"
+    unit = F.lower(F.regexp_extract(t, ago, 2))
+    seconds = F.regexp_extract(t, ago, 1).try_cast("long") * F.when(unit == "day", 86_400).when(unit == "hour", 3_600).when(unit == "minute", 60)
+    text = F.regexp_replace(t, r"(?i)\b(\d{1,2})(?:st|nd|rd|th)\b", "$1")
+    for p in COUNCIL_PREFIXES:
+        text = F.trim(F.regexp_replace(text, f"(?is)^.*{p}", ""))
+    read = lambda pattern, form: F.try_to_timestamp(F.when(text.rlike(pattern), text), F.lit(form))
+    time = r"T\d{1,2}:\d{1,2}:\d{1,2}"
+    whole = F.coalesce(
+        read(r"(?i)^\d{1,2} (?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) \d{4}$", "d MMM yyyy"),
+        read(r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
+        read(rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}{time}(?:Z|[+-]\d\d:\d\d)$", "yyyy-M-d'T'H:m:sXXX"),
+        read(rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}{time}[+-]\d{{4}}$", "yyyy-M-d'T'H:m:sXX"),
+        read(rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}{time}$", "yyyy-M-d'T'H:m:s"),
+    )
+    named = F.lit("")
+    for pattern in reversed(COUNCIL_DAYS):
+        found = F.regexp_extract(text, f"(?i){pattern}", 0)
+        named = F.when(found != "", F.regexp_replace(found, f"(?i)^{pattern}$", "${day} ${month} ${year}")).otherwise(named)
+    day = F.try_to_timestamp(F.nullif(named, F.lit("")), F.lit("d MMMM yyyy"))
+    return F.when(seconds.isNotNull(), F.timestamp_micros(F.unix_micros(now) - seconds * 1_000_000)).otherwise(F.coalesce(whole, day))
+
+
 def from_path(url: Column | str, year: int) -> Column:
     """The date in a URL's path: yyyy-mm-dd, yyyy/mm/dd or yyyy/mm, the year from 2000 to next."""
     text = blank(url)

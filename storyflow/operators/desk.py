@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..data.rules import DETAIL_PREFIXES, DETAIL_UI_LINES
 from ..functions.text import blank, casefold, clean
 from .filters import meaningful_summary
 
@@ -89,6 +90,22 @@ def without_sharing(c: Column | str, times: int = 4) -> Column:
     return t
 
 
+def detail_lines(lines: Column, title: Column | str, marker: Column) -> Column:
+    """A record's copy from the lines of its page: the first ``marker`` of them, after the last "download
+    text", without what belongs to the site, the title and the record's labels."""
+    first = F.slice(lines, F.lit(1), F.greatest(F.lit(0), marker.cast("int")))
+    back = F.array_position(F.reverse(F.transform(first, casefold)), "download text").cast("int")
+    rest = F.when(back > 0, F.slice(first, F.size(first) - back + 2, F.greatest(F.lit(0), back - 1))).otherwise(first)
+    own = F.trim(casefold(title))
+
+    def kept(line: Column) -> Column:
+        low = F.trim(casefold(line))
+        labelled = reduce(lambda a, p: a | F.startswith(low, F.lit(p)), DETAIL_PREFIXES, F.endswith(low, F.lit(" log out")))
+        return (low != "") & ~low.isin(*DETAIL_UI_LINES) & ~labelled & ((own == "") | (low != own)) & ~line.rlike(r"^[A-Z][a-z]{2},\s+[A-Z][a-z]{2}\s+\d")
+
+    return F.filter(rest, kept)
+
+
 def authorities(values: Column) -> Column:
     """The councils named in each value, or the value itself; each once, in order."""
     found = F.transform(values, lambda v: F.when(F.trim(blank(v)) == "", F.array().cast("array<string>")).when(v.rlike(AUTHORITY), F.regexp_extract_all(F.trim(v), F.lit(AUTHORITY), F.lit(0))).otherwise(F.array(F.trim(v))))

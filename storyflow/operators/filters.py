@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..data.places import PLACES
-from ..data.rules import ARTICLE_URL_PARTS, BLOCKED_SUMMARIES, EXCLUDED_TITLES, URL_PENALTIES
+from ..data.rules import ARTICLE_URL_PARTS, BLOCKED_SUMMARIES, EXCLUDED_TITLES, EXCLUDED_URL_ENDINGS, EXCLUDED_URL_PARTS, URL_PENALTIES
 from ..functions.text import blank, casefold, clean
 
 
@@ -104,6 +104,35 @@ def title_passes(title: Column | str, stop: tuple[str, ...] = EXCLUDED_TITLES, e
     return good & ~t.rlike(f"(?i){excluded}") if excluded else good
 
 
+def url_allowed(url: Column | str, base: Column | str, *, same_host: bool = True, include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), parts: tuple[str, ...] = EXCLUDED_URL_PARTS, endings: tuple[str, ...] = EXCLUDED_URL_ENDINGS) -> Column:
+    """Whether an address may be an article's: no excluded part or ending of its path, the host of ``base``
+    (www. apart), none of ``exclude`` and, if given, one of ``include``: patterns without regard to
+    case, or plain text where one is no pattern."""
+    u, low = blank(url), casefold(url)
+    path = F.regexp_replace(F.regexp_extract(low, r"^(?:[a-z][a-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1), r";[^/]*$", "")
+    host = lambda c: F.regexp_replace(F.regexp_extract(casefold(c), r"^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)", 1), r"^www\.", "")
+
+    def any_of(patterns: tuple[str, ...]) -> Column:
+        found = F.lit(False)
+        for p in patterns:
+            try:
+                found = found | u.rlike(f"(?i){re.compile(p).pattern}")
+            except re.error:
+                found = found | F.contains(low, casefold(F.lit(p)))
+        return found
+
+    whole = [p for p in parts if p.startswith("/")]
+    bad = low.rlike(f"(?:{'|'.join(map(re.escape, whole))})(?![a-z0-9])") if whole else F.lit(False)
+    for p in parts:
+        bad = bad if p.startswith("/") else bad | F.contains(low, F.lit(p))
+    for e in endings:
+        bad = bad | F.endswith(F.rtrim(path, F.lit("/")), F.lit(e))
+    if same_host:
+        bad = bad | ((host(u) != "") & (host(u) != host(base)))
+    good = (u != "") & ~bad & ~any_of(exclude)
+    return good & any_of(include) if include else good
+
+
 def url_score(url: Column | str, now: Column, parts: tuple[str, ...] = ARTICLE_URL_PARTS, penalties: tuple[tuple[str, int], ...] = URL_PENALTIES) -> Column:
     """40 for an article's address (a known part, or a year from 2000 to the next in its path), less the
     penalty of each word in it that speaks against one."""

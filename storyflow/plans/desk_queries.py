@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..data.rules import BLOCKED_SUMMARIES
+from ..data.rules import BLOCKED_SUMMARIES, EXCLUDED_URL_ENDINGS, EXCLUDED_URL_PARTS
+from ..functions import dates
 from ..functions.text import casefold
-from ..operators import desk
+from ..operators import desk, filters
 from .registry import NOW, now, query, stories, table
 from .text_queries import c, fold
 
@@ -218,3 +219,49 @@ def draft_order(spark, sf):
 @query("r5_no_contacts", "SELECT pos, '' AS author_email FROM stories")
 def no_contacts(spark, sf):
     return desk.without_contacts(stories(spark, sf).select("pos", F.concat("source", F.lit("@x.org")).alias("author_email")))
+
+
+@query("dt5_council_dates", f"""SELECT pos, epoch_us(CASE pos % 8 WHEN 0 THEN TIMESTAMP '{NOW}' - to_days(CAST(pos % 40 AS INTEGER)) WHEN 6 THEN date_trunc('second', published) WHEN 7 THEN NULL ELSE date_trunc('day', published) END) AS at FROM stories""")
+def council_dates(spark, sf):
+    shaped = lambda form, before="", after="": F.concat(F.lit(before), F.date_format("published", form), F.lit(after))
+    shown = F.element_at(
+        F.array(
+            F.concat(F.lit("Posted "), (F.col("pos") % 40).cast("string"), F.lit(" Days  ago, we think")), shaped("EEEE, MMMM d, yyyy", "Article posted on "), F.concat(shaped("d", "Published on x published on "), F.lit("TH "), shaped("MMMM yyyy")),
+            shaped("d MMM yyyy"), shaped("EEEE, d MMMM yyyy", "It was ", " then"), shaped("MMMM d yyyy", "on "), shaped("yyyy-MM-dd'T'HH:mm:ss", "", "+00:00"), shaped("MMMM yyyy", "in "),
+        ),
+        (F.col("pos") % 8 + 1).cast("int"),
+    )
+    return stories(spark, sf).select("pos", F.unix_micros(dates.council(shown, now())).alias("at"))
+
+
+_GATE = "CASE pos % 6 WHEN 0 THEN url WHEN 1 THEN regexp_replace(url, '#top', '') WHEN 2 THEN 'https://' || source || '.example.com/x/About/' WHEN 3 THEN 'https://other.org/news/' || pos WHEN 4 THEN 'https://WWW.' || source || '.example.com/shopping/' || pos ELSE '/news/tables/;v=1' END"
+
+
+@query("f18_url_gate", rf"""SELECT pos, NOT ({" OR ".join(f"regexp_matches(u, '{p}($|[^a-z0-9])')" if p.startswith("/") else f"contains(u, '{p}')" for p in EXCLUDED_URL_PARTS)} OR regexp_matches(p, '({"|".join(EXCLUDED_URL_ENDINGS)})/*$')
+ OR (h <> '' AND h <> source || '.example.com') OR regexp_matches(u, 'page=1$') OR contains(u, '/7(')) AND regexp_matches(u, 'news|shopping/\d*[02468]$') AS allowed
+ FROM (SELECT pos, source, u, regexp_replace(regexp_extract(u, '^(?:[a-z]+:)?(?://[^/?#]*)?([^?#]*)', 1), ';[^/]*$', '') AS p, regexp_replace(regexp_extract(u, '//([^/?#]*)', 1), '^www\.', '') AS h FROM (SELECT pos, source, lower({_GATE}) AS u FROM stories))""")
+def url_gate(spark, sf):
+    i, at = F.col("pos") % 6, F.col("pos").cast("string")
+    host = F.concat("source", F.lit(".example.com"))
+    u = (
+        F.when(i == 0, F.col("url"))
+        .when(i == 1, F.replace("url", F.lit("#top"), F.lit("")))
+        .when(i == 2, F.concat(F.lit("https://"), host, F.lit("/x/About/")))
+        .when(i == 3, F.concat(F.lit("https://other.org/news/"), at))
+        .when(i == 4, F.concat(F.lit("https://WWW."), host, F.lit("/shopping/"), at))
+        .otherwise("/news/tables/;v=1")
+    )
+    base = F.concat(F.lit("https://www."), host, F.lit("/"))
+    return stories(spark, sf).select("pos", filters.url_allowed(u, base, include=("NEWS", r"shopping/\d*[02468]$"), exclude=("PAGE=1$", "/7(")).alias("allowed"))
+
+
+@query("n39_detail_lines", """SELECT pos, array_to_string(CASE WHEN pos % 3 = 0 THEN [title || ' again'] ELSE ['early', source] END || CASE WHEN pos % 2 = 0 THEN [lang || ' last'] ELSE [] END, '|') AS lines FROM stories WHERE length(trim(title)) > 0""")
+def detail_lines(spark, sf):
+    p = F.col("pos")
+    s = stories(spark, sf).where("length(trim(title)) > 0")
+    site = F.array(F.lit(" Advanced Search "), F.lit("A. Person Log out"), F.upper("title"), F.lit("Slug: x"), F.lit("Mon, Jan 1, 2024"), F.lit(" "))
+    late = F.array(F.lit("early"), F.lit("Download Text"), F.lit("lost"), F.lit("DOWNLOAD TEXT"), F.concat("title", F.lit(" again")))
+    early = F.array(F.lit("early"), F.col("source"))
+    lines = F.concat(F.when(p % 3 == 0, late).otherwise(early), site, F.array(F.concat("lang", F.lit(" last"))), F.array(F.lit("beyond")))
+    marker = F.size(lines) - F.when(p % 2 == 0, 1).otherwise(2)
+    return s.select("pos", F.array_join(desk.detail_lines(lines, "title", marker), "|").alias("lines"))
