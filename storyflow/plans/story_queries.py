@@ -410,6 +410,26 @@ def first_seen(spark, sf):
     return state.first_seen(e)
 
 
+@query("t1_bounded_memory", """, e AS (SELECT event_type AS module, CASE WHEN ts < TIMESTAMP '2024-01-11' THEN 1 WHEN ts < TIMESTAMP '2024-01-21' THEN 2 ELSE 3 END AS refresh, CAST(user_id AS VARCHAR) AS key, min(event_id) AS came FROM events GROUP BY ALL),
+k1 AS (SELECT module, key, -row_number() OVER (PARTITION BY module ORDER BY came DESC) AS place FROM e WHERE refresh = 1 QUALIFY place >= -12),
+n2 AS (SELECT module, key FROM e WHERE refresh = 2 EXCEPT SELECT module, key FROM k1),
+k2 AS (SELECT module, key, -row_number() OVER (PARTITION BY module ORDER BY late DESC, p DESC, encode(key) DESC) AS place FROM (SELECT module, key, 0 AS late, place AS p FROM k1 UNION ALL SELECT module, key, 1, 0 FROM n2) QUALIFY place >= -12),
+n3 AS (SELECT module, key FROM e WHERE refresh = 3 EXCEPT SELECT module, key FROM k2), began AS (SELECT module, min(refresh) AS first FROM e GROUP BY module)
+SELECT module, refresh, count(*) AS found, count(*) FILTER (refresh > first AND ((refresh = 2 AND (module, key) IN (SELECT (module, key) FROM n2)) OR (refresh = 3 AND (module, key) IN (SELECT (module, key) FROM n3)))) AS new
+ FROM e JOIN began USING (module) GROUP BY module, refresh""")
+def bounded_memory(spark, sf):
+    """Three refreshes over all events, with a memory of twelve keys a module, so that some fall out."""
+    at = F.col("ts").cast("timestamp")
+    refresh = F.when(at < F.lit("2024-01-11").cast("timestamp"), 1).when(at < F.lit("2024-01-21").cast("timestamp"), 2).otherwise(3)
+    e = table(spark, sf, "events").select(F.col("event_type").alias("module"), refresh.alias("refresh"), F.col("user_id").cast("string").alias("key"), "event_id")
+    known = spark.createDataFrame([], "module string, key string, place long")
+    parts = []
+    for i in (1, 2, 3):
+        found, known = state.remembered(known, e.where(F.col("refresh") == i), most=12, pos="event_id")
+        parts.append(found.groupBy("module").agg(F.count("*").alias("found"), F.count_if("new").alias("new")).withColumn("refresh", F.lit(i)))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("t2_updates_by_day", "SELECT event_type AS module, CAST(ts AS DATE) AS day, count(DISTINCT user_id) AS updates FROM events GROUP BY ALL")
 def updates_by_day(spark, sf):
     e = table(spark, sf, "events")

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,6 +18,26 @@ def first_seen(items: DataFrame) -> DataFrame:
     return found.join(base, "module").select("module", "day", "found", F.when(F.col("day") == F.col("base"), 0).otherwise(F.col("found")).cast("long").alias("new"))
 
 
+def remembered(known: DataFrame, items: DataFrame, most: int = 5000, pos: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """One refresh against a bounded memory: each (module, key) of ``items`` once, with ``new``, and the memory after it.
+
+    ``known`` holds module, key and place, which rises with arrival.  A key is new if its
+    module has a memory without it; the first refresh of a module only fills it, in order of
+    ``pos`` if that is given.  Later new keys come after the known ones, sorted; the last
+    ``most`` stay, so a key that fell out is new again.  A null key is no key."""
+    arrival = F.min(pos) if pos else F.lit(0)
+    seen = items.where(F.col("module").isNotNull() & F.col("key").isNotNull()).groupBy("module", "key").agg(arrival.cast("long").alias("_pos"))
+    old = known.select("module", "key", F.lit(True).alias("_old"))
+    begun = known.select("module").distinct().withColumn("_begun", F.lit(True))
+    marked = seen.join(old, ["module", "key"], "left").join(begun, "module", "left")
+    found = marked.select("module", "key", (F.col("_begun").isNotNull() & F.col("_old").isNull()).alias("new"))
+    added = marked.where("_old IS NULL").select("module", "key", F.lit(1).alias("_late"), F.when(F.col("_begun").isNull(), F.col("_pos")).otherwise(0).alias("place"))
+    both = known.select("module", "key", F.lit(0).alias("_late"), F.col("place").cast("long").alias("place")).unionByName(added)
+    back = Window.partitionBy("module").orderBy(F.desc("_late"), F.desc("place"), F.desc("key"))
+    kept = both.withColumn("_n", F.row_number().over(back)).where(F.col("_n") <= most)
+    return found, kept.select("module", "key", (-F.col("_n")).cast("long").alias("place"))
+
+
 def change_label(count: Column, previous: Column, new: Column) -> Column:
     """What a refresh shows: the baseline, what is new, or the updates of today."""
     return F.when(previous.isNull(), "Baseline established").when(new > 0, F.concat(F.lit("+"), new.cast("string"), F.lit(" since previous refresh"))).otherwise(F.concat(count.cast("string"), F.lit(" updates today")))

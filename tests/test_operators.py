@@ -199,3 +199,25 @@ def test_ranks_across_ranges(spark):
     want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
     assert sorted((r["rank"], r["pos"]) for r in got) == [(i + 1, r[0]) for i, r in enumerate(want)]
     assert ordering.ranked(df.where("pos < 0"), F.asc("pos")).count() == 0
+
+
+def test_bounded_memory(spark):
+    from storyflow.streaming import state
+
+    known = spark.createDataFrame([], "module string, key string, place long")
+    memory = {}
+    for keys in (["c", "a", "b", None, "a"], ["d", "a"], ["a", "b", "e"], [], ["c", "d", "e", "a", "b"]):
+        rows = [(m, k, i) for m in ("x", "y") for i, k in enumerate(keys) if m == "x" or k != "e"] + [(None, "a", 0)]
+        found, known = state.remembered(known, spark.createDataFrame(rows, "module string, key string, at int"), most=3, pos="at")
+        known = spark.createDataFrame(known.collect(), known.schema)
+        want = set()
+        for m in ("x", "y"):
+            came = list(dict.fromkeys(k for n, k, _ in rows if n == m and k))
+            now = set(came)
+            fresh = now - set(memory.get(m, []))
+            want |= {(m, k, m in memory and k in fresh) for k in now}
+            if now or m in memory:
+                memory[m] = [*memory.get(m, []), *(sorted(fresh) if m in memory else came)][-3:]
+        assert {tuple(r) for r in found.collect()} == want
+        kept = [(r["module"], r["key"]) for r in known.orderBy("module", "place").collect()]
+        assert kept == [(m, k) for m in sorted(memory) for k in memory[m]]
