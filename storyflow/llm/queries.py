@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, licenses, packing, secrets, sharding, simhash, token_counts, token_store, topk
+from . import collocations, decontamination, language, licenses, lm_scoring, packing, prefix_trie, secrets, sharding, simhash, token_counts, token_store, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,9 @@ QUERIES: dict[str, Query] = {
     "op8_two_pass_shards": sharding.op8_two_pass_shards,
     "op9_nnls_packing": packing.op9_nnls_packing,
     "op10_ppm_language": language.op10_ppm_language,
+    "op11_collocations": collocations.op11_collocations,
+    "op12_trie_scores": lm_scoring.op12_trie_scores,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
 SQL: dict[str, str] = {
@@ -28,4 +31,6 @@ SQL: dict[str, str] = {
     "op2_winnow_decontamination": decontamination.SQL,
     "op4_nra_top_k": topk.SQL,
     "op5_license_join": licenses.SQL,
+    "op11_collocations": collocations.SQL,
+    "op13_prefix_trie": prefix_trie.SQL,
 }
