@@ -120,21 +120,39 @@ class Snapshots:
                 continue
         return []
 
+    def version(self) -> int:
+        """The number of the latest pointer; 0 where nothing was saved."""
+        pointers = self._pointers()
+        return int(pointers[0][8:-5]) if pointers else 0
+
     def save(self, df: DataFrame) -> str:
         """Writes a version whole, then a new pointer that names it; a crash at any time leaves the
         pointer before.  At most the version before is kept beside the new one."""
+        return self._save(df, None)
+
+    def save_as(self, df: DataFrame, number: int) -> int:
+        """As :meth:`save`, but under this number alone: FileExistsError if it, or a later one, is taken."""
+        self._save(df, number)
+        return number
+
+    def _save(self, df: DataFrame, number: int | None) -> str:
         import uuid
 
         name = f"v-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.folder}/{name}")
         old, pointers = self._pointer(), self._pointers()
-        number = int(pointers[0][8:-5]) + 1 if pointers else 0
+        last = int(pointers[0][8:-5]) if pointers else 0
+        if number is not None and number <= last:
+            self._fs.delete(self._path(name), True)
+            raise FileExistsError(f"version {last} of {self.folder} was saved meanwhile")
+        number = last + 1 if number is None else number
         draft = self._path(f".draft-{name}")
         out = self._fs.create(draft, True)
         out.write(bytearray(json.dumps({"versions": [name, *old[:1]]}).encode()))
         out.close()
         if not self._fs.rename(draft, self._path(f"current-{number:012d}.json")):
-            raise OSError(f"another writer has saved pointer {number} of {self.folder}")
+            self._fs.delete(draft, False)
+            raise FileExistsError(f"another writer has saved version {number} of {self.folder}")
         for gone in pointers:
             self._fs.delete(self._path(gone), False)
         for gone in old[1:]:
