@@ -8,9 +8,10 @@ that crossed into another piece are cleared, and it is ANDed with the bitmaps of
 that share a block with it; a popcount counts what is left.  Phrases that begin with some
 words are extended to their full length before those of the next words are begun.
 
-Counts of shards are summed up by Spark.  Words and pairs that are rare over all shards are
-known before longer phrases are looked for, and each shard is told which of its own words
-and pairs are frequent, so nothing is broadcast and no rare phrase is built on.
+Shards deal their counts to parts, by a hash of the phrase, as sorted and packed columns; a part
+sums up what it gets.  Words and pairs that are rare over all shards are known before longer
+phrases are looked for, and each shard is told which of its own words and pairs are
+frequent, so nothing is broadcast and no rare phrase is built on.
 
 Scores are exact: products are decimals of 38 digits.  A phrase lies inside a longer one of
 the same count only if it lies inside one longer by a word of that count, so each candidate
@@ -23,19 +24,25 @@ empty table gives no row; ties are broken by score, count and phrase; other colu
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
+from .blobs import grouped, mixed, packed, runs, summed, unpacked
 
 #: Candidates: phrases of 2 to LONGEST words with LEAST occurrences.
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Word positions of a shard, about; a longer text is not cut.
 SHARD = 1 << 20
+#: Bytes of text for which there is a part that sums counts up, about.
+PART_BYTES = 16 << 20
 #: Positions of a bitmap's block.
 BLOCK = 16
 #: Entries of bitmaps that are extended together.
@@ -226,73 +233,155 @@ def _array(column, i: int, dtype: str) -> np.ndarray:
 def phrases(docs: DataFrame, *, least: int = LEAST, longest: int = LONGEST, size: int = SHARD) -> tuple[DataFrame, DataFrame]:
     """(words, phrases): the frequent words (id, lang, word, f) and with them ``n``, the words of the
     language; the frequent phrases of 2 to ``longest`` words (lang, words, f)."""
+    spark = docs.sparkSession
+    parts = common.pieces(docs, PART_BYTES, 2 * spark.sparkContext.defaultParallelism, F.octet_length(common.text_of()))
     cut = shards(docs, size)
 
-    def vocabulary(batches):
+    def deal_words(batches):
         import pyarrow as pa
 
         for batch in batches:
             for i in range(batch.num_rows):
                 counts = _array(batch.column("counts"), i, "<i8")
-                words = batch.column("words")[i].values
-                some = pa.array(counts > 0)
-                ids = np.flatnonzero(counts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([batch.column("shard")[i].as_py()] * len(ids), pa.int64()), pa.array([batch.column("lang")[i].as_py()] * len(ids), pa.string()), words.filter(some), pa.array(ids, pa.int32()), pa.array(counts[ids], pa.int64())],
-                    names=["shard", "lang", "word", "k", "c"],
-                )
-
-    local = cut.select("shard", "lang", "words", "counts").mapInArrow(vocabulary, "shard long, lang string, word string, k int, c long")
+                words = [w.encode() for w in batch.column("words")[i].as_py()]
+                part = np.fromiter((zlib.crc32(w) % parts for w in words), np.int64, len(words))
+                part[counts == 0] = parts  # the mark is no word
+                order = np.argsort(part, kind="stable")
+                found = []
+                for p, lo, hi in runs(part[order]):
+                    if p < parts:
+                        mine = order[lo:hi]
+                        names = zstandard.ZstdCompressor(level=3).compress(b" ".join([words[k] for k in mine.tolist()]))
+                        found.append((p, struct.pack("<I", len(names)) + names + packed(np.diff(mine, prepend=0), counts[mine])))
+                head = [pa.array([batch.column(c)[i].as_py()] * len(found), t) for c, t in (("shard", pa.int64()), ("lang", pa.string()))]
+                yield pa.RecordBatch.from_arrays([*head, pa.array([p for p, _ in found], pa.int32()), pa.array([b for _, b in found], pa.binary())], names=["shard", "lang", "part", "blob"])
+
+    def count_words(key, table):
+        """The frequent words of a part, and which of them each shard has."""
+        import pyarrow as pa
+
+        part = key[0].as_py()
+        total: dict[tuple[str, bytes], int] = defaultdict(int)
+        asked = []
+        for shard, lang, blob in zip(table.column("shard").to_pylist(), table.column("lang").to_pylist(), table.column("blob").to_pylist()):
+            (n,) = struct.unpack_from("<I", blob)
+            words = zstandard.ZstdDecompressor().decompress(blob[4 : 4 + n]).split(b" ")
+            gaps, counts = unpacked(blob[4 + n :])
+            for w, c in zip(words, counts.tolist()):
+                total[lang, w] += c
+            asked.append((shard, lang, words, np.cumsum(gaps)))
+        often = sorted(k for k, c in total.items() if c >= least)
+        number = {k: i * parts + part + 1 for i, k in enumerate(often)}
+        rows = [(None, None, number[k], k[0], k[1].decode(), total[k]) for k in often]
+        for shard, lang, words, ks in asked:
+            ids = np.fromiter((number.get((lang, w), 0) for w in words), np.int64, len(words))
+            mine = np.flatnonzero(ids)
+            if len(mine):
+                rows.append((shard, packed(np.diff(ks[mine], prepend=0), ids[mine]), None, None, None, None))
+        types = [pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["shard", "told", "id", "lang", "word", "f"])
+
+    words = cut.select("shard", "lang", "words", "counts").mapInArrow(deal_words, "shard long, lang string, part int, blob binary")
+    words = common.saved(words.groupBy("part").applyInArrow(count_words, "shard long, told binary, id long, lang string, word string, f long"))
     totals = cut.groupBy("lang").agg(F.sum("n").alias("n"))
-    frequent = local.groupBy("lang", "word").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
-    frequent = common.saved(frequent.join(totals, "lang").select((F.monotonically_increasing_id() + 1).alias("id"), "lang", "word", "f", "n"))
+    frequent = words.where("id IS NOT NULL").join(totals, "lang").select("id", "lang", "word", "f", "n")
     # Each shard's own frequent words: their numbers there and over all.
-    told = local.join(frequent.select("lang", "word", "id"), ["lang", "word"]).groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("k", "id"))).alias("told"))
-    ready = common.saved(cut.select("shard", "n", "word", "block", "bits", "starts").join(told, "shard"), codec="zstd")
+    told = words.where("shard IS NOT NULL").groupBy("shard").agg(F.collect_list("told").alias("told"))
+    ready = common.saved(cut.select("shard", "word", "block", "bits", "starts").join(told, "shard"), codec="zstd")
 
     def opened(batch, i):
         """A shard's frequent words, numbered anew, and their ids over all."""
-        told = batch.column("told")[i].values
-        old, ids = told.field(0).to_numpy(), told.field(1).to_numpy()
+        found = [unpacked(blob) for blob in batch.column("told")[i].as_py()]
+        old, ids = np.concatenate([np.cumsum(g) for g, _ in found]), np.concatenate([x for _, x in found])
+        order = np.argsort(old)
+        old, ids = old[order], ids[order]
         word = _array(batch.column("word"), i, "<u4")
         at = np.minimum(np.searchsorted(old, word), len(old) - 1)
         rows = np.flatnonzero(old[at] == word)
         maps = Bitmaps(at[rows], _array(batch.column("block"), i, "<u4")[rows], _array(batch.column("bits"), i, "<u2")[rows])
         return Shard.of(maps, _array(batch.column("starts"), i, "<u2")), maps, ids
 
-    def find_pairs(batches):
+    def blobs_of(shard: int, grams: np.ndarray, n: np.ndarray):
+        """A shard's phrases (a column a word) and counts, dealt to parts: (shard, part, blob) rows."""
         import pyarrow as pa
 
+        part = np.zeros(len(n), np.uint64)
+        for column in grams:
+            part = mixed(part, column)
+        part = (part % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((*grams[::-1], part))
+        found = [(p, packed(np.diff(grams[0][order[lo:hi]], prepend=0), *[g[order[lo:hi]] for g in grams[1:]], n[order[lo:hi]])) for p, lo, hi in runs(part[order])]
+        return pa.RecordBatch.from_arrays([pa.array([shard] * len(found), pa.int64()), pa.array([p for p, _ in found], pa.int32()), pa.array([b for _, b in found], pa.binary())], names=["shard", "part", "blob"])
+
+    def find_pairs(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 shard, maps, ids = opened(batch, i)
                 a, b, n = pairs(shard, maps, len(ids))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), batch.column("shard")[i].as_py())), pa.array(ids[a]), pa.array(ids[b]), pa.array(n)], names=["shard", "w1", "w2", "c"])
-
-    two = common.saved(ready.mapInArrow(find_pairs, "shard long, w1 long, w2 long, c long"), codec="zstd")
-    often = common.saved(two.groupBy("w1", "w2").agg(F.sum("c").alias("f")).where(F.col("f") >= least))
-    mine = two.select("shard", "w1", "w2").join(often.select("w1", "w2"), ["w1", "w2"]).groupBy("shard").agg(F.collect_list(F.struct("w1", "w2")).alias("pairs"))
+                yield blobs_of(batch.column("shard")[i].as_py(), np.stack((ids[a], ids[b])), n)
 
     columns = [f"w{j}" for j in range(1, longest + 1)]
 
-    def find_longer(batches):
-        import pyarrow as pa
+    def count_phrases(tell: bool):
+        """Sums a part's phrases up; with ``tell``, shards are told which of theirs are frequent."""
+
+        def count(key, table):
+            import pyarrow as pa
+
+            asked = []
+            for shard, blob in zip(table.column("shard").to_pylist(), table.column("blob").to_pylist()):
+                first, *more = unpacked(blob)
+                asked.append((shard, np.stack((np.cumsum(first), *more))))
+            every = np.concatenate([g for _, g in asked], axis=1)
+            order, first = grouped(*every[:-1])
+            total = summed(every[-1][order], first)
+            often = total[np.searchsorted(first, np.arange(len(order)), side="right") - 1] >= least
+            kept = np.flatnonzero(total >= least)
+            grams = np.zeros((longest, len(kept)), np.int64)
+            grams[: len(every) - 1] = every[:-1, order[first[kept]]]
+            shard, told = [None] * len(kept), [None] * len(kept)
+            if tell:
+                mark = np.zeros(every.shape[1], bool)
+                mark[order] = often
+                at = 0
+                for s, g in asked:
+                    mine = g[:-1, mark[at : at + g.shape[1]]]
+                    at += g.shape[1]
+                    if mine.shape[1]:
+                        shard.append(s)
+                        told.append(packed(np.diff(mine[0], prepend=0), *mine[1:]))
+            more = [None] * (len(shard) - len(kept))
+            rows = [pa.array([*g.tolist(), *more], pa.int64()) for g in (*grams, total[kept])]
+            return pa.table([pa.array(shard, pa.int64()), pa.array(told, pa.binary()), *rows], names=["shard", "told", *columns, "f"])
+
+        return count
+
+    shape = "shard long, told binary, " + ", ".join(f"{c} long" for c in [*columns, "f"])
+    two = ready.mapInArrow(find_pairs, "shard long, part int, blob binary")
+    two = common.saved(two.groupBy("part").applyInArrow(count_phrases(True), shape))
+    mine = two.where("shard IS NOT NULL").groupBy("shard").agg(F.collect_list("told").alias("pairs"))
 
+    def find_longer(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 shard, maps, ids = opened(batch, i)
-                known = batch.column("pairs")[i].values
+                known = [unpacked(blob) for blob in batch.column("pairs")[i].as_py()]
                 order = np.argsort(ids)
-                a, b = (order[np.searchsorted(ids[order], known.field(j).to_numpy())] for j in (0, 1))
-                for words, n in longer(shard, maps, len(ids), np.sort(a * len(ids) + b), longest):
+                a, b = (order[np.searchsorted(ids[order], np.concatenate(x))] for x in ([np.cumsum(g) for g, _ in known], [w for _, w in known]))
+                found, counts = [], []
+                for grams, n in longer(shard, maps, len(ids), np.sort(a * len(ids) + b), longest):
                     out = np.zeros((longest, len(n)), np.int64)
-                    out[: words.shape[1]] = ids[words].T
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, out), pa.array(n)], names=[*columns, "c"])
-
-    found = ready.join(mine, "shard").mapInArrow(find_longer, ", ".join(f"{c} long" for c in [*columns, "c"]))
-    found = found.groupBy(*columns).agg(F.sum("c").alias("f")).where(F.col("f") >= least)
-    ids = F.filter(F.array(*columns), lambda w: w > 0)
-    every = often.select(F.array("w1", "w2").alias("ids"), "f").unionByName(found.select(ids.alias("ids"), "f")) if longest > 2 else often.select(F.array("w1", "w2").alias("ids"), "f")
+                    out[: grams.shape[1]] = ids[grams].T
+                    found.append(out)
+                    counts.append(n)
+                if found:
+                    yield blobs_of(batch.column("shard")[i].as_py(), np.concatenate(found, axis=1), np.concatenate(counts))
+
+    every = two.where("shard IS NULL").select(*columns, "f")
+    if longest > 2:
+        more = ready.join(mine, "shard").mapInArrow(find_longer, "shard long, part int, blob binary")
+        every = every.unionByName(more.groupBy("part").applyInArrow(count_phrases(False), shape).select(*columns, "f"))
+    every = every.select(F.filter(F.array(*columns), lambda w: w > 0).alias("ids"), "f")
     each = every.select("ids", "f", F.posexplode("ids").alias("at", "id")).join(frequent.select("id", "lang", "word"), "id")
     named = each.groupBy("ids").agg(F.first("f").alias("f"), F.first("lang").alias("lang"), F.sort_array(F.collect_list(F.struct("at", "word"))).alias("words"))
     return frequent, common.saved(named.select("lang", F.transform("words", lambda w: w["word"]).alias("words"), "f"))
