@@ -50,6 +50,7 @@ class EliasFano:
         self.lows, self.highs = buffer[at : at + lows], buffer[at + lows : at + lows + highs]
         #: Ones before each byte of the high parts.
         self.ones = np.concatenate(([0], np.cumsum(np.bitwise_count(self.highs), dtype=np.int64)))
+        self.zeros = np.arange(len(self.ones)) * 8 - self.ones
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         at = i * self.low
@@ -66,7 +67,7 @@ class EliasFano:
 
     def _bucket(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The range of indices whose numbers have these high parts."""
-        zeros = np.arange(len(self.ones)) * 8 - self.ones
+        zeros = self.zeros
         most = self.highs.size * 8 - int(self.ones[-1])
 
         def before(k):  # numbers before the k-th zero

@@ -1,6 +1,6 @@
 """Language-model scores from an n-gram trie of Elias-Fano levels.
 
-Texts are encoded once into chunks of some millions of tokens, a table bucketed by chunk,
+Texts are encoded once into chunks of half a million tokens, a table bucketed by chunk,
 so that what comes back for a chunk meets it without moving it.  Three rounds follow: of
 words, of pairs and of triples.  In each, a chunk deals its distinct n-grams, with how
 often its training texts hold them, as sorted, packed blobs to ``parts``; each part sums
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .blobs import grouped, mixed, packed, runs, summed, unpacked
+from .blobs import grouped, mixed, packed, ranks, runs, summed, unpacked
 
 #: Every text whose id's crc32 leaves the remainder 0 is held out.
 FOLDS = 10
@@ -40,9 +40,9 @@ FOLDS = 10
 PAIR_WEIGHT, TRIPLE_WEIGHT = 500.0, 50.0
 ADDED = 0.1
 #: Tokens of a chunk, about; a longer text is a chunk of its own.
-CHUNK_TOKENS = 1 << 20
+CHUNK_TOKENS = 1 << 19
 #: Bytes of text for which there is a part of the model, about.
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 #: Parts that the pairs after one word are dealt over, at most.
 FAN = 64
 STEP = 2048
@@ -51,7 +51,7 @@ SHARE = 1 << 15
 NONE = (1 << 16) - 1
 END = b"\n"
 
-CHUNKS = "chunk long, doc_ids array<long>, lengths binary, train binary, words array<binary>, ids binary"
+CHUNKS = "chunk long, doc_ids array<long>, lengths binary, train binary, words binary, word_parts binary, ids binary"
 BLOBS = "chunk long, part int, blob binary"
 ANSWERS = BLOBS + ", words long, tokens long, file string"
 SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
@@ -70,8 +70,8 @@ def quantised(p: np.ndarray) -> np.ndarray:
 # -- chunks --------------------------------------------------------------------------------
 
 
-def encoded(docs: DataFrame, size: int) -> DataFrame:
-    """``docs`` (doc_id, text, held) as chunks (:data:`CHUNKS`)."""
+def encoded(docs: DataFrame, size: int, parts: int) -> DataFrame:
+    """``docs`` (doc_id, text, held) as chunks (:data:`CHUNKS`), their words dealt to ``parts``."""
 
     def cut(batches):
         import pyarrow as pa
@@ -83,9 +83,11 @@ def encoded(docs: DataFrame, size: int) -> DataFrame:
 
         def chunk():
             nonlocal number, known, held
-            names = sorted(known, key=known.get)
-            row = [part << 32 | number, list(doc_ids), np.array([len(s) for s in streams], "<u4").tobytes(), np.array(train, np.uint8).tobytes(), names, zstandard.ZstdCompressor(level=1).compress(np.concatenate(streams).astype("<u4").tobytes())]
-            types = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.binary()]
+            names = list(known)  # in the order of their numbers
+            of = np.fromiter((zlib.crc32(w) % parts for w in names), np.int64, len(names))
+            squeeze = zstandard.ZstdCompressor(level=1).compress
+            row = [part << 32 | number, list(doc_ids), np.array([len(s) for s in streams], "<u4").tobytes(), np.array(train, np.uint8).tobytes(), squeeze(b" ".join(names)), packed(of), squeeze(np.concatenate(streams).tobytes())]
+            types = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 5]
             number, held, known = number + 1, 0, {}
             for x in (doc_ids, train, streams):
                 x.clear()
@@ -100,7 +102,7 @@ def encoded(docs: DataFrame, size: int) -> DataFrame:
                     known.default_factory = known.__len__
                 words = text.encode().lower().split()  # ASCII letters alone are lowered; ASCII whitespace alone parts words
                 words.append(END)
-                streams.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
+                streams.append(np.fromiter(map(known.__getitem__, words), np.uint32, len(words)))
                 doc_ids.append(doc_id)
                 train.append(not out)
                 held += len(words)
@@ -116,51 +118,42 @@ class Chunk:
     """A chunk's tokens and, as they come back, what the parts say of its n-grams."""
 
     def __init__(self, row: dict, parts: int):
-        self.parts, self.doc_ids, self.names = parts, row["doc_ids"], row["words"]
-        self.ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["ids"]), "<u4").astype(np.int64)
+        self.parts, self.doc_ids, self.words = parts, row["doc_ids"], row["words"]
+        (self.word_part,) = unpacked(row["word_parts"])
+        self.ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["ids"]), np.uint32).astype(np.int64)
         self.lengths = np.frombuffer(row["lengths"], "<u4").astype(np.int64)
         self.first = np.cumsum(self.lengths) - self.lengths
         self.train = np.repeat(np.frombuffer(row["train"], np.uint8), self.lengths).astype(np.int64)
         #: How many tokens of its text lie before each.
         self.place = np.arange(len(self.ids)) - np.repeat(self.first, self.lengths)
 
-    def word_parts(self) -> np.ndarray:
-        return np.fromiter((zlib.crc32(w) % self.parts for w in self.names), np.int64, len(self.names))
-
     def word_blobs(self):
-        part, counts = self.word_parts(), np.bincount(self.ids, self.train, len(self.names)).astype(np.int64)
-        for p in np.unique(part).tolist():
-            mine = np.flatnonzero(part == p)
-            names = zstandard.ZstdCompressor(level=3).compress(b" ".join([self.names[i] for i in mine.tolist()]))
-            yield p, struct.pack("<I", len(names)) + names + packed(counts[mine])
+        names = zstandard.ZstdDecompressor().decompress(self.words).split(b" ")
+        counts = np.bincount(self.ids, self.train, len(names)).astype(np.int64)
+        order = np.argsort(self.word_part, kind="stable")
+        for p, lo, hi in runs(self.word_part[order]):
+            mine = order[lo:hi]
+            texts = zstandard.ZstdCompressor(level=3).compress(b" ".join([names[i] for i in mine.tolist()]))
+            yield p, struct.pack("<I", len(texts)) + texts + packed(counts[mine])
 
     def know_words(self, answers: dict[int, bytes]) -> None:
         """Each word's number in the model and its count."""
-        part = self.word_parts()
-        self.number, self.count = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
-        for p, blob in answers.items():
-            mine = np.flatnonzero(part == p)
-            self.number[mine], self.count[mine] = unpacked(blob)
+        self.number, self.count = np.zeros(len(self.word_part), np.int64), np.zeros(len(self.word_part), np.int64)
+        order = np.argsort(self.word_part, kind="stable")
+        for p, lo, hi in runs(self.word_part[order]):
+            self.number[order[lo:hi]], self.count[order[lo:hi]] = unpacked(answers[p])
 
     def find_pairs(self) -> None:
         """Distinct pairs, in the order of their parts and words."""
         self.second = np.flatnonzero(self.place >= 1)  # where pairs end
         a, b = self.ids[self.second - 1], self.ids[self.second]
-        code = a * len(self.names) + b
-        order = np.argsort(code, kind="stable")
-        new = np.append(True, code[order][1:] != code[order][:-1]) if len(code) else np.zeros(0, bool)
-        first = np.flatnonzero(new)
-        pair = code[order][first]
-        a, b = pair // len(self.names), pair % len(self.names)
-        part = (mixed(self.number[a], self.number[b] % FAN) % np.uint64(self.parts)).astype(np.int64)
-        again = np.lexsort((self.number[b], self.number[a], part))
-        rank = np.empty(len(again), np.int64)
-        rank[again] = np.arange(len(again))
-        self.pair_of = np.empty(len(code), np.int64)
-        self.pair_of[order] = rank[np.cumsum(new) - 1]
-        self.pair = a[again], b[again]
-        self.pair_part = part[again]
-        self.pair_count = summed(self.train[self.second][order], first)[again]
+        v, w = self.number[a], self.number[b]
+        part = (mixed(v, w % FAN) % np.uint64(self.parts)).astype(np.int64)
+        order, first = grouped(part, v, w)
+        self.pair_of = ranks(order, first)
+        of = order[first]
+        self.pair, self.pair_part = (a[of], b[of]), part[of]
+        self.pair_count = summed(self.train[self.second][order], first)
 
     def pair_blobs(self):
         a, b = self.pair
@@ -184,10 +177,11 @@ class Chunk:
         keep = np.flatnonzero(self.often[context])
         self.third, context, pair = third[keep], context[keep], pair[keep]
         u, v = self.pair
-        self.contexts, at = np.unique(context, return_inverse=True)
+        order, first = grouped(context)
+        self.contexts, at = context[order[first]], ranks(order, first)
         cu, cv = self.number[u[self.contexts]], self.number[v[self.contexts]]
         part = (mixed(cu, cv) % np.uint64(self.parts)).astype(np.int64)
-        order = np.lexsort((cv, cu, part))
+        order, _ = grouped(part, cu, cv)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         self.contexts, self.context_part = self.contexts[order], part[order]
@@ -195,9 +189,7 @@ class Chunk:
         may = np.flatnonzero(self.often[pair])
         order, first = grouped(self.context_of[may], self.number[v[pair[may]]])
         self.triple_of = np.full(len(self.third), -1)
-        of = np.zeros(len(order), np.int64)
-        of[first] = 1
-        self.triple_of[may[order]] = np.cumsum(of) - 1
+        self.triple_of[may] = ranks(order, first)
         rows = may[order][first]
         self.triple_context, self.triple_pair = self.context_of[rows], pair[rows]
         self.triple_count = summed(self.train[self.second][self.third[may]][order], first)
@@ -274,27 +266,32 @@ def serve_pairs(blobs: list[bytes], tokens: int, words: int, weight: float, writ
     cv = np.concatenate([np.repeat(q[2], q[1]) for q in asked])
     w, cw, c = (np.concatenate([q[i] for q in asked]) for i in (3, 4, 5))
     order, first = grouped(v, w)
-    v, w, cv, cw, c = v[order][first], w[order][first], cv[order][first], cw[order][first], summed(c[order], first)
-    heads = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
-    heads = heads[cv[heads] > 0]
-    contexts = v[heads]
+    at, of = ranks(order, first), order[first]
+    v, w, cv, cw, c = v[of], w[of], cv[of], cw[of], summed(c[order], first)
+    edges = np.append(True, v[1:] != v[:-1])
+    heads = np.flatnonzero(edges)
+    known = heads[cv[heads] > 0]
     kept = np.flatnonzero(c > 0)
     shorter = (cw[kept] + ADDED) / (tokens + ADDED * (words + 1))
     longer = (c[kept] + weight * shorter) / (cv[kept] + weight)
     trie = Trie(write(encode([
-        Level(np.zeros(len(contexts), np.int64), contexts, quantised(weight / (cv[heads] + weight))),
-        Level(np.searchsorted(contexts, v[kept]), w[kept], quantised(longer)),
+        Level(np.zeros(len(known), np.int64), v[known], quantised(weight / (cv[known] + weight))),
+        Level(np.searchsorted(v[known], v[kept]), w[kept], quantised(longer)),
     ])))
-    twice = c[kept] >= 2
-    answers = []
+    # Each distinct context and pair is asked for once, in order.
+    there, node = trie.find(0, np.zeros(len(heads), np.int64), v[heads])
+    share = np.full(len(heads), SHARE)
+    share[there] += trie.codes(0, node[there])
+    head = np.cumsum(edges) - 1
+    found, child = trie.find(1, node[head], w)
+    code = share[head]
+    code[found] = trie.codes(1, child[found])
+    often = (c >= 2).astype(np.int64)
+    answers, begin = [], 0
     for q in asked:
-        known, node = trie.find(0, np.zeros(len(q[0]), np.int64), q[0])
-        share = np.where(known, trie.codes(0, np.maximum(node, 0)) if len(contexts) else 0, 0)
-        parent = np.repeat(node, q[1])
-        found, child = trie.find(1, parent, q[3])
-        code = np.repeat(share, q[1]) + SHARE
-        code[found] = trie.codes(1, child[found])
-        answers.append(packed(code, np.where(found, twice[np.maximum(child, 0)] if len(kept) else False, False).astype(np.int64)))
+        mine = at[begin : begin + len(q[3])]
+        begin += len(q[3])
+        answers.append(packed(code[mine], often[mine]))
     return answers
 
 
@@ -309,32 +306,38 @@ def serve_triples(blobs: list[bytes], weight: float, write) -> list[bytes]:
     u, v = (np.concatenate([np.repeat(q[i], q[2]) for q in asked]) for i in (0, 1))
     w, code, c = (np.concatenate([q[i] for q in asked]) for i in (3, 4, 5))
     order, first = grouped(u, v, w)
-    u, v, w, code, c = u[order][first], v[order][first], w[order][first], code[order][first], summed(c[order], first)
+    at, of = ranks(order, first), order[first]
+    u, v, w, code, c = u[of], v[of], w[of], code[of], summed(c[order], first)
     kept = np.flatnonzero(c >= 2)
-    u, v, w, code, c = u[kept], v[kept], w[kept], code[kept], c[kept]
-    edges = np.flatnonzero(np.append(True, (u[1:] != u[:-1]) | (v[1:] != v[:-1]))) if len(u) else np.zeros(0, int)
-    context = np.zeros(len(u), np.int64)
-    context[edges] = 1
-    context = np.cumsum(context) - 1
+    ku, kv, kw, c = u[kept], v[kept], w[kept], c[kept]
+    edge = np.append(True, (ku[1:] != ku[:-1]) | (kv[1:] != kv[:-1])) if len(ku) else np.zeros(0, bool)
+    edges, context = np.flatnonzero(edge), np.cumsum(edge) - 1
     k = summed(c, edges)
-    tops = np.unique(u[edges])
+    tops = np.unique(ku[edges])
     # Only pairs seen twice lead here, and these are in the trie of pairs: their codes are probabilities.
-    longer = (c + weight * 10.0 ** (-code / STEP)) / (k[context] + weight)
+    longer = (c + weight * 10.0 ** (-code[kept] / STEP)) / (k[context] + weight)
     trie = Trie(write(encode([
         Level(np.zeros(len(tops), np.int64), tops, np.zeros(len(tops), np.int64)),
-        Level(np.searchsorted(tops, u[edges]), v[edges], quantised(weight / (k + weight))),
-        Level(context, w, quantised(longer)),
+        Level(np.searchsorted(tops, ku[edges]), kv[edges], quantised(weight / (k + weight))),
+        Level(context, kw, quantised(longer)),
     ])))
-    answers = []
+    # Each distinct context and triple is asked for once, in order.
+    cu, cv = (np.concatenate([q[i] for q in asked]) for i in (0, 1))
+    order, first = grouped(cu, cv)
+    of, place = order[first], ranks(order, first)
+    _, top = trie.find(0, np.zeros(len(of), np.int64), cu[of])
+    known, node = trie.find(1, top, cv[of])
+    share = np.zeros(len(of), np.int64)
+    share[known] = trie.codes(1, node[known])
+    parent = np.zeros(len(u), np.int64)
+    parent[at] = np.repeat(node[place], np.concatenate([q[2] for q in asked]))
+    found, child = trie.find(2, parent, w)
+    codes = np.full(len(u), NONE)
+    codes[found] = trie.codes(2, child[found])
+    answers, begin, context = [], 0, 0
     for q in asked:
-        _, top = trie.find(0, np.zeros(len(q[0]), np.int64), q[0])
-        known, node = trie.find(1, top, q[1])
-        share = np.zeros(len(known), np.int64)
-        share[known] = trie.codes(1, node[known])
-        found, child = trie.find(2, np.repeat(node, q[2]), q[3])
-        codes = np.full(len(found), NONE)
-        codes[found] = trie.codes(2, child[found])
-        answers.append(packed(share, codes))
+        answers.append(packed(share[place[context : context + len(q[0])]], codes[at[begin : begin + len(q[3])]]))
+        begin, context = begin + len(q[3]), context + len(q[0])
     return answers
 
 
@@ -368,13 +371,13 @@ def score(docs: DataFrame, *, chunk_tokens: int = CHUNK_TOKENS, part_bytes: int
     parts = common.pieces(docs, part_bytes, 2 * spark.sparkContext.defaultParallelism, F.octet_length("text"))
     # Bucketed: answers come to the chunks, which stay where they are.
     name = f"storyflow_{uuid.uuid4().hex}"
-    encoded(docs, chunk_tokens).write.bucketBy(parts, "chunk").option("path", common.shared_dir(spark)).option("compression", "zstd").format("parquet").saveAsTable(name)
+    encoded(docs, chunk_tokens, parts).write.bucketBy(parts, "chunk").option("path", common.shared_dir(spark)).option("compression", "zstd").format("parquet").saveAsTable(name)
     chunks = spark.table(name)
 
     def chunk_rows(batches, answers: int):
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {n: batch.column(n)[i].as_py() for n in ("chunk", "doc_ids", "lengths", "train", "words", "ids")}
+                row = {n: batch.column(n)[i].as_py() for n in ("chunk", "doc_ids", "lengths", "train", "words", "word_parts", "ids")}
                 chunk = Chunk(row, parts)
                 for j in range(answers):
                     known = {a["part"]: a["blob"] for a in batch.column(f"a{j}")[i].as_py() or []}
@@ -389,7 +392,7 @@ def score(docs: DataFrame, *, chunk_tokens: int = CHUNK_TOKENS, part_bytes: int
                 yield row["chunk"], chunk
 
     def with_answers(*rounds: DataFrame) -> DataFrame:
-        out = chunks
+        out = chunks.withColumn("words", F.lit(None).cast("binary")) if rounds else chunks  # not read where they are not needed
         for j, a in enumerate(rounds):
             mine = a.where(F.col("chunk").isNotNull()).groupBy("chunk").agg(F.collect_list(F.struct("part", "blob")).alias(f"a{j}"))
             out = out.join(mine, "chunk", "left")
