@@ -9,3 +9,21 @@ BOILERPLATE_LINES = (
     "related news", "more news", "contact us", "follow us", "subscribe", "sign up", "image", "main image", "copyright", "privacy",
     "cookies", "accessibility", "menu", "search", "home",
 )
+
+#: Fixed patterns: lines of a page that are no copy of its article.
+ARTICLE_FURNITURE = (
+    r"^\s*subscribe\b", r"^\s*sign up\b", r"^\s*read more\b", r"^\s*related (?:articles|stories|posts|content)\b", r"^\s*(?:you may also like|more from|recommended for you)\b", r"^\s*follow us\b",
+    r"^\s*share this\b", r"^\s*share (?:on|via|to)\b", r"^\s*(?:facebook|twitter|x|linkedin|whatsapp|email)\s*$", r"^\s*(?:share|tweet|pin|send|print)\s*$", r"^\s*like this:?\s*$",
+    r"^\s*loading(?:\.\.\.)?\s*$", r"^\s*advertisement\b", r"^\s*cookie\b", r"^\s*comments?\b", r"^\s*leave a (?:reply|comment)\b", r"^\s*posted (?:in|on|by)\b",
+    r"^\s*(?:previous|next) (?:article|post|story)\b", r"^\s*tags?:\s*", r"^\s*categories?:\s*", r"^\s*opens? in (?:a )?new window\b", r"^\s*copy link\b",
+)
+
+#: Fixed patterns: paragraphs of an interface's answer that are no copy of its article.
+ANSWER_FURNITURE = (
+    r"^advertisement\b", r"^(?:buy|book) tickets?\b", r"^related (?:articles|stories|news)\b", r"^(?:sign up|subscribe)\b", r"^share (?:this|on|via)\b", r"^created by\s*:", r"^posted in\s*:",
+)
+
+#: What an address of a video, or of its preview, holds.
+VIDEO_TERMS = (
+    "youtube.com", "youtu.be", "vimeo.com", "brightcove", "dailymotion", "video-thumbnail", "video_thumbnail", "videothumb", "video-poster", "video_poster", "/video/", "play-button", "play_button", "sprite", "tracking", "pixel",
+)

@@ -173,12 +173,12 @@ def caption_credit(c: Column | str) -> Column:
     return F.trim(F.regexp_extract(blank(c), r"(?i)(?:image|photo|picture)?\s*credit:\s*(.+)$", 1))
 
 
-def plain_html(c: Column | str, longest: int = 300) -> Column:
-    """Tags as spaces, the common entities read, collapsed and cut."""
+def plain_html(c: Column | str, longest: int | None = 300) -> Column:
+    """Tags as spaces, the common entities read, collapsed and cut (None: whole)."""
     text = F.regexp_replace(blank(c), "<[^>]+>", " ")
     for entity, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(mark))
-    return F.substring(clean(text), 1, longest)
+    return clean(text) if longest is None else F.substring(clean(text), 1, longest)
 
 
 def unique_fold(values: Column) -> Column:

@@ -62,7 +62,7 @@ def page_type(c: Column | str, html: Column | str) -> Column:
 
 
 def still_image(c: Column | str) -> Column:
-    """Whether a URL may be a still image: no video marker, no decoration."""
+    """Whether a URL may be a still image: no video marker, no decoration (a stricter gate than that of images.py)."""
     low = F.lower(blank(c))
     return (low != "") & ~low.rlike(r"/video/|/videos/|/av/|\.mp4|\.webm|\.m3u8|\.mov") & ~low.rlike(r"logo|icon|avatar|placeholder|sprite|tracking|1x1")
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..data.boilerplate import ANSWER_FURNITURE
 from ..data.rules import DETAIL_PREFIXES, DETAIL_UI_LINES
 from ..functions.text import blank, casefold, clean
 from .filters import meaningful_summary
@@ -19,12 +20,12 @@ AUTHORITY = (
 
 #: Fixed patterns: what sharing buttons leave at a line's end.
 SHARING = (
-    r"\s*[•|]\s*Share on X(?:\s*\(Opens? in new window\))?\s*X\s*$",
-    r"\s*[•|]\s*Share on Facebook(?:\s*\(Opens? in new window\))?\s*Facebook\s*$",
-    r"\s*[•|]\s*Share on LinkedIn(?:\s*\(Opens? in new window\))?\s*LinkedIn\s*$",
-    r"\s*[•|]\s*Share via Email\s*$",
-    r"\s*Like this:\s*$",
-    r"\s*Loading(?:\.\.\.)?\s*$",
+    r"\s*[•|]\s*Share on X(?:\s*\(Opens? in new window\))?\s*X",
+    r"\s*[•|]\s*Share on Facebook(?:\s*\(Opens? in new window\))?\s*Facebook",
+    r"\s*[•|]\s*Share on LinkedIn(?:\s*\(Opens? in new window\))?\s*LinkedIn",
+    r"\s*[•|]\s*Share via Email",
+    r"\s*Like this:",
+    r"\s*Loading(?:\.\.\.)?",
 )
 
 #: Where a caption's rights wording starts, the first of these that occurs.
@@ -65,7 +66,7 @@ def ensured_summary(summary: Column | str, others: list[Column | str], body: Col
 def generated_summary(body: Column | str, enough: int = 25, most: int = 60) -> Column:
     """The first paragraph of five words or more, with the next where it has too few; cut to some words."""
     parts = F.transform(F.split(blank(body), r"\n\s*\n"), lambda p: clean(p))
-    said = F.filter(parts, lambda p: (F.size(_words(p)) >= 5) & ~p.rlike(r"(?i)\A(?:(?:first|second) half|match report|report)\z"))
+    said = F.filter(parts, lambda p: (F.size(_words(p)) >= 5) & ~p.rlike(r"(?i)\A(?:(?:first|second) half|match report|report)\z") & ~p.rlike("(?Ui)" + "|".join(ANSWER_FURNITURE)))
     first = _words(blank(F.get(said, F.lit(0))))
     both = F.when(F.size(first) >= enough, first).otherwise(F.concat(first, _words(blank(F.get(said, F.lit(1))))))
     return F.array_join(F.slice(both, 1, most), " ")
@@ -81,13 +82,9 @@ def laid_out(c: Column | str, least: int = 500) -> Column:
     return F.when(F.size(parts) > 1, F.array_join(parts, "\n\n")).when((F.char_length(one) < least) | (F.size(sentences) < 3), one).otherwise(F.array_join(pairs, "\n\n"))
 
 
-def without_sharing(c: Column | str, times: int = 4) -> Column:
-    """Without what sharing buttons leave at the end, taken off as often as it stands there, up to ``times``."""
-    t = clean(c)
-    for _ in range(times):
-        for p in SHARING:
-            t = F.trim(F.regexp_replace(t, "(?i)" + p, ""))
-    return t
+def without_sharing(c: Column | str) -> Column:
+    """Without what sharing buttons leave at the end, however often it stands there."""
+    return F.trim(F.regexp_replace(clean(c), rf"(?Ui)(?:{'|'.join(SHARING)})+\s*\z", ""))
 
 
 def detail_lines(lines: Column, title: Column | str, marker: Column) -> Column:
@@ -126,12 +123,19 @@ def caption_sentences(title: Column | str, body: Column | str, closing: str = "R
     return F.concat(F.array(blank(title)), F.slice(chosen, 1, 3), F.array(F.lit(closing)))
 
 
-def source_only(text: Column, title: Column, article: Column, url: Column, limit: int = 300) -> Column:
-    """Whether every block of a post (its last one may be the address) is the title or stands in the article."""
-    blocks = F.filter(F.transform(F.split(F.trim(text), r"\n{2,}"), lambda b: F.trim(b)), lambda b: b != "")
-    last = F.get(blocks, F.size(blocks) - 1)
-    own = F.when((blank(url) != "") & (last == F.trim(blank(url))), F.slice(blocks, F.lit(1), F.greatest(F.lit(0), F.size(blocks) - 1))).otherwise(blocks)
-    return F.coalesce((F.char_length(F.trim(text)) <= limit) & (F.size(own) > 0) & F.forall(own, lambda b: (b == title) | F.contains(article, b)), F.lit(False))
+def source_only(df: DataFrame, text: Column, title: Column, article: Column, url: Column, name: str = "own", limit: int = 300) -> DataFrame:
+    """``df`` with ``name``: whether every block of a post (its last one may be the address) is the title or stands
+    in the article.  Post, title and article are cleaned first, as posts are."""
+    from .social import social_text
+
+    staged = df.withColumns({"_post": social_text(text), "_title": social_text(title), "_article": social_text(article, url), "_address": F.trim(blank(url))})
+    blocks = F.filter(F.transform(F.split("_post", r"\n{2,}"), lambda b: F.trim(b)), lambda b: b != "")
+    staged = staged.withColumn("_blocks", blocks)
+    last = F.get("_blocks", F.size("_blocks") - 1)
+    own = F.when((F.col("_address") != "") & (last == F.col("_address")), F.slice("_blocks", F.lit(1), F.greatest(F.lit(0), F.size("_blocks") - 1))).otherwise(F.col("_blocks"))
+    staged = staged.withColumn("_own", own)
+    held = F.forall("_own", lambda b: (b == F.col("_title")) | F.contains("_article", b))
+    return staged.withColumn(name, F.coalesce((F.char_length("_post") <= limit) & (F.size("_own") > 0) & held, F.lit(False))).drop("_post", "_title", "_article", "_address", "_blocks", "_own")
 
 
 def needs_detail(complete: Column, body: Column | str, image: Column | str, credit: Column | str) -> Column:
@@ -204,13 +208,20 @@ def url_errors(url: Column | str) -> Column:
     return F.when(F.coalesce(bad_port, F.lit(False)), F.array(F.lit(URL_ERRORS["port"]))).when(~scheme.isin("http", "https") | (host == ""), F.array(F.lit(URL_ERRORS["kind"]))).otherwise(errors)
 
 
-def workflow_status(stories: DataFrame, drafts: DataFrame) -> DataFrame:
-    """``stories`` (url) with ``stage``: whether a draft (source_url, status, delivery_id, one an address)
-    of a story is on the desk or delivered; empty without a draft or an address."""
+def address_key(c: Column | str) -> Column:
+    """An address as drafts are found by: trimmed, without slashes at its end, case-folded."""
+    return casefold(F.rtrim(F.trim(blank(c)), F.lit("/")))
+
+
+def workflow_status(stories: DataFrame, drafts: DataFrame, order: str = "pos") -> DataFrame:
+    """``stories`` (url) with ``stage``: whether the first draft (by ``order``) one of whose addresses, public
+    or internal (source_url, internal_source_url, status, delivery_id), is the story's is on the
+    desk or delivered; empty without a draft or an address.  No story is doubled."""
     sent = (F.trim(blank("delivery_id")) != "") | (casefold(F.trim(blank("status"))) == "sent to metricool as draft")
-    d = drafts.where(F.trim(blank("source_url")) != "").select(F.trim("source_url").alias("_url"), sent.alias("_sent"))
+    d = drafts.select(F.explode(F.array_distinct(F.array(address_key("source_url"), address_key("internal_source_url")))).alias("_key"), sent.alias("_sent"), F.col(order).alias("_order"))
+    first = d.where("_key <> ''").groupBy("_key").agg(F.min_by("_sent", "_order").alias("_sent"))
     stage = F.when(F.col("_sent"), "SENT TO METRICOOL").when(~F.col("_sent"), "SENT TO SOCIAL DESK").otherwise("")
-    return stories.join(d, F.trim(blank("url")) == F.col("_url"), "left").withColumn("stage", stage).drop("_url", "_sent")
+    return stories.withColumn("_key", address_key("url")).join(first, "_key", "left").withColumn("stage", stage).drop("_key", "_sent")
 
 
 def clashes(sources: DataFrame) -> DataFrame:
@@ -234,7 +245,13 @@ def with_source(df: DataFrame, profile: str) -> DataFrame:
 
 def definition_fingerprint(definition: Column) -> Column:
     """SHA-256 of a definition (a map of texts) as JSON with sorted keys, a space after each mark."""
-    quoted = lambda s: F.concat(F.lit('"'), F.replace(F.replace(s, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    def quoted(s: Column) -> Column:
+        """A text as JSON has it: backslash, quote and control characters escaped, all else as it is."""
+        t = F.replace(F.replace(s, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+        named = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}
+        escaped = reduce(lambda a, i: F.replace(a, F.lit(chr(i)), F.lit(named.get(i, f"\\u{i:04x}"))), range(32), t)
+        return F.concat(F.lit('"'), F.when(t.rlike("[\\x00-\\x1f]"), escaped).otherwise(t), F.lit('"'))
+
     pairs = F.transform(F.array_sort(F.map_entries(definition)), lambda e: F.concat(quoted(e["key"]), F.lit(": "), quoted(e["value"])))
     return F.sha2(F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}")), 256)
 

@@ -10,6 +10,7 @@ from ..functions import dates
 from ..functions.text import casefold
 from ..operators import desk, filters
 from .registry import NOW, now, query, stories, table
+from .social_queries import _clean as _social
 from .text_queries import c, fold
 
 #: Bodies with blank lines between their paragraphs, some blocked, some doubled, some of one short line.
@@ -41,10 +42,17 @@ def ensured_summaries(spark, sf):
     return _bodies(spark, sf).select("pos", desk.ensured_summary("summary", [other], "body").alias("summary"))
 
 
+#: What the paragraphs of an answer begin with: furniture, words like it, or nothing.
+_LEADS = ["", "Advertisement here are five words\n\n", "BUY  ticket now or never again\n\n", "Shared on a day like this\n\nShare via the old mail service\n\n", "Created by : someone at the desk\n\nSubscribers of ours may read on\n\n", "Second half\n\nPosted in: the news of today\n\n"]
+_LEAD = "list_extract([" + ", ".join("'" + t.replace("\n", "' || chr(10) || '") + "'" for t in _LEADS) + f"], CAST(pos % {len(_LEADS)} AS INTEGER) + 1)"
+
+
 @query("n37_generated_summaries", rf"""SELECT pos, array_to_string((CASE WHEN len(a) >= 25 THEN a ELSE list_concat(a, b) END)[1:60], ' ') AS summary FROM (SELECT pos, list_filter(string_split(coalesce(l[1], ''), ' '), lambda x: x <> '') AS a, list_filter(string_split(coalesce(l[2], ''), ' '), lambda x: x <> '') AS b
- FROM (SELECT pos, list_filter({_SPLIT.format(c('x'))}, lambda x: len(string_split(x, ' ')) >= 5) AS l FROM {_BODY}))""")
+ FROM (SELECT pos, list_filter({_SPLIT.format(c('x'))}, lambda x: len(string_split(x, ' ')) >= 5 AND NOT regexp_matches(x, '(?i)^(?:(?:first|second) half|match report|report)$')
+ AND NOT regexp_matches(x, '(?i)^(?:advertisement|(?:buy|book) tickets?|related (?:articles|stories|news)|(?:sign up|subscribe)|share (?:this|on|via))(?:[^\p{{L}}\p{{N}}_]|$)|^(?:created by|posted in)\s*:')) AS l FROM (SELECT pos, {_LEAD} || body AS body FROM {_BODY})))""")
 def generated_summaries(spark, sf):
-    return _bodies(spark, sf).select("pos", desk.generated_summary("body").alias("summary"))
+    lead = F.element_at(F.array(*map(F.lit, _LEADS)), (F.col("pos") % len(_LEADS) + 1).cast("int"))
+    return _bodies(spark, sf).select("pos", desk.generated_summary(F.concat(lead, "body")).alias("summary"))
 
 
 @query("n36_layouts", rf"""SELECT pos, sha256(CASE WHEN length(o) < 500 OR len(s) < 3 THEN o ELSE array_to_string(list_transform(range(1, len(s) + 1, 2), lambda i: array_to_string(s[i:i + 1], ' ')), chr(10) || chr(10)) END) AS body
@@ -53,10 +61,19 @@ def layouts(spark, sf):
     return stories(spark, sf).select("pos", F.sha2(desk.laid_out(F.regexp_replace("body", r"\s*\n\s*", "\n")), 256).alias("body"))
 
 
-@query("x3_inline_boilerplate", f"SELECT pos, {c('title')} AS text FROM stories")
+#: Tails of one to nine sharing marks, as many as a story's number tells.
+_TAILS = ["", " • Share on X (Opens in new window) X", " | Share via Email  Loading...", " Like this: Loading", " •Share on Facebook Facebook | share on linkedin LinkedIn", "• Share on X x like this: loading... LOADING | Share via Email", " Share on X X"]
+_TAIL = f"list_extract([{', '.join(repr(t) for t in _TAILS)}], CAST(pos % {len(_TAILS)} AS INTEGER) + 1)"
+_STRIP = "regexp_replace({}, '(?i)(?:\\s*[•|]\\s*Share on X(?:\\s*\\(Opens? in new window\\))?\\s*X|\\s*[•|]\\s*Share on Facebook(?:\\s*\\(Opens? in new window\\))?\\s*Facebook|\\s*[•|]\\s*Share on LinkedIn(?:\\s*\\(Opens? in new window\\))?\\s*LinkedIn|\\s*[•|]\\s*Share via Email|\\s*Like this:|\\s*Loading(?:\\.\\.\\.)?)\\s*$', '')"
+
+
+@query("x3_inline_boilerplate", f""", t AS (SELECT pos, {c(f"title || repeat({_TAIL}, CAST(pos % 9 AS INTEGER) + 1)")} AS text, 0 AS n FROM stories),
+loop AS (SELECT * FROM t UNION ALL SELECT pos, trim({_STRIP.format('text')}), n + 1 FROM loop WHERE trim({_STRIP.format('text')}) <> text)
+SELECT pos, arg_max(text, n) AS text FROM loop GROUP BY pos""")
 def inline_boilerplate(spark, sf):
-    tail = F.element_at(F.array(*map(F.lit, ["", " • Share on X (Opens in new window) X", " | Share via Email  Loading...", " Like this: Loading", " •Share on Facebook Facebook | share on linkedin LinkedIn"])), (F.col("pos") % 5 + 1).cast("int"))
-    return stories(spark, sf).select("pos", desk.without_sharing(F.concat("title", tail)).alias("text"))
+    """Tails that stand up to nine times: taken off one by one in SQL, at once here."""
+    tail = F.element_at(F.array(*map(F.lit, _TAILS)), (F.col("pos") % len(_TAILS) + 1).cast("int"))
+    return stories(spark, sf).select("pos", desk.without_sharing(F.concat("title", F.repeat(tail, (F.col("pos") % 9 + 1).cast("int")))).alias("text"))
 
 
 @query("n35_authorities", """SELECT pos, array_to_string(CASE pos % 4 WHEN 0 THEN ['South Kesteven District Council', 'Boston Borough Council'] WHEN 1 THEN ['Lincolnshire County Council', source] WHEN 2 THEN ['City of Lincoln Council'] ELSE [lang] END, '|') AS names FROM stories""")
@@ -84,12 +101,22 @@ def caption_lines(spark, sf):
     return stories(spark, sf).select("pos", F.array_join(desk.caption_sentences("title", "body"), "|").alias("lines"))
 
 
-@query("n28_source_only", """SELECT pos, length(trim(title)) > 0 AND length(trim(CASE WHEN pos % 3 = 0 THEN title || chr(10) || chr(10) || 'https://x.org/a' WHEN pos % 3 = 1 THEN title || chr(10) || chr(10) || substr(trim(body), 1, 40) ELSE 'Not there at all ¦' END)) <= 300 AND pos % 3 < 2 AS own FROM stories WHERE NOT contains(body, chr(10) || chr(10))""")
+_POST = """CASE CAST(pos % 5 AS INTEGER) WHEN 0 THEN '<p>' || title || '</p>' || chr(10) || chr(10) || url WHEN 1 THEN title || chr(10) || chr(10) || chr(10) || '<b>' || substr(trim(body), 1, 40) || '</b>'
+ WHEN 2 THEN '<p>' || summary || '</p>' || chr(10) || chr(10) || 'Not there at all ¦' WHEN 3 THEN '- ' || title || '&amp;' ELSE body END"""
+
+
+@query("n28_source_only", f""", cleaned AS (SELECT pos, url, {_social('p')} AS p, {_social('t')} AS t, {_social('a', 'url')} AS a FROM (SELECT pos, url, {_POST} AS p, '<h1>' || title || '</h1>' AS t, '<div>' || body || '&amp;</div>' AS a FROM stories)),
+blocks AS (SELECT pos, url, p, t, a, list_filter(list_transform(regexp_split_to_array(p, '\\n{{2,}}'), lambda b: trim(b)), lambda b: b <> '') AS l FROM cleaned),
+own AS (SELECT *, CASE WHEN l[len(l)] = url THEN l[1:len(l) - 1] ELSE l END AS o FROM blocks)
+SELECT pos, length(p) <= 300 AND len(o) > 0 AND len(list_filter(o, lambda b: NOT (b = t OR contains(a, b)))) = 0 AS own FROM own""")
 def source_only(spark, sf):
-    i = F.col("pos") % 3
-    text = F.when(i == 0, F.concat("title", F.lit("\n\nhttps://x.org/a"))).when(i == 1, F.concat("title", F.lit("\n\n"), F.substring(F.trim("body"), 1, 40))).otherwise("Not there at all ¦")
-    s = stories(spark, sf).where(~F.contains("body", F.lit("\n\n")))
-    return s.select("pos", desk.source_only(text, F.trim("title"), F.col("body"), F.lit("https://x.org/a")).alias("own"))
+    i, gap = (F.col("pos") % 5).cast("int"), F.lit("\n\n")
+    text = (
+        F.when(i == 0, F.concat(F.lit("<p>"), "title", F.lit("</p>"), gap, "url")).when(i == 1, F.concat("title", F.lit("\n\n\n<b>"), F.substring(F.trim("body"), 1, 40), F.lit("</b>")))
+        .when(i == 2, F.concat(F.lit("<p>"), "summary", F.lit("</p>"), gap, F.lit("Not there at all ¦"))).when(i == 3, F.concat(F.lit("- "), "title", F.lit("&amp;"))).otherwise(F.col("body"))
+    )
+    s = stories(spark, sf)
+    return desk.source_only(s, text, F.concat(F.lit("<h1>"), "title", F.lit("</h1>")), F.concat(F.lit("<div>"), "body", F.lit("&amp;</div>")), F.col("url")).select("pos", "own")
 
 
 @query("f15_needs_detail", f"""SELECT pos, pos % 7 = 0 OR trim(body) = '' OR pos % 4 = 0 OR (pos % 3 = 0 AND pos % 2 = 0) OR (len(l) > 1 AND l[1] = l[2]) AS again FROM (SELECT pos, body, list_filter(list_transform(string_split(body, chr(10)), lambda x: trim({fold('x')})), lambda x: x <> '') AS l FROM stories)""")
@@ -103,20 +130,21 @@ def needs_detail(spark, sf):
 @query("f22_police_filter", f"""SELECT pos FROM stories WHERE contains({fold("title || ' ' || body || ' ' || source")}, 'the') AND {fold('source')} = (SELECT {fold('max(source)')} FROM stories) AND (lang = 'en' OR pos % 2 = 0)""")
 def police_filter(spark, sf):
     s = stories(spark, sf)
-    name = s.agg(F.upper(F.max("source")).alias("m")).first()["m"]
+    name = s.agg(F.upper(F.max("source")).alias("m")).scalar()
     s = s.withColumn("categories", F.array("lang", F.when(F.col("pos") % 2 == 0, " En ").otherwise("x")))
     return desk.desk_filter(s, search=" THE ", searched=["title", "body", "source"], folded={"source": name}, member={"categories": "EN"}).select("pos")
 
 
-@query("f23_sport_filter", f"SELECT pos FROM stories WHERE contains({fold('body')}, 'an') AND {fold('lang')} = 'en' AND contains({fold('source')}, 'e')")
+@query("f23_sport_filter", f"SELECT pos FROM stories WHERE contains({fold('body')}, 'an') AND {fold('lang')} = 'en' AND contains({fold('source')}, 'rc1') AND lower(trim(CASE WHEN pos % 2 = 0 THEN ' Club ONE ' ELSE 'two' END)) = 'club one'")
 def sport_filter(spark, sf):
-    return desk.desk_filter(stories(spark, sf), search="An", searched=["body"], folded={"lang": "EN"}, within={"source": "E"}).select("pos")
+    s = stories(spark, sf).withColumn("organisation", F.when(F.col("pos") % 2 == 0, " Club ONE ").otherwise("two"))
+    return desk.desk_filter(s, search="An", searched=["body"], folded={"lang": "EN", "organisation": "club one"}, within={"source": "RC1"}).select("pos")
 
 
 @query("f24_council_filter", f"SELECT pos FROM stories WHERE lang = 'en' AND source = (SELECT min(source) FROM stories) AND contains({fold('title')}, 'a')")
 def council_filter(spark, sf):
     s = stories(spark, sf)
-    return desk.desk_filter(s, search="A", searched=["title"], equal={"lang": "en", "source": s.agg(F.min("source").alias("m")).first()["m"]}).select("pos")
+    return desk.desk_filter(s, search="A", searched=["title"], equal={"lang": "en", "source": s.agg(F.min("source").alias("m")).scalar()}).select("pos")
 
 
 @query("f25_unsafe_urls", """SELECT pos, CASE pos % 12 WHEN 0 THEN '' WHEN 1 THEN 'A valid HTTP or HTTPS URL is required.' WHEN 2 THEN 'URLs containing embedded credentials are prohibited.' WHEN 3 THEN 'Localhost URLs are prohibited.' WHEN 4 THEN 'Localhost URLs are prohibited.'
@@ -136,19 +164,28 @@ def unsafe_urls(spark, sf):
     return stories(spark, sf).select("pos", F.array_join(desk.url_errors(url), "|").alias("errors"))
 
 
-@query("f27_retained_stories", f"""SELECT pos FROM stories WHERE source = (SELECT min(source) FROM stories) AND pos % 5 > 0 AND pos % 7 > 0 AND pos % 3 > 0 AND length(trim(body)) >= 160 AND NOT ends_with(trim({fold('title')}), ' archives')""")
+@query("f27_retained_stories", f"""SELECT pos FROM stories WHERE (source = (SELECT min(source) FROM stories) OR pos % 10 = 1) AND pos % 5 <> 0 AND pos % 7 <> 0 AND pos % 3 <> 0 AND length(trim(body)) >= 160 AND NOT ends_with(trim({fold('title')}), ' archives')""")
 def retained_stories(spark, sf):
     p, s = F.col("pos"), stories(spark, sf)
-    name = s.agg(F.min("source").alias("m")).first()["m"]
-    s = s.withColumns({"source_key": F.lit(""), "completeness": F.when(p % 5 == 0, "summary_only"), "from_index": F.when(p % 7 == 0, True), "title": F.when(p % 3 == 0, F.concat("title", F.lit(" ARCHIVES "))).otherwise(F.col("title"))})
+    name = s.agg(F.min("source").alias("m")).scalar()
+    s = s.withColumns({"source_key": F.when(p % 10 == 1, name).otherwise(""), "completeness": F.when(p % 5 == 0, "summary_only"), "from_index": F.when(p % 7 == 0, True), "title": F.when(p % 3 == 0, F.concat("title", F.lit(" ARCHIVES "))).otherwise(F.col("title"))})
     return desk.retained_stories(s, name).select("pos")
 
 
-@query("j7_workflow", """SELECT pos, CASE WHEN pos % 6 = 5 THEN '' WHEN pos % 4 = 0 THEN 'SENT TO METRICOOL' WHEN pos % 4 = 1 THEN CASE WHEN pos % 3 = 0 THEN 'SENT TO METRICOOL' ELSE 'SENT TO SOCIAL DESK' END ELSE '' END AS stage FROM stories""")
+@query("j7_workflow", """, s AS (SELECT pos, CASE WHEN pos % 6 = 5 THEN NULL ELSE ' https://X.org/' || pos % 300 || CASE WHEN pos % 2 = 0 THEN '//' ELSE '' END END AS url FROM stories),
+d AS (SELECT pos, CASE WHEN pos % 4 < 2 THEN 'https://x.ORG/' || pos * 7 % 310 || ' ' WHEN pos % 4 = 2 THEN NULL ELSE '/' END AS a, CASE WHEN pos % 5 < 3 THEN 'HTTPS://x.org/' || pos * 3 % 290 || '/' ELSE '' END AS b,
+ trim(CASE WHEN pos % 4 = 0 THEN ' id ' ELSE ' ' END) <> '' OR lower(trim(CASE WHEN pos % 3 = 0 THEN ' Sent to Metricool as DRAFT ' ELSE 'draft' END)) = 'sent to metricool as draft' AS sent FROM stories),
+k AS (SELECT pos, sent, lower(rtrim(trim(u), '/')) AS u FROM (SELECT pos, sent, unnest([a, b]) AS u FROM d)), first AS (SELECT u, arg_min(sent, pos) AS sent FROM k WHERE u <> '' GROUP BY u)
+SELECT s.pos, CASE WHEN first.sent THEN 'SENT TO METRICOOL' WHEN NOT first.sent THEN 'SENT TO SOCIAL DESK' ELSE '' END AS stage FROM s LEFT JOIN first ON first.u = lower(rtrim(trim(s.url), '/'))""")
 def workflow(spark, sf):
+    """Addresses that several stories and several drafts share, public and internal ones."""
     p = F.col("pos")
-    s = stories(spark, sf).select("pos", F.when(p % 6 == 5, F.lit(None).cast("string")).otherwise(F.concat(F.lit(" https://x.org/"), p.cast("string"))).alias("url"))
-    drafts = stories(spark, sf).select(F.when(p % 4 < 2, F.concat(F.lit("https://x.org/"), p.cast("string"), F.lit(" "))).alias("source_url"), F.when(p % 3 == 0, "Sent to Metricool as draft").otherwise("draft").alias("status"), F.when(p % 4 == 0, "id").otherwise("").alias("delivery_id"))
+    t = lambda c: c.cast("string")
+    s = stories(spark, sf).select("pos", F.when(p % 6 != 5, F.concat(F.lit(" https://X.org/"), t(p % 300), F.when(p % 2 == 0, "//").otherwise(""))).alias("url"))
+    drafts = stories(spark, sf).select(
+        "pos", F.when(p % 4 < 2, F.concat(F.lit("https://x.ORG/"), t(p * 7 % 310), F.lit(" "))).when(p % 4 == 3, "/").alias("source_url"), F.when(p % 5 < 3, F.concat(F.lit("HTTPS://x.org/"), t(p * 3 % 290), F.lit("/"))).otherwise("").alias("internal_source_url"),
+        F.when(p % 3 == 0, " Sent to Metricool as DRAFT ").otherwise("draft").alias("status"), F.when(p % 4 == 0, " id ").otherwise(" ").alias("delivery_id"),
+    )
     return desk.workflow_status(s, drafts).select("pos", "stage")
 
 
@@ -168,9 +205,17 @@ def source_extras(spark, sf):
     return desk.with_source(s, "police").select("pos", "source", "category", F.col("extras")["module_profile"].alias("profile"), F.try_element_at("extras", F.lit("zone")).alias("zone"))
 
 
-@query("m7_definition_fingerprints", """SELECT pos, sha256('{"id": "' || pos || '", "name": "' || replace(replace(title, '\\', '\\\\'), '"', '\\"') || '", "zone": "' || source || '"}') AS print FROM stories""")
+_MARKS = "list_extract(['', chr(10), chr(9) || 'x', chr(13) || chr(1), '\\ \"', chr(8) || chr(12) || chr(31), 'é ' || chr(127)], CAST(pos % 7 AS INTEGER) + 1)"
+_JSON = "title || " + _MARKS
+for _old, _new in (("'\\'", "'\\\\'"), ("'\"'", "'\\\"'"), *((f"chr({i})", {8: "'\\b'", 9: "'\\t'", 10: "'\\n'", 12: "'\\f'", 13: "'\\r'"}.get(i, f"'\\u{i:04x}'")) for i in range(1, 32))):
+    _JSON = f"replace({_JSON}, {_old}, {_new})"
+
+
+@query("m7_definition_fingerprints", f"""SELECT pos, sha256('{{"id": "' || pos || '", "name": "' || {_JSON} || '", "zone": "' || source || '"}}') AS print FROM stories""")
 def definition_fingerprints(spark, sf):
-    definition = F.create_map(F.lit("zone"), F.col("source"), F.lit("name"), F.col("title"), F.lit("id"), F.col("pos").cast("string"))
+    """Names with every kind of character that JSON escapes."""
+    mark = F.element_at(F.array(*map(F.lit, ["", "\n", "\tx", "\r\x01", '\\ "', "\b\f\x1f", "é \x7f"])), (F.col("pos") % 7 + 1).cast("int"))
+    definition = F.create_map(F.lit("zone"), F.col("source"), F.lit("name"), F.concat("title", mark), F.lit("id"), F.col("pos").cast("string"))
     return stories(spark, sf).select("pos", desk.definition_fingerprint(definition).alias("print"))
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..data.boilerplate import BOILERPLATE_LINES
 from ..data.rules import BLOCKED_SUMMARIES, DECORATIONS, NOISE_PREFIXES, SCRAPE_NOISE
 from ..functions import numbers
-from ..functions.text import casefold
-from ..operators import articles, editing, filters, images, publish
+from ..functions.text import casefold, clean
+from ..operators import articles, editing, filters, images, ordering, publish
 from ..streaming import state
 from .registry import query, stories, table
 from .text_queries import c, fold, key
@@ -132,9 +132,11 @@ def meaningful_summaries(spark, sf):
 
 @query("o2_oldest_first", "SELECT pos, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN lang <> 'es' THEN published END ASC NULLS FIRST, pos) AS oldest, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN lang <> 'es' THEN published END ASC NULLS LAST, pos) AS oldest_last FROM stories")
 def oldest_first(spark, sf):
+    """The places that the sorts give: rows are numbered as they come out of them."""
     s = stories(spark, sf).withColumn("t", F.when(F.col("lang") != "es", F.col("published")))
-    by = lambda order: F.row_number().over(Window.partitionBy("source").orderBy(order, "pos")).cast("long")
-    return s.select("pos", by(F.asc_nulls_first("t")).alias("oldest"), by(F.asc_nulls_last("t")).alias("oldest_last"))
+    placed = lambda missing: ordering.sorted_stories(s, "oldest", "t", missing=missing).withColumn("m", F.monotonically_increasing_id())
+    by = lambda missing, name: placed(missing).select("pos", F.row_number().over(Window.partitionBy("source").orderBy("m")).cast("long").alias(name))
+    return by("oldest", "oldest").join(by("last", "oldest_last"), "pos")
 
 
 @query("o4_title_order", f"SELECT pos, row_number() OVER (PARTITION BY source ORDER BY encode({fold('title')}), pos) AS rank FROM stories")
@@ -168,34 +170,55 @@ def house_style(spark, sf):
 _BOILER = ", ".join(f"'{x}'" for x in BOILERPLATE_LINES)
 
 
-@query("x4_own_lines", rf"""SELECT pos, array_to_string(list_filter(list_transform(string_split(body, chr(10)), lambda x: {c('x')}), lambda t: NOT (length(t) < 2 OR {fold('t')} IN ({_BOILER})
- OR regexp_matches(t, '(?i)^(published|updated|posted|date|author|by|category|tags?|location|share)\s*:') OR regexp_matches(t, '^\d{{1,2}}(st|nd|rd|th)? [A-Z][a-z]+ \d{{4}}$|^\d{{1,2}}/\d{{1,2}}/\d{{4}}$|^\d{{1,2}}:\d{{2}}( ?[ap]m)?$'))), chr(10)) AS body FROM stories""")
+#: A line before each text: furniture of every kind, and lines that only look like it.
+_LINES = ["Subscribe to our newsletter", "sign up", "Read more about it", "Related content", "More from us", "Follow us!", "Share this", "share via mail", "LinkedIn", "PRINT", "Like this", "Loading...", "Advertisement", "Cookies are fine", "Comment", "Leave a reply", "Posted in News", "next story", "Tags:x", "Category: y", "Opens in a new window", "Copy link", "Author: A", "Sign upwards", "x", "X marks", "1 January 2024"]
+_FURNITURE = r"^(?:(?:subscribe|sign up|read more|related (?:articles|stories|posts|content)|you may also like|more from|recommended for you|follow us|share this|share (?:on|via|to)|advertisement|cookie|comments?|leave a (?:reply|comment)|posted (?:in|on|by)|(?:previous|next) (?:article|post|story)|opens? in (?:a )?new window|copy link)(?:[^\p{L}\p{N}_]|$)|(?:facebook|twitter|x|linkedin|whatsapp|email|share|tweet|pin|send|print|like this:?|loading(?:\.\.\.)?)$|tags?:|categories?:)"
+
+
+@query("x4_own_lines", f"""SELECT pos, array_to_string(list_filter(list_transform(string_split(list_extract({_LINES}, CAST(pos % {len(_LINES)} AS INTEGER) + 1) || chr(10) || body, chr(10)), lambda x: {c('x')}), lambda t: NOT (length(t) < 2 OR regexp_matches(t, '(?i){_FURNITURE}'))), chr(10)) AS body FROM stories""")
 def own_lines(spark, sf):
-    return stories(spark, sf).select("pos", F.array_join(images.own_lines("body"), "\n").alias("body"))
+    line = F.element_at(F.array(*map(F.lit, _LINES)), (F.col("pos") % len(_LINES) + 1).cast("int"))
+    return stories(spark, sf).select("pos", F.array_join(images.own_lines(F.concat(line, F.lit("\n"), "body")), "\n").alias("body"))
+
+
+@query("n17_boilerplate_lines", rf"""SELECT pos, array_to_string(list_filter(list_transform(string_split(body, chr(10)), lambda x: {c('x')}), lambda t: NOT (length(t) < 2 OR {fold('t')} IN ({_BOILER})
+ OR regexp_matches(t, '(?i)^(published|updated|posted|date|author|by|category|tags?|location|share)\s*:') OR regexp_matches(t, '^\d{{1,2}}(st|nd|rd|th)? [A-Z][a-z]+ \d{{4}}$|^\d{{1,2}}/\d{{1,2}}/\d{{4}}$|^\d{{1,2}}:\d{{2}}( ?[ap]m)?$'))), chr(10)) AS body FROM stories""")
+def boilerplate_lines(spark, sf):
+    lines = F.filter(F.transform(F.split("body", "\n"), lambda x: clean(x)), lambda x: ~images.boilerplate_line(x))
+    return stories(spark, sf).select("pos", F.array_join(lines, "\n").alias("body"))
 
 
-#: Three candidates a story: two by address and size, one logo.
+#: Six candidates a story: two by address and size, one logo, one that differs from the first in case, one video, one from the root.
 _CANDIDATES = """SELECT pos, unnest([{'i': 0, 'url': 'https://x.org/' || pos % 9 || '00x' || pos % 7 || '50/a.jpg', 'w': pos % 4 * 100, 'h': pos % 3 * 90, 'meta': pos % 5 = 0},
  {'i': 1, 'url': 'https://x.org/ace/standard/' || (pos % 6 + 1) || '20/b.jpg?width=' || (pos % 8 + 2) || '0&height=40', 'w': 0, 'h': 0, 'meta': pos % 11 = 0},
- {'i': 2, 'url': 'https://x.org/site-' || CASE WHEN pos % 2 = 0 THEN 'Crest' ELSE 'photo' END || '.png', 'w': pos % 10 * 60, 'h': 0, 'meta': FALSE}]) AS k FROM stories"""
+ {'i': 2, 'url': 'https://x.org/site-' || CASE WHEN pos % 2 = 0 THEN 'Crest' ELSE 'photo' END || '.png', 'w': pos % 10 * 60, 'h': 0, 'meta': FALSE},
+ {'i': 3, 'url': 'https://X.org/' || pos % 9 || '00x' || pos % 7 || '50/A.jpg', 'w': 5000, 'h': 5000, 'meta': TRUE}, {'i': 4, 'url': CASE WHEN pos % 3 = 0 THEN 'data:image/png' ELSE 'https://x.org/Video/9000x9000.jpg' END, 'w': 0, 'h': 0, 'meta': TRUE},
+ {'i': 5, 'url': CASE WHEN pos % 4 = 0 THEN 'https://site.org/r/900x' || pos % 80 + 10 || '.jpg' WHEN pos % 4 = 1 THEN 'https://site.org/c/900x' || pos % 80 + 10 || '.jpg' ELSE 'ftp://x' END, 'w': 0, 'h': 0, 'meta': FALSE}][CASE WHEN pos % 13 = 0 THEN 3 ELSE 1 END:CASE WHEN pos % 13 = 0 THEN 3 WHEN pos % 17 = 0 THEN 0 ELSE 6 END]) AS k FROM stories"""
 
 
-@query("x8_best_images", rf"""SELECT pos, CASE WHEN max(score) > 0 THEN first(url ORDER BY score DESC, i) END AS image FROM (SELECT pos, i, url, CASE WHEN w > 0 AND h > 0 THEN w * h WHEN w > 0 THEN w * w ELSE 1 END + CASE WHEN meta THEN 2000000 ELSE 0 END
+@query("x8_best_images", rf"""SELECT s.pos, coalesce(first(k.url ORDER BY k.score DESC, k.i) FILTER (WHERE k.url IS NOT NULL), '') AS image FROM stories s LEFT JOIN (SELECT pos, i, url, CASE WHEN w > 0 AND h > 0 THEN w * h WHEN w > 0 THEN w * w ELSE 1 END + CASE WHEN meta THEN 2000000 ELSE 0 END
  - CASE WHEN regexp_matches(lower(url), '{"|".join(DECORATIONS)}') THEN 5000000 ELSE 0 END AS score FROM (SELECT pos, i, url, meta, greatest(w, CASE WHEN a[1] <> '' THEN CAST(a[1] AS BIGINT) WHEN b[1] <> '' THEN CAST(b[1] AS BIGINT) WHEN d <> '' THEN CAST(d AS BIGINT) ELSE 0 END) AS w,
  greatest(h, CASE WHEN a[1] <> '' THEN CAST(a[2] AS BIGINT) WHEN b[1] <> '' THEN CAST(b[2] AS BIGINT) WHEN d <> '' THEN CAST(d AS BIGINT) * 9 // 16 ELSE 0 END) AS h FROM (SELECT pos, k.i AS i, k.url AS url, k.w AS w, k.h AS h, k.meta AS meta,
  [regexp_extract(k.url, '(^|[^0-9])([0-9]{{2,4}})[xX]([0-9]{{2,4}})($|[^0-9])', 2), regexp_extract(k.url, '(^|[^0-9])([0-9]{{2,4}})[xX]([0-9]{{2,4}})($|[^0-9])', 3)] AS a,
  [regexp_extract(k.url, '[?&](?:width|w)=([0-9]{{2,4}}).*?[?&](?:height|h)=([0-9]{{2,4}})', 1), regexp_extract(k.url, '[?&](?:width|w)=([0-9]{{2,4}}).*?[?&](?:height|h)=([0-9]{{2,4}})', 2)] AS b, regexp_extract(k.url, '/(?:standard|news|ace)/([0-9]{{2,4}})/', 1) AS d
- FROM ({_CANDIDATES})))) GROUP BY pos""")
+ FROM (SELECT * FROM ({_CANDIDATES}) WHERE regexp_matches(lower(k.url), '^https?://[^/]') AND NOT contains(lower(k.url), '/video/') QUALIFY row_number() OVER (PARTITION BY pos, lower(k.url) ORDER BY k.i) = 1)))) AS k ON k.pos = s.pos GROUP BY s.pos""")
 def best_images(spark, sf):
     p = F.col("pos")
     text = lambda *parts: F.concat(*[x.cast("string") if not isinstance(x, str) else F.lit(x) for x in parts])
+    long = lambda n: F.lit(n).cast("long")
     one = lambda url, w, h, meta: F.struct(url.alias("url"), w.alias("width"), h.alias("height"), meta.alias("metadata"))
+    last = F.when(p % 4 == 0, text("/r/900x", p % 80 + 10, ".jpg")).when(p % 4 == 1, text("900x", p % 80 + 10, ".jpg")).otherwise("ftp://x")
     some = F.array(
         one(text("https://x.org/", p % 9, "00x", p % 7, "50/a.jpg"), p % 4 * 100, p % 3 * 90, p % 5 == 0),
-        one(text("https://x.org/ace/standard/", p % 6 + 1, "20/b.jpg?width=", p % 8 + 2, "0&height=40"), F.lit(0).cast("long"), F.lit(0).cast("long"), p % 11 == 0),
-        one(F.concat(F.lit("https://x.org/site-"), F.when(p % 2 == 0, "Crest").otherwise("photo"), F.lit(".png")), p % 10 * 60, F.lit(0).cast("long"), F.lit(False)),
+        one(text(" https://x.org/ace/standard/", p % 6 + 1, "20/b.jpg?width=", p % 8 + 2, "0&amp;height=40"), long(0), long(0), p % 11 == 0),
+        one(F.concat(F.lit("https://x.org/site-"), F.when(p % 2 == 0, "Crest").otherwise("photo"), F.lit(".png")), p % 10 * 60, long(0), F.lit(False)),
+        one(text("https://X.org/", p % 9, "00x", p % 7, "50/A.jpg"), long(5000), long(5000), F.lit(True)),
+        one(F.when(p % 3 == 0, "data:image/png").otherwise("https://x.org/Video/9000x9000.jpg"), long(0), long(0), F.lit(True)),
+        one(last, long(0), long(0), F.lit(False)),
     )
-    return stories(spark, sf).select("pos", images.best_image(some).alias("image"))
+    first = F.when(p % 13 == 0, 3).otherwise(1)
+    some = F.slice(some, first, F.when(p % 13 == 0, 1).when(p % 17 == 0, 0).otherwise(6))
+    return stories(spark, sf).select("pos", images.best_image(some, F.lit("https://site.org/c/page?x=/y/")).alias("image"))
 
 
 @query("x16_without_attachment", """SELECT conv_id, turn, array_to_string(list_filter(l, lambda x, i: i = 1 OR x <> l[i - 1]), '|') AS lines FROM (SELECT conv_id, turn, list_filter(string_split(coalesce(text, ''), ' '), lambda x: x NOT IN ('the', 'of', 'la')) AS l FROM conversations)""")

@@ -18,7 +18,7 @@ def rss_items(feeds: DataFrame, xml: str = "xml") -> DataFrame:
     channel = F.from_xml(F.regexp_replace(xml, r"<(/?)(?:dc|media|content):", "<$1"), f"channel struct<item:array<{ITEM}>>")
     items = feeds.withColumn("i", F.explode(channel["channel"]["item"]))
     keep = (F.trim(blank("i.title")) != "") & (F.trim(blank("i.link")) != "") & (F.trim(blank("i.pubDate")) != "")
-    text = plain_html(F.col("i.description"), 10_000)
+    text = plain_html(F.col("i.description"), None)
     return items.where(keep).select(*[c for c in feeds.columns if c != xml], F.trim("i.title").alias("title"), F.trim("i.link").alias("url"), text.alias("summary"), text.alias("body"), dates.parsed(F.col("i.pubDate")).alias("published"), blank("i.creator").alias("author"))
 
 

@@ -33,11 +33,12 @@ def instant(text: str) -> datetime | None:
 
 def parquet_pages(root: str, lower: datetime, upper: datetime, offset: int, limit: int) -> dict:
     """The built-in interface: a Parquet table (id, created, payload), newest first, as if it were served by pages."""
+    import pyarrow as pa
     import pyarrow.compute as pc
     import pyarrow.dataset as ds
 
-    created = pc.field("created").cast("timestamp[us, tz=UTC]")
-    found = ds.dataset(root).to_table(filter=(created >= lower) & (created <= upper), columns=["id", "created", "payload"])
+    created = pc.field("created").cast(pa.timestamp("us", "UTC"))
+    found = ds.dataset(root, format="parquet").to_table(filter=(created >= lower) & (created <= upper), columns=["id", "created", "payload"])
     rows = found.sort_by([("created", "descending"), ("id", "descending")]).slice(offset, limit).to_pylist()
     return {"item": [{"id": r["id"], "created": r["created"].replace(tzinfo=UTC).isoformat(), "payload": r["payload"]} for r in rows], "total": found.num_rows}
 
