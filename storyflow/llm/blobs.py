@@ -10,11 +10,12 @@ import zstandard
 
 
 def packed(*arrays: np.ndarray) -> bytes:
-    """Arrays of numbers, none below 0, each in as few bytes as its largest needs; compressed."""
+    """Arrays of numbers, none below 0, each in as few bytes as its largest needs, first bytes
+    first, second ones then, so that they compress well; compressed."""
     out = []
     for a in arrays:
         width = next(w for w in (1, 2, 4, 8) if not len(a) or int(a.max()) < 1 << (8 * w))
-        out += [struct.pack("<QB", len(a), width), a.astype(f"<u{width}").tobytes()]
+        out += [struct.pack("<QB", len(a), width), a.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
 
@@ -23,7 +24,8 @@ def unpacked(blob: bytes) -> list[np.ndarray]:
     raw, at, out = zstandard.ZstdDecompressor().decompress(blob), 0, []
     while at < len(raw):
         n, width = struct.unpack_from("<QB", raw, at)
-        out.append(np.frombuffer(raw, f"<u{width}", n, at + 9).astype(np.int64))
+        planes = np.frombuffer(raw, np.uint8, n * width, at + 9).reshape(width, n)
+        out.append(np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64))
         at += 9 + n * width
     return out
 

@@ -270,7 +270,7 @@ def phrases(docs: DataFrame, *, least: int = LEAST, longest: int = LONGEST, size
             for w, c in zip(words, counts.tolist()):
                 total[lang, w] += c
             asked.append((shard, lang, words, np.cumsum(gaps)))
-        often = sorted(k for k, c in total.items() if c >= least)
+        often = sorted((k for k, c in total.items() if c >= least), key=lambda k: (-total[k], k))  # small numbers for many
         number = {k: i * parts + part + 1 for i, k in enumerate(often)}
         rows = [(None, None, number[k], k[0], k[1].decode(), total[k]) for k in often]
         for shard, lang, words, ks in asked:

@@ -42,7 +42,7 @@ ADDED = 0.1
 #: Tokens of a chunk, about; a longer text is a chunk of its own.
 CHUNK_TOKENS = 1 << 19
 #: Bytes of text for which there is a part of the model, about.
-PART_BYTES = 8 << 20
+PART_BYTES = 16 << 20
 #: Parts that the pairs after one word are dealt over, at most.
 FAN = 64
 STEP = 2048
@@ -86,7 +86,7 @@ def encoded(docs: DataFrame, size: int, parts: int) -> DataFrame:
             names = list(known)  # in the order of their numbers
             of = np.fromiter((zlib.crc32(w) % parts for w in names), np.int64, len(names))
             squeeze = zstandard.ZstdCompressor(level=1).compress
-            row = [part << 32 | number, list(doc_ids), np.array([len(s) for s in streams], "<u4").tobytes(), np.array(train, np.uint8).tobytes(), squeeze(b" ".join(names)), packed(of), squeeze(np.concatenate(streams).tobytes())]
+            row = [part << 32 | number, list(doc_ids), np.array([len(s) for s in streams], "<u4").tobytes(), np.array(train, np.uint8).tobytes(), squeeze(b" ".join(names)), packed(of), packed(np.concatenate(streams))]
             types = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 5]
             number, held, known = number + 1, 0, {}
             for x in (doc_ids, train, streams):
@@ -120,7 +120,7 @@ class Chunk:
     def __init__(self, row: dict, parts: int):
         self.parts, self.doc_ids, self.words = parts, row["doc_ids"], row["words"]
         (self.word_part,) = unpacked(row["word_parts"])
-        self.ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["ids"]), np.uint32).astype(np.int64)
+        (self.ids,) = unpacked(row["ids"])
         self.lengths = np.frombuffer(row["lengths"], "<u4").astype(np.int64)
         self.first = np.cumsum(self.lengths) - self.lengths
         self.train = np.repeat(np.frombuffer(row["train"], np.uint8), self.lengths).astype(np.int64)
@@ -161,7 +161,10 @@ class Chunk:
             v, w = a[lo:hi], b[lo:hi]
             starts = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
             head = v[starts]
-            yield p, packed(np.diff(self.number[head], prepend=0), np.diff(np.append(starts, len(v))), self.count[head], self.number[w], self.count[w], self.pair_count[lo:hi])
+            # Second words by their place among the blob's own, each with its count once.
+            order, first = grouped(self.number[w])
+            own = w[order[first]]
+            yield p, packed(np.diff(self.number[head], prepend=0), np.diff(np.append(starts, len(v))), self.count[head], np.diff(self.number[own], prepend=0), self.count[own], ranks(order, first), self.pair_count[lo:hi])
 
     def know_pairs(self, answers: dict[int, bytes]) -> None:
         """Each pair's code and whether training texts hold it twice."""
@@ -249,7 +252,7 @@ def serve_words(part: int, parts: int, blobs: list[bytes]) -> tuple[list[bytes],
         for w, c in zip(words, unpacked(blob[4 + n :])[0].tolist()):
             total[w] = total.get(w, 0) + c
         asked.append(words)
-    number = {w: i * parts + part for i, w in enumerate(sorted(total))}
+    number = {w: i * parts + part for i, w in enumerate(sorted(total, key=lambda w: (-total[w], w)))}  # small numbers for words of many tokens
     answers = [packed(np.fromiter(map(number.__getitem__, ws), np.int64, len(ws)), np.fromiter(map(total.__getitem__, ws), np.int64, len(ws))) for ws in asked]
     return answers, sum(c > 0 for c in total.values()), sum(total.values())
 
@@ -260,8 +263,8 @@ def serve_pairs(blobs: list[bytes], tokens: int, words: int, weight: float, writ
 
     asked = []
     for blob in blobs:
-        gaps, n, cv, w, cw, c = unpacked(blob)
-        asked.append((np.cumsum(gaps), n, cv, w, cw, c))
+        gaps, n, cv, own, counts, w, c = unpacked(blob)
+        asked.append((np.cumsum(gaps), n, cv, np.cumsum(own)[w], counts[w], c))
     v = np.concatenate([np.repeat(q[0], q[1]) for q in asked])
     cv = np.concatenate([np.repeat(q[2], q[1]) for q in asked])
     w, cw, c = (np.concatenate([q[i] for q in asked]) for i in (3, 4, 5))
@@ -344,8 +347,17 @@ def serve_triples(blobs: list[bytes], weight: float, write) -> list[bytes]:
 # -- rounds --------------------------------------------------------------------------------
 
 
-def _answered(blobs: DataFrame, serve) -> DataFrame:
-    """The parts' answers to ``blobs``: serve(part, blobs) gives (answers, words, tokens, file)."""
+def bucketed(df: DataFrame, buckets: int) -> DataFrame:
+    """``df`` written to the shared folder as a table of ``buckets`` buckets by chunk: such tables are joined
+    by chunk without a shuffle."""
+    name = f"storyflow_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, "chunk").option("path", common.shared_dir(df.sparkSession)).option("compression", "zstd").format("parquet").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def _answered(blobs: DataFrame, serve, buckets: int) -> DataFrame:
+    """The parts' answers to ``blobs``, a row a chunk (chunk, answers), and in a row without a chunk
+    what the parts say of themselves (words, tokens, files): serve(part, blobs) gives (answers, words, tokens, file)."""
 
     def one(key, table):
         import pyarrow as pa
@@ -358,7 +370,9 @@ def _answered(blobs: DataFrame, serve) -> DataFrame:
             names=[c.split()[0] for c in ANSWERS.split(", ")],
         )
 
-    return common.saved(blobs.groupBy("part").applyInArrow(one, ANSWERS))
+    found = blobs.groupBy("part").applyInArrow(one, ANSWERS).repartition(buckets, "chunk")
+    answer = F.when(F.col("chunk").isNotNull(), F.struct("part", "blob"))
+    return bucketed(found.groupBy("chunk").agg(F.collect_list(answer).alias("answers"), F.sum("words").alias("words"), F.sum("tokens").alias("tokens"), F.collect_list("file").alias("files")), buckets)
 
 
 def score(docs: DataFrame, *, chunk_tokens: int = CHUNK_TOKENS, part_bytes: int = PART_BYTES, weights: tuple[float, float] = (PAIR_WEIGHT, TRIPLE_WEIGHT), folder: str | None = None) -> DataFrame:
@@ -370,9 +384,7 @@ def score(docs: DataFrame, *, chunk_tokens: int = CHUNK_TOKENS, part_bytes: int
     folder = common.qualified(spark, folder or common.shared_dir(spark))
     parts = common.pieces(docs, part_bytes, 2 * spark.sparkContext.defaultParallelism, F.octet_length("text"))
     # Bucketed: answers come to the chunks, which stay where they are.
-    name = f"storyflow_{uuid.uuid4().hex}"
-    encoded(docs, chunk_tokens, parts).write.bucketBy(parts, "chunk").option("path", common.shared_dir(spark)).option("compression", "zstd").format("parquet").saveAsTable(name)
-    chunks = spark.table(name)
+    chunks = bucketed(encoded(docs, chunk_tokens, parts), parts)
 
     def chunk_rows(batches, answers: int):
         for batch in batches:
@@ -394,8 +406,7 @@ def score(docs: DataFrame, *, chunk_tokens: int = CHUNK_TOKENS, part_bytes: int
     def with_answers(*rounds: DataFrame) -> DataFrame:
         out = chunks.withColumn("words", F.lit(None).cast("binary")) if rounds else chunks  # not read where they are not needed
         for j, a in enumerate(rounds):
-            mine = a.where(F.col("chunk").isNotNull()).groupBy("chunk").agg(F.collect_list(F.struct("part", "blob")).alias(f"a{j}"))
-            out = out.join(mine, "chunk", "left")
+            out = out.join(a.where(F.col("chunk").isNotNull()).select("chunk", F.col("answers").alias(f"a{j}")), "chunk")
         return out
 
     def dealt(rounds: list[DataFrame], what: str) -> DataFrame:
@@ -420,8 +431,8 @@ def score(docs: DataFrame, *, chunk_tokens: int = CHUNK_TOKENS, part_bytes: int
 
         return write, names
 
-    word_answers = _answered(dealt([], "word_blobs"), lambda part, blobs: (*serve_words(part, parts, blobs), None))
-    sums = word_answers.agg(F.sum("words").alias("v"), F.sum("tokens").alias("n")).first()
+    word_answers = _answered(dealt([], "word_blobs"), lambda part, blobs: (*serve_words(part, parts, blobs), None), parts)
+    sums = word_answers.where(F.col("chunk").isNull()).agg(F.sum("words").alias("v"), F.sum("tokens").alias("n")).first()
     v, n = sums["v"] or 0, sums["n"] or 0
 
     def pairs(part, blobs):
@@ -432,8 +443,8 @@ def score(docs: DataFrame, *, chunk_tokens: int = CHUNK_TOKENS, part_bytes: int
         write, names = writer("triples", part)
         return serve_triples(blobs, weights[1], write), None, None, names[0]
 
-    pair_answers = _answered(dealt([word_answers], "pair_blobs"), pairs)
-    triple_answers = _answered(dealt([word_answers, pair_answers], "triple_blobs"), triples)
+    pair_answers = _answered(dealt([word_answers], "pair_blobs"), pairs, parts)
+    triple_answers = _answered(dealt([word_answers, pair_answers], "triple_blobs"), triples, parts)
 
     def scored(batches):
         import pyarrow as pa
