@@ -15,7 +15,7 @@ def packed(*arrays: np.ndarray) -> bytes:
     out = []
     for a in arrays:
         width = next(w for w in (1, 2, 4, 8) if not len(a) or int(a.max()) < 1 << (8 * w))
-        out += [struct.pack("<QB", len(a), width), a.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()]
+        out += [struct.pack("<QB", len(a), width), a.astype(f"<u{width}").view(np.uint8).reshape(len(a), width).T.tobytes()]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
 
