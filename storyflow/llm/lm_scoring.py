@@ -406,7 +406,7 @@ def score(docs: DataFrame, *, chunk_tokens: int = CHUNK_TOKENS, part_bytes: int
     def with_answers(*rounds: DataFrame) -> DataFrame:
         out = chunks.withColumn("words", F.lit(None).cast("binary")) if rounds else chunks  # not read where they are not needed
         for j, a in enumerate(rounds):
-            out = out.join(a.where(F.col("chunk").isNotNull()).select("chunk", F.col("answers").alias(f"a{j}")), "chunk")
+            out = out.join(a.where(F.col("chunk").isNotNull()).select("chunk", F.col("answers").alias(f"a{j}")), "chunk", "left")  # a chunk without n-grams of a kind has no answer
         return out
 
     def dealt(rounds: list[DataFrame], what: str) -> DataFrame:
