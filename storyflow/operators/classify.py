@@ -1,9 +1,8 @@
 """Classification by a weighted lexicon, and the decisions that follow from it.
 
-The lexicon is a table of category, priority and keyword weights.  A text is cut into words
-once; single words are looked up in it by hash, and runs of several words are made only
-where a word starts a keyword, so the cost does not grow with the number of keywords.
-The lexicon is a part of the plan: some thousands of keywords, not some hundred thousand.
+The lexicon is a table of category, priority and keyword weights, and a part of the plan: some
+thousands of keywords, which one branched pattern finds in one look through a text.  Larger
+tables are joined: :func:`phrases.matches`.
 """
 
 from __future__ import annotations
@@ -15,32 +14,18 @@ from pyspark.sql import functions as F
 
 from ..data import lexicon as default
 from ..functions.text import blank, classifier_text
+from .phrases import found_in
 
 SECTIONS = (("title", 3), ("summary", 2), ("body", 1))
 
 
-def word_list(text: Column) -> Column:
-    """The words of a normalised text in order, with a mark wherever more than a space parts them."""
-    return F.split(F.regexp_replace(text, r"(?U)[^\w ]+", " ¦ "), " +")
-
-
-def _runs(words: Column, keywords: list[str], length: int) -> Column:
-    """The distinct ``keywords`` of ``length`` words among ``words``."""
-    first = {k.split(" ")[0] for k in keywords}
-    run = lambda w, i: F.when(w.isin(*first), F.array_join(F.slice(words, i + 1, F.lit(length)), " "))
-    return F.array_distinct(F.filter(F.transform(words, run), lambda r: r.isin(*keywords)))
-
-
-def keywords_in(words: Column, text: Column, keywords: list[str]) -> Column:
-    """The distinct ``keywords`` that stand in a normalised text as whole words.  ``words``
-    and ``text`` must be columns, not expressions: they are read once for each word."""
-    plain = [k for k in keywords if re.match(r"\w+(?: \w+)*\Z", k)]
-    single = [k for k in plain if " " not in k]
-    found = [F.array_distinct(F.filter(words, lambda w: w.isin(*single)))] if single else []
-    for n in sorted({k.count(" ") + 1 for k in plain} - {1}):
-        found.append(_runs(words, [k for k in plain if k.count(" ") + 1 == n], n))
-    odd = [F.when(has_any(text, (k,)), F.lit(k)) for k in keywords if k not in plain]  # with marks inside
-    return F.concat(*found, *([F.array_compact(F.array(*odd))] if odd else []))
+def keywords_in(text: Column, keywords: list[str]) -> Column:
+    """The distinct ``keywords`` that stand in a normalised text as whole words, by one look through it;
+    those that begin or end with a mark, and so have no word's edge there, by one look each."""
+    plain = [k for k in keywords if re.match(r"\w(?:.*\w)?\Z", k, re.S)]
+    found = found_in(text, plain)
+    odd = [F.when(has_any(text, (k,)), F.lit(k)) for k in keywords if k not in plain]
+    return F.concat(found, F.array_compact(F.array(*odd))) if odd else found
 
 
 def has_any(text: Column, keywords: tuple[str, ...]) -> Column:
@@ -60,10 +45,9 @@ def scored(df: DataFrame, lexicon=default.LEXICON, columns: tuple[tuple[str, int
     # Through explode, so that the optimiser cannot copy the cleaning of the text into what reads it.
     texts = [classifier_text(name) for name, _ in columns]
     df = df.select("*", F.explode(F.array(F.struct(*[t.alias(f"t{i}") for i, t in enumerate(texts)]))).alias("_texts"))
-    df = df.select("*", F.explode(F.array(F.struct(*[word_list(F.col(f"_texts.t{i}")).alias(f"w{i}") for i in range(len(columns))]))).alias("_words"))
-    parts = [_weighted(keywords_in(F.col(f"_words.w{i}"), F.col(f"_texts.t{i}"), list(weights)), lookup, times) for i, (_, times) in enumerate(columns)]
+    parts = [_weighted(keywords_in(F.col(f"_texts.t{i}"), list(weights)), lookup, times) for i, (_, times) in enumerate(columns)]
     hits = F.concat(*parts)
-    df = df.select("*", F.explode(F.array(hits)).alias("_hits")).drop("_words")
+    df = df.select("*", F.explode(F.array(hits)).alias("_hits"))
     names = [c for c, _, _ in lexicon]
     total = lambda c: F.aggregate(F.filter("_hits", lambda h: h["category"] == c), F.lit(0), lambda s, h: s + h["points"])
     scores = F.filter(F.transform(F.array(*map(F.lit, names)), lambda c: F.struct(c.alias("key"), total(c).alias("value"))), lambda e: e["value"] > 0)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..data.places import PLACES
 from ..data.rules import ARTICLE_URL_PARTS, BLOCKED_SUMMARIES, EXCLUDED_TITLES, EXCLUDED_URL_ENDINGS, EXCLUDED_URL_PARTS, URL_PENALTIES
 from ..functions.text import blank, casefold, clean
+from .phrases import branched
 
 
 def place_pattern(place: str) -> str:
@@ -25,12 +26,21 @@ def any_place(text: Column | str, places: tuple[str, ...] = PLACES) -> Column:
 
 
 def matched_places(text: Column | str, places: tuple[str, ...] = PLACES) -> Column:
-    """The places that a text names, longer names first, equal lengths by name.
+    """The places that a text names, longer names first, equal lengths by name, by one look through it.
 
-    Each place is looked for only where any is there at all."""
+    At each place the longest name is found; it is looked up for the names that it begins with."""
     names = sorted(set(places), key=lambda p: (-len(p), p))
-    each = F.array_compact(F.array(*[F.when(blank(text).rlike("(?i)" + place_pattern(p)), F.lit(p)) for p in names]))
-    return F.when(any_place(text, places), each).otherwise(F.array().cast("array<string>"))
+    gap = lambda ch: r"[\s-]+" if ch == " " else re.escape(ch)
+    key = lambda p: re.sub(r"[\s-]+", " ", p.lower())
+    low = sorted({p.lower() for p in names})
+    hits = F.array_distinct(F.regexp_extract_all(blank(text), F.lit(rf"(?i)(?<![A-Za-z0-9])(?=({branched(low, gap)})(?![A-Za-z0-9]))"), F.lit(1)))
+    held = {key(p): [q for q in names if key(p) == key(q) or (key(p).startswith(key(q)) and not re.match("[A-Za-z0-9]", key(p)[len(key(q))]))] for p in names}
+    table = F.create_map(*[x for k, qs in held.items() for x in (F.lit(k), F.array(*map(F.lit, qs)))])
+    # A name with a hyphen of its own is not meant by one with a space.
+    own = lambda h: F.filter(F.element_at(table, F.regexp_replace(F.lower(h), r"[\s-]+", " ")), lambda q: ~F.contains(q, F.lit("-")) | F.contains(F.lower(h), F.lower(q)))
+    found = F.flatten(F.transform(hits, own))
+    order = F.array(*map(F.lit, names))
+    return F.when(F.size(hits) > 0, F.filter(order, lambda n: F.array_contains(found, n))).otherwise(F.array().cast("array<string>"))
 
 
 def geographic(df: DataFrame, columns: list[str], places: tuple[str, ...] = PLACES) -> DataFrame:
