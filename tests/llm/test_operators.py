@@ -249,6 +249,22 @@ def test_reading_stops_when_no_outsider_can_qualify():
 # -- op5 -----------------------------------------------------------------------------------
 
 
+def test_labels_of_notices_that_are_alike():
+    index = licenses.Index(licenses.TEMPLATES, {}, licenses.THRESHOLD)
+    said = lambda text: set(index.meets(text.encode().split()))
+    assert said("released under the apache license") == set()
+    assert said("this book was released on license under the sea") == set()
+    assert said("licensed under cc by 4 0") == set()
+    assert said("licensed under cc by sa 4 0") == {"cc-by-sa"}
+    assert said("this work is licensed under a creative commons attribution noncommercial license") == {"cc-by-nc"}
+    assert said("this work is licensed under a creative commons attribution license") == {"cc-by"}
+    assert said("this library is licensed under the gnu lesser general public license") == {"lgpl"}
+    assert said("this work is licensed under the gnu general public license version 3") == {"gpl"}
+    assert said("released under the mit license") == {"mit"}
+    for label, text, *_ in licenses.TEMPLATES:
+        assert said(text) == {label}
+
+
 def test_license_blocks(spark):
     texts = [
         (1, "x MIT License y\nmit, license MIT License"),
