@@ -89,12 +89,12 @@ step AS (
       SELECT e.draft_id, e.n, e."at", e.event, CASE WHEN late THEN 'uncertain' ELSE s.state END AS state, CASE WHEN late THEN s.since + INTERVAL 3 DAYS ELSE s.since END AS since, CASE WHEN late THEN s.since + INTERVAL 3 DAYS END AS timed
       FROM (SELECT step.*, e.n AS m, step.state = 'sending' AND e."at" > step.since + INTERVAL 3 DAYS AS late FROM step JOIN e ON e.draft_id = step.draft_id AND e.n = step.n + 1) s JOIN e ON e.draft_id = s.draft_id AND e.n = s.m))),
 last AS (SELECT * FROM step QUALIFY row_number() OVER (PARTITION BY draft_id ORDER BY n DESC) = 1)
-SELECT draft_id, "at" AS moment, event, state, accepted FROM step
-UNION ALL SELECT draft_id, timed, 'timeout', 'uncertain', true FROM step WHERE timed IS NOT NULL
-UNION ALL SELECT draft_id, since + INTERVAL 3 DAYS, 'timeout', 'uncertain', true FROM last WHERE state = 'sending' AND epoch_ms(since) + 3 * 86400000 + 1 < (SELECT epoch_ms(max("at")) FROM e)""")
+SELECT draft_id, epoch_us("at") AS moment, event, state, accepted FROM step
+UNION ALL SELECT draft_id, epoch_us(timed), 'timeout', 'uncertain', true FROM step WHERE timed IS NOT NULL
+UNION ALL SELECT draft_id, epoch_us(since + INTERVAL 3 DAYS), 'timeout', 'uncertain', true FROM last WHERE state = 'sending' AND epoch_ms(since) + 3 * 86400000 + 1 < (SELECT epoch_ms(max("at")) FROM e)""")
 def stream_deliveries(spark, sf):
     """Delivery events of all users' drafts, with a timer of three days."""
     kind = F.element_at(F.array(*map(F.lit, ("queue", "start", "sent", "failed"))), (F.col("event_id") % 4 + 1).cast("int"))
     at = F.date_trunc("millisecond", F.col("ts").cast("timestamp"))
     events = _stream(spark, sf, "events").select(F.col("user_id").alias("draft_id"), at.alias("at"), kind.alias("event"))
-    return tracking.finished(staging.stream_deliveries(events, 3 * 24 * 60), [], mode="append").withColumnRenamed("at", "moment")
+    return tracking.finished(staging.stream_deliveries(events, 3 * 24 * 60), [], mode="append").withColumn("at", F.unix_micros("at")).withColumnRenamed("at", "moment")
