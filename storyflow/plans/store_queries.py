@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import dedup, listings, phrases, runlog
+from ..operators import dedup, listings, lookup, phrases, runlog
 from ..operators.lineage import folder
 from ..sources import packs, paged
 from .registry import query, stories, table
@@ -128,3 +128,19 @@ def phrase_matches(spark, sf):
     s = stories(spark, sf)
     table_ = s.select(F.slice(words("title"), 1, 3).alias("words")).where(F.size("words") == 3).distinct().withColumn("phrase", F.array_join("words", " "))
     return phrases.matches(s, "pos", words("body"), table_, 3)
+
+
+@query("s23_newest_stories", "SELECT pos, source, title FROM (SELECT *, row_number() OVER (ORDER BY CASE WHEN lang <> 'fr' THEN published END DESC NULLS LAST, pos DESC) AS n FROM stories) WHERE n <= 100")
+def newest_stories(spark, sf):
+    """The hundred newest of all stories, from a store laid out by key and day."""
+    store = lookup.KeyedStore(spark, folder(spark), "pos", "created_at", 16)
+    store.write(stories(spark, sf).select("pos", "source", "title", F.when(F.col("lang") != "fr", F.col("published")).alias("created_at")))
+    return store.newest(100).select("pos", "source", "title")
+
+
+@query("s23_stories_by_key", "SELECT pos, source, title FROM stories WHERE pos IN (SELECT doc_id FROM labels)")
+def stories_by_key(spark, sf):
+    """The labelled stories, looked up by key: folders are met with folders."""
+    store = lookup.KeyedStore(spark, folder(spark), "pos", "created_at", 16)
+    store.write(stories(spark, sf).select("pos", "source", "title", F.col("published").alias("created_at")))
+    return store.matching(table(spark, sf, "labels").select(F.col("doc_id").alias("pos"))).select("pos", "source", "title")
