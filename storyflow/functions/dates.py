@@ -111,6 +111,14 @@ def recent(when: Column | str, now: Column, **options) -> Column:
     return recency(when, now, **options).isNull()
 
 
+def two_step_recency(listing: Column | str, detail: Column | str, now: Column, **options) -> Column:
+    """As :func:`recency`, for rows that are met in a listing and read in detail later: a listing's date that is
+    out of the window decides; a missing one waits for the detail, whose date then must be there."""
+    first = recency(listing, now, null_policy="keep", **options)
+    then = F.coalesce(F.col(detail) if isinstance(detail, str) else detail, F.col(listing) if isinstance(listing, str) else listing)
+    return F.coalesce(first, recency(then, now, null_policy="drop", **options))
+
+
 def next_fixed_time(now: Column, hour: int, minute: int) -> Column:
     """The next time of day: today, or tomorrow where it has passed."""
     today = F.date_trunc("day", now) + F.make_dt_interval(F.lit(0), F.lit(hour), F.lit(minute))
