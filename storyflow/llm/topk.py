@@ -6,8 +6,8 @@ bottom, batch by batch, all to the same depth.  What it has read of a vector, wi
 least (most) that the unread lists can still add, bounds the vector's score from below
 (above); bounds are worked out only for vectors that may still be among the k best.
 Reading stops when no other vector's upper bound reaches the k-th lower bound, and goes on
-only for the entries of the vectors left, whose scores it resolves.  No entry is looked up
-by its vector.
+only until the vectors left have been met in every list, which resolves their scores.  A bit
+an entry tells what has been read; no entry is looked up by its vector.
 
 Vectors and queries are dealt into blocks of bounded size that meet in pairs: a stated
 query set against all rows.  Each pair gives k rows a query, and those are merged by
@@ -49,8 +49,6 @@ class Lists:
         self.n = len(x)
         order = np.argsort(x, axis=0, kind="stable").T
         values = np.take_along_axis(x.T, order, axis=1)
-        self.rank = np.empty(x.shape, np.int32)
-        np.put_along_axis(self.rank, order.T, np.arange(self.n, dtype=np.int32)[:, None], axis=0)
         #: By the order of reading: from the top, from the bottom.
         self.order, self.values = (np.ascontiguousarray(order[:, ::-1]), order), (np.ascontiguousarray(values[:, ::-1]), values)
 
@@ -63,22 +61,21 @@ class Lists:
         w = weights[np.concatenate((up, down))]
         m, depth, batch = len(w), 0, max(1, int(n * FIRST_BATCH))
         read = np.zeros(n, w.dtype)
+        seen = np.zeros((n, m), bool)
         last = w * np.concatenate((self.values[0][up, -1], self.values[1][down, -1])) if n else w
 
-        def place(of: np.ndarray) -> np.ndarray:  # in the order of reading
-            r = self.rank[of]
-            return np.concatenate((n - 1 - r[:, up], r[:, down]), axis=1)
-
         def read_to(end: int) -> None:
             nonlocal depth
             wanted = None
             if len(alive) < n // 4:  # entries of vectors that are out are passed over
                 wanted = np.zeros(n, bool)
                 wanted[alive] = True
-            for side, dims in enumerate((up, down)):
+            for side, (dims, first) in enumerate(((up, 0), (down, len(up)))):
                 at = self.order[side][dims, depth:end]
                 gain = self.values[side][dims, depth:end] * weights[dims, None]
-                at, gain = (at[wanted[at]], gain[wanted[at]]) if wanted is not None else (at.ravel(), gain.ravel())
+                of = np.broadcast_to(np.arange(first, first + len(dims))[:, None], at.shape)
+                at, of, gain = (at[wanted[at]], of[wanted[at]], gain[wanted[at]]) if wanted is not None else (at.ravel(), of.ravel(), gain.ravel())
+                seen[at, of] = True
                 if gain.dtype == object:
                     np.add.at(read, at, gain)
                 elif len(at):
@@ -86,7 +83,7 @@ class Lists:
             depth = end
 
         def bounds(of: np.ndarray, front: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            unread = (place(of) >= depth).astype(w.dtype)
+            unread = (~seen[of]).astype(w.dtype)
             return read[of] + unread @ last, read[of] + unread @ front
 
         while depth < n and len(alive) > k and m:
@@ -99,8 +96,8 @@ class Lists:
             tried = alive[:: max(1, len(alive) // TRIED)]
             if depth == n or 2 * np.count_nonzero(bounds(tried, front)[1] < kth) >= len(tried):
                 alive = alive[bounds(alive, front)[1] >= kth]
-        if len(alive) and m:
-            read_to(max(depth, int(place(alive).max()) + 1))
+        while depth < n and m and not seen[alive].all():
+            read_to(min(n, depth + batch))
         return alive, read[alive], depth * m
 
 
