@@ -33,7 +33,7 @@ K = 5
 SCALE = 256
 EVERY = 50
 VECTOR_BLOCK = 4096
-QUERY_BLOCK = 512
+QUERY_BLOCK = 1024
 #: The first batch of a list and the largest one, as parts of it; batches double in between.
 FIRST_BATCH, LARGEST_BATCH = 1 / 32, 1 / 8
 
@@ -47,8 +47,9 @@ class Lists:
 
     def __init__(self, x: np.ndarray):
         self.n = len(x)
-        order = np.argsort(x, axis=0, kind="stable").T
-        values = np.take_along_axis(x.T, order, axis=1)
+        lists = np.ascontiguousarray(x.T)
+        order = np.argsort(lists, axis=1, kind="stable")
+        values = np.take_along_axis(lists, order, axis=1)
         #: By the order of reading: from the top, from the bottom.
         self.order, self.values = (np.ascontiguousarray(order[:, ::-1]), order), (np.ascontiguousarray(values[:, ::-1]), values)
 
@@ -62,6 +63,7 @@ class Lists:
         m, depth, batch = len(w), 0, max(1, int(n * FIRST_BATCH))
         read = np.zeros(n, w.dtype)
         seen = np.zeros((n, m), bool)
+        bits = seen.reshape(-1)
         last = w * np.concatenate((self.values[0][up, -1], self.values[1][down, -1])) if n else w
 
         def read_to(end: int) -> None:
@@ -73,9 +75,13 @@ class Lists:
             for side, (dims, first) in enumerate(((up, 0), (down, len(up)))):
                 at = self.order[side][dims, depth:end]
                 gain = self.values[side][dims, depth:end] * weights[dims, None]
-                of = np.broadcast_to(np.arange(first, first + len(dims))[:, None], at.shape)
-                at, of, gain = (at[wanted[at]], of[wanted[at]], gain[wanted[at]]) if wanted is not None else (at.ravel(), of.ravel(), gain.ravel())
-                seen[at, of] = True
+                bit = at * m + np.arange(first, first + len(dims))[:, None]
+                if wanted is not None:
+                    on = wanted[at]
+                    at, bit, gain = at[on], bit[on], gain[on]
+                else:
+                    at, bit, gain = at.ravel(), bit.ravel(), gain.ravel()
+                bits[bit] = True
                 if gain.dtype == object:
                     np.add.at(read, at, gain)
                 elif len(at):
