@@ -27,3 +27,26 @@ ANSWER_FURNITURE = (
 VIDEO_TERMS = (
     "youtube.com", "youtu.be", "vimeo.com", "brightcove", "dailymotion", "video-thumbnail", "video_thumbnail", "videothumb", "video-poster", "video_poster", "/video/", "play-button", "play_button", "sprite", "tracking", "pixel",
 )
+
+#: Short texts that are never a paragraph, besides the lines above.
+FURNITURE_PHRASES = (
+    "main article content", "skip to main content", "accept all cookies", "manage cookie preferences", "share this article", "share this page", "back to news", "sign up for updates",
+    "subscribe to our newsletter", "follow us on facebook", "follow us on twitter", "follow us on x", "opens in a new window", "external link",
+)
+
+#: Fixed patterns: a paragraph that is but a label, an image file's name, a date, a time, a network's name or a link to a neighbour.
+FURNITURE_WHOLE = (
+    r"(?:published|updated|author|source|news|image|caption|location|category|tags)\s*:",
+    r"[^\n]*?\.(?:jpg|jpeg|png|gif|webp|svg|bmp|tif|tiff)(?:\?.*)?",
+    r"(?:\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4}|\d{4}[/\-.]\d{1,2}[/\-.]\d{1,2}|\d{1,2}\s+(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\s+\d{4})",
+    r"\d{1,2}:\d{2}(?::\d{2})?\s*(?:am|pm)?",
+    r"(?:facebook|twitter|x|instagram|linkedin|email|whatsapp)",
+    r"(?:previous|next|previous\s+article|next\s+article)",
+)
+
+#: What is never a story's place, and what is never its category.
+NO_PLACES = (
+    "main article content", "article content", "main content", "news", "latest news", "published", "published:", "police news",
+    "nottinghamshire police", "source", "main image", "image", "unknown", "none", "n/a",
+)
+NO_CATEGORIES = ("main article content", "article content", "main content", "news", "latest news", "published", "published:", "source", "main image", "image")

@@ -26,6 +26,17 @@ def parsed(c: Column | str, formats: tuple[str, ...] = ISO + RFC + DISPLAY) -> C
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
 
 
+#: A police notice's formats, in the order in which they are tried.
+POLICE = ("H:m d/M/yyyy", "d/M/yyyy H:m", "d/M/yyyy H:m:s", "d/M/yyyy", "H:m d MMMM yyyy", "H:m d MMM yyyy", "d MMMM yyyy H:m", "d MMM yyyy H:m", "d MMMM yyyy", "d MMM yyyy")
+
+
+def police(c: Column | str) -> Column:
+    """The timestamp that a police notice shows: ISO, one of its own formats, or that of mail."""
+    text = F.nullif(F.trim(F.regexp_replace(F.trim(blank(c)), r"(?i)^published\s*:\s*", "")), F.lit(""))
+    whole = F.coalesce(*[F.try_to_timestamp(F.regexp_replace(text, "z$", "Z"), F.lit(f)) for f in ISO])
+    return F.coalesce(whole, *[F.try_to_timestamp(text, F.lit(f)) for f in POLICE], parsed(text, RFC))
+
+
 def relative(c: Column | str, now: Column) -> Column:
     """The timestamp of "3 days ago", "yesterday" and the like."""
     text = F.lower(F.trim(blank(c)))
@@ -38,6 +49,7 @@ def relative(c: Column | str, now: Column) -> Column:
 
 
 _MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
+_MONTH_NAMES = "^(?:" + "|".join(f"{m}|{m[:3]}" for m in _MONTHS.lower().split("|")) + ")$"
 _DAYS = "Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday"
 #: Where a council's page names a day, the first of these that occurs: with the weekday or without, month or day first.
 COUNCIL_DAYS = (
@@ -77,12 +89,19 @@ def council(c: Column | str, now: Column) -> Column:
 
 
 def from_path(url: Column | str, year: int) -> Column:
-    """The date in a URL's path: yyyy-mm-dd, yyyy/mm/dd or yyyy/mm, the year from 2000 to next."""
+    """The date in a URL's path: 3rd-may-yyyy, yyyy-mm-dd, yyyy/mm/dd or yyyy/mm, the year from 2000 to next.
+    A month's whole name or its first three letters count; a day that is none gives null."""
     text = blank(url)
+    named = r"(?i)(?:^|/)(\d{1,2})(?:st|nd|rd|th)?-([a-z]+)-(20\d{2})(?:/|$)"
+    day, month, of = (F.regexp_extract(text, named, i) for i in (1, 2, 3))
+    spelt = F.concat_ws(" ", day, month, of)
+    ordinal = F.coalesce(F.try_to_timestamp(spelt, F.lit("d MMMM yyyy")), F.try_to_timestamp(spelt, F.lit("d MMM yyyy")))
+    is_named = (day != "") & F.lower(month).rlike(_MONTH_NAMES)
     full = F.regexp_extract(text, r"/(\d{4})[/-](\d{1,2})[/-](\d{1,2})(?=[/-]|$)", 0)
     month = F.regexp_extract(text, r"/(\d{4})/(\d{1,2})(?=/|$)", 0)
     text = F.when(full != "", F.regexp_replace(full, "[/-]", "-")).when(month != "", F.concat(F.regexp_replace(month, "[/-]", "-"), F.lit("-1"))).otherwise(F.lit(None))
     found = F.try_to_timestamp(F.regexp_replace(text, "^-", ""), F.lit("yyyy-M-d"))
+    found = F.when(is_named, ordinal).otherwise(found)
     return F.when(F.year(found).between(2000, year + 1), found)
 
 
@@ -129,3 +148,46 @@ def next_interval(anchor: Column, now: Column, minutes: int) -> Column:
     """The first time after now that lies whole intervals after an anchor."""
     passed = F.floor((F.unix_timestamp(now) - F.unix_timestamp(anchor)) / (minutes * 60)) + 1
     return F.timestamp_seconds(F.unix_timestamp(anchor) + F.greatest(F.lit(1), passed) * minutes * 60)
+
+
+#: The modes that refresh after so many minutes.
+INTERVALS = {"Every 15 minutes": 15, "Every 30 minutes": 30, "Every 60 minutes": 60, "Every 2 hours": 120, "Every 12 hours": 720}
+#: Fixed value: the mode of times of day.
+FIXED_TIMES = "Custom fixed times"
+
+
+def _every(mode: Column | str) -> Column:
+    """The microseconds of a mode's interval; null of a mode without one."""
+    m = F.col(mode) if isinstance(mode, str) else mode
+    out = F.lit(None).cast("long")
+    for name, minutes in INTERVALS.items():
+        out = F.when(m == name, minutes * 60_000_000).otherwise(out)
+    return out
+
+
+def next_run(mode: Column | str, times: Column | str, last: Column | str, now: Column) -> Column:
+    """When a schedule next runs: an interval after its last run (after now, where that is missing or lies
+    ahead), or at the first of its times of day (texts HH:MM, others do not count) that is to come, today
+    or tomorrow.  Null of any other mode."""
+    m, t, at = (F.col(c) if isinstance(c, str) else c for c in (mode, times, last))
+    anchor = F.when(at <= now, at).otherwise(now)
+    valid = F.filter(F.transform(t, lambda v: F.trim(v)), lambda v: v.rlike(r"^(?:[01]\d|2[0-3]):[0-5]\d$"))
+    minutes = F.transform(valid, lambda v: F.substring(v, 1, 2).cast("long") * 60 + F.substring(v, 4, 2).cast("long"))
+    day = F.unix_micros(F.date_trunc("day", now))
+    ahead = F.filter(F.transform(F.concat(minutes, F.transform(minutes, lambda v: v + 1440)), lambda v: day + v * 60_000_000), lambda v: v > F.unix_micros(now))
+    return F.timestamp_micros(F.when(_every(m).isNotNull(), F.unix_micros(anchor) + _every(m)).when(m == FIXED_TIMES, F.array_min(ahead)))
+
+
+def stale(mode: Column | str, last: Column | str, now: Column) -> Column:
+    """Whether stored data is due: never in the modes that do not refresh, else where it has never come
+    through, or an interval has passed."""
+    m, at = (F.col(c) if isinstance(c, str) else c for c in (mode, last))
+    idle = F.coalesce(m, F.lit("Manual only")).isin("Off", "Manual only")
+    return F.when(idle, False).when(at.isNull(), True).otherwise(F.coalesce(F.unix_micros(now) - F.unix_micros(at) >= _every(m), F.lit(False)))
+
+
+def due_at(mode: Column | str, last: Column | str, now: Column) -> Column:
+    """When a module of an interval is next due: an interval after it came through, but not before now; at
+    once where it never did.  Null of the other modes."""
+    at = F.col(last) if isinstance(last, str) else last
+    return F.timestamp_micros(F.when(_every(mode).isNull(), None).when(at.isNull(), F.unix_micros(now)).otherwise(F.greatest(F.unix_micros(at) + _every(mode), F.unix_micros(now))))

@@ -133,14 +133,17 @@ def clean_paragraphs(c: Column | str, title: Column | str) -> Column:
 
 
 def statistics(c: Column | str) -> dict[str, Column]:
-    """Words, characters, paragraphs and reading minutes of a body."""
+    """Words, characters, paragraphs, sentences and reading minutes of a body.  A sentence ends with a mark, the quotes
+    and brackets after it, and white space."""
     body = F.trim(F.regexp_replace(blank(c), r"\r\n?", "\n"), F.lit(" \t\n\x0b\f\r"))
     words = F.regexp_count(body, F.lit(r"(?U)[\w][\w’'-]*"))
     parts = F.size(F.filter(F.split(body, r"\n\s*\n+"), lambda p: F.trim(p) != ""))
+    chunks = F.size(F.filter(F.split(body, r"""(?U)(?<=[.!?])["'’”)]*\s+|[.!?]+\z"""), lambda p: p.rlike(r"(?U)\S")))
     return {
         "word_count": words.cast("long"),
         "character_count": F.char_length(body).cast("long"),
         "paragraph_count": F.when(body == "", 0).otherwise(parts).cast("long"),
+        "sentence_count": F.when(body == "", 0).otherwise(F.greatest(F.lit(1), chunks)).cast("long"),
         "reading_time": F.when(words > 0, F.greatest(F.lit(1), F.ceil(words / 200))).otherwise(0).cast("long"),
     }
 

@@ -4,7 +4,9 @@ Renderings take the struct that :func:`articles.build` makes of a story."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import blank, clean, comparison_key, statistics, truncate_words
@@ -102,23 +104,29 @@ def rights_status(image: Column | str, approved: Column) -> Column:
     return F.when(blank(image) == "", "no image").when(F.coalesce(approved, F.lit(False)), "approved").otherwise("not reviewed")
 
 
-def rendered(df: DataFrame) -> DataFrame:
-    """A story with its article, all its formats and statistics; ``errors`` says what keeps it from being published."""
+def rendered(df: DataFrame, strict: bool = False) -> DataFrame:
+    """A story with its article, all its formats and statistics; ``errors`` says what keeps it from being published.
+    ``strict``: a story with errors fails the run, which names them."""
     from .filters import validation_errors
 
     stats = {k: v for k, v in statistics("body").items()}
     a = F.col("article")
     formats = {"plain": plain_text(a), "markdown": markdown(a), "html": html_page(a), "breaking_text": breaking(a), "newsletter_text": newsletter(a)}
-    return articles.build(df).withColumns({**formats, "errors": validation_errors("title", "body"), **stats})
+    out = articles.build(df).withColumns({**formats, "errors": validation_errors("title", "body"), **stats})
+    return out.where((F.size("errors") == 0) | F.raise_error(F.concat(F.lit("Invalid story: "), F.array_join("errors", " "))).isNull()) if strict else out
 
 
-def write_csv(df: DataFrame, folder: str) -> None:
-    """CSV with a header line."""
-    df.write.mode("overwrite").option("header", True).csv(folder)
+def write_csv(df: DataFrame, folder: str, mark: bool = True) -> None:
+    """CSV with a header line.  ``mark``: each file starts with a byte-order mark, by which spreadsheets know UTF-8."""
+    named = [f"\ufeff{c}" if mark and i == 0 else c for i, c in enumerate(df.columns)]
+    df.toDF(*named).write.mode("overwrite").option("header", True).csv(folder)
 
 
-def write_text(df: DataFrame, column: str, folder: str) -> None:
-    df.select(column).write.mode("overwrite").text(folder)
+def write_text(df: DataFrame, column: str, folder: str, now: datetime | None = None) -> str:
+    """A text column as text files in ``folder``, or, with ``now``, in a folder in it that is named by the time.  Returns where."""
+    out = f"{folder}/{column}_{now:%Y%m%d_%H%M%S}" if now else folder
+    df.select(column).write.mode("overwrite").text(out)
+    return out
 
 
 def append_audit(record: DataFrame, folder: str) -> None:
@@ -126,6 +134,12 @@ def append_audit(record: DataFrame, folder: str) -> None:
     record.write.mode("append").json(folder)
 
 
+def latest_audit(spark: SparkSession, folder: str, schema: str, when: str = "at") -> DataFrame:
+    """The latest record of an audit (one row, or none), by its time; lines that are no record are passed over."""
+    records = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(folder).where(F.col(when).isNotNull())
+    return records.orderBy(F.desc(when)).limit(1)
+
+
 def allowed(df: DataFrame, columns: list[str]) -> DataFrame:
     """Only the columns that may be kept, those that are there."""
     return df.select(*[c for c in columns if c in df.columns])

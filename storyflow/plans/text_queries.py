@@ -65,7 +65,8 @@ def tag_lists(spark, sf):
 
 @query("n38_statistics", r"""SELECT pos, len(regexp_extract_all(b, '[\p{L}\p{M}\p{N}\p{Pc}][\p{L}\p{M}\p{N}\p{Pc}’''-]*')) AS word_count, length(b) AS character_count,
  CASE WHEN b = '' THEN 0 ELSE len(list_filter(regexp_split_to_array(b, '\n\s*\n+'), lambda p: trim(p) <> '')) END AS paragraph_count,
- CASE WHEN len(regexp_extract_all(b, '[\p{L}\p{M}\p{N}\p{Pc}][\p{L}\p{M}\p{N}\p{Pc}’''-]*')) > 0 THEN CAST(greatest(1, ceil(len(regexp_extract_all(b, '[\p{L}\p{M}\p{N}\p{Pc}][\p{L}\p{M}\p{N}\p{Pc}’''-]*')) / 200.0)) AS BIGINT) ELSE 0 END AS reading_time
+ CASE WHEN len(regexp_extract_all(b, '[\p{L}\p{M}\p{N}\p{Pc}][\p{L}\p{M}\p{N}\p{Pc}’''-]*')) > 0 THEN CAST(greatest(1, ceil(len(regexp_extract_all(b, '[\p{L}\p{M}\p{N}\p{Pc}][\p{L}\p{M}\p{N}\p{Pc}’''-]*')) / 200.0)) AS BIGINT) ELSE 0 END AS reading_time,
+ CASE WHEN b = '' THEN 0 ELSE greatest(1, len(list_filter(string_split(regexp_replace(regexp_replace(b, '([.!?])["''’”)]*\s+', '\1' || chr(1), 'g'), '[.!?]+$', ''), chr(1)), lambda p: trim(p) <> ''))) END AS sentence_count
  FROM (SELECT pos, trim(body, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS b FROM stories)""")
 def story_statistics(spark, sf):
     s = stories(spark, sf)
