@@ -67,6 +67,18 @@ def still_image(c: Column | str) -> Column:
     return (low != "") & ~low.rlike(r"/video/|/videos/|/av/|\.mp4|\.webm|\.m3u8|\.mov") & ~low.rlike(r"logo|icon|avatar|placeholder|sprite|tracking|1x1")
 
 
+def video_story(c: Column | str) -> Column:
+    """Whether an address is that of a video rather than of an article, by its path."""
+    return F.lower(part(c, 3)).rlike(r"/videos/|/video/|/av/|/watch/|/highlights/video")
+
+
+def video_page(html: Column | str) -> Column:
+    """Whether a page's own description says that it is a video's."""
+    meta = lambda has: rf"(?is)<meta\b(?=[^>]*{has})[^>]*>"
+    typed = r"""\bproperty\s*=\s*["']og:type["'])(?=[^>]*\bcontent\s*=\s*["'][^"'>]*video"""
+    return blank(html).rlike(meta(typed)) | blank(html).rlike(meta(r"""\b(?:property\s*=\s*["']og:video|name\s*=\s*["']twitter:player)"""))
+
+
 def derived_id(name: Column | str, url: Column | str) -> Column:
     """The name's slug with ten hex digits for name and address."""
     from .text import slug

@@ -164,9 +164,8 @@ def falling_pages(spark, sf):
 def police_dates(spark, sf):
     """Each story's date in one of a notice's ten formats; two are no dates."""
     forms = [*dates.POLICE, "yyyy.MM.dd", "'nonsense'"]
-    shown = F.lit(None).cast("string")
-    for i, form in enumerate(forms):
-        shown = F.when(F.col("pos") % len(forms) == i, F.concat(F.lit("Published : " if i % 2 else " "), F.date_format("published", form))).otherwise(shown)
+    n = (F.col("pos") % len(forms)).cast("int")
+    shown = F.concat(F.when(n % 2 == 1, "Published : ").otherwise(" "), F.date_format("published", F.get(F.array(*map(F.lit, forms)), n)))
     return stories(spark, sf).select("pos", F.unix_micros(dates.police(shown)).alias("t"))
 
 

@@ -9,17 +9,45 @@ from ..functions import dates
 from ..functions.text import blank, plain_html
 from ..functions.urls import part, query_free
 
-ITEM = "struct<title:string,link:string,description:string,pubDate:string,guid:string,creator:string>"
+_MEDIA = "array<struct<_url:string,_type:string,_medium:string>>"
+ITEM = f"struct<title:string,link:string,description:string,pubDate:string,guid:string,creator:string,category:array<string>,content:{_MEDIA},thumbnail:{_MEDIA},enclosure:{_MEDIA}>"
+_LINK = "array<struct<_href:string,_rel:string,_type:string>>"
+ENTRY = f"struct<id:string,title:string,link:{_LINK},summary:string,content:string,published:string,updated:string,author:array<struct<name:string>>,category:array<struct<_term:string>>>"
 
 
 def rss_items(feeds: DataFrame, xml: str = "xml") -> DataFrame:
     """A row for each item of RSS documents that has a title, a link and a date; the item's
-    description is the summary and the body."""
+    description is the summary and the body.  The image is the first of its media, its thumbnails and its
+    enclosures that is one."""
     channel = F.from_xml(F.regexp_replace(xml, r"<(/?)(?:dc|media|content):", "<$1"), f"channel struct<item:array<{ITEM}>>")
     items = feeds.withColumn("i", F.explode(channel["channel"]["item"]))
     keep = (F.trim(blank("i.title")) != "") & (F.trim(blank("i.link")) != "") & (F.trim(blank("i.pubDate")) != "")
     text = plain_html(F.col("i.description"), None)
-    return items.where(keep).select(*[c for c in feeds.columns if c != xml], F.trim("i.title").alias("title"), F.trim("i.link").alias("url"), text.alias("summary"), text.alias("body"), dates.parsed(F.col("i.pubDate")).alias("published"), blank("i.creator").alias("author"))
+    none = F.array().cast(_MEDIA)
+    media = F.concat(*[F.coalesce(F.filter(f"i.{c}", of), none) for c, of in (("content", _is_image), ("thumbnail", lambda m: blank(m["_url"]) != ""), ("enclosure", lambda m: F.startswith(blank(m["_type"]), F.lit("image/"))))])
+    return items.where(keep).select(*[c for c in feeds.columns if c != xml], F.trim("i.title").alias("title"), F.trim("i.link").alias("url"), text.alias("summary"), text.alias("body"), dates.parsed(F.col("i.pubDate")).alias("published"), blank("i.creator").alias("author"), _tags(F.col("i.category")).alias("tags"), F.trim(blank(F.get(media, F.lit(0))["_url"])).alias("image"))
+
+
+def _is_image(m: Column) -> Column:
+    return (blank(m["_url"]) != "") & ((blank(m["_medium"]) == "image") | F.startswith(blank(m["_type"]), F.lit("image/")) | ((blank(m["_medium"]) == "") & (blank(m["_type"]) == "")))
+
+
+def _tags(names: Column) -> Column:
+    return F.coalesce(F.array_distinct(F.filter(F.transform(names, lambda n: F.trim(blank(n))), lambda n: n != "")), F.array().cast("array<string>"))
+
+
+def atom_entries(feeds: DataFrame, xml: str = "xml") -> DataFrame:
+    """A row for each entry of Atom documents that has a title, a link and a date: the link to the page itself
+    (the first without a relation, or an alternate), the summary or else the content, the date of publication
+    or else of the last change."""
+    e = feeds.withColumn("e", F.explode(F.from_xml(xml, f"entry array<{ENTRY}>")["entry"]))
+    links = F.coalesce(F.col("e.link"), F.array().cast(_LINK))
+    page = F.trim(blank(F.get(F.filter(links, lambda x: blank(x["_rel"]).isin("", "alternate") & (blank(x["_href"]) != "")), F.lit(0))["_href"]))
+    image = F.trim(blank(F.get(F.filter(links, lambda x: (blank(x["_rel"]) == "enclosure") & F.startswith(blank(x["_type"]), F.lit("image/"))), F.lit(0))["_href"]))
+    first = lambda *c: F.coalesce(*[F.nullif(F.trim(blank(x)), F.lit("")) for x in c], F.lit(""))
+    when, text = first("e.published", "e.updated"), plain_html(first("e.summary", "e.content"), None)
+    keep = (F.trim(blank("e.title")) != "") & (page != "") & (when != "")
+    return e.where(keep).select(*[c for c in feeds.columns if c != xml], F.trim("e.title").alias("title"), page.alias("url"), text.alias("summary"), text.alias("body"), dates.parsed(when).alias("published"), F.trim(blank(F.get("e.author.name", F.lit(0)))).alias("author"), _tags(F.col("e.category._term")).alias("tags"), image.alias("image"))
 
 
 def search_results(pages: DataFrame, payload: str = "payload", base: str = "https://example.org") -> DataFrame:
@@ -49,8 +77,11 @@ def listing_posts(pages: DataFrame, payload: str = "payload") -> DataFrame:
 
 
 def catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """Sources of a JSON catalogue that are enabled, which is the default."""
+    """Sources of a JSON catalogue (a list, or an object that holds one as ``sources``) that are enabled, which is
+    the default."""
     df = spark.read.json(path, multiLine=True)
+    if "sources" in df.columns:
+        df = df.select(F.explode("sources").alias("s")).select("s.*")
     return df.where(F.coalesce("enabled", F.lit(True))) if "enabled" in df.columns else df
 
 

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from storyflow.plans import desk_queries, page_queries, publish_queries, record_queries, registry, rule_queries, social_queries, store_queries, story_queries, stream_queries, text_queries  # noqa: F401
+from storyflow.plans import desk_queries, page_queries, publish_queries, record_queries, registry, report_queries, rule_queries, social_queries, store_queries, story_queries, stream_queries, text_queries  # noqa: F401
 
 
 @pytest.fixture(scope="module")
