@@ -165,7 +165,7 @@ def police_dates(spark, sf):
     """Each story's date in one of a notice's ten formats; two are no dates."""
     forms = [*dates.POLICE, "yyyy.MM.dd", "'nonsense'"]
     n = (F.col("pos") % len(forms)).cast("int")
-    shown = F.concat(F.when(n % 2 == 1, "Published : ").otherwise(" "), F.date_format("published", F.get(F.array(*map(F.lit, forms)), n)))
+    shown = F.concat(F.when(n % 2 == 1, "Published : ").otherwise(" "), F.call_function("date_format", F.col("published"), F.get(F.array(*map(F.lit, forms)), n)))
     return stories(spark, sf).select("pos", F.unix_micros(dates.police(shown)).alias("t"))
 
 
