@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..operators import reports
-from ..sources import feeds
+from ..sources import cards, feeds
 from .registry import NOW, now, query, stories, table
 
 _OLD = lambda t, days: f"epoch_us({t}) < epoch_us(TIMESTAMP '{NOW}') - {days} * 86400000000"
@@ -99,3 +99,15 @@ def video_stories(spark, sf):
     path = F.when(p == 0, "/sport/AV/x").when(p == 1, "/news/videos/3").when(p == 2, "/news/video").when(p == 3, "/highlights/video-3").otherwise("/a?next=/video/")
     page = F.when(q == 0, "<META content='a VIDEO.other' property='og:type'>").when(q == 1, '<meta name="twitter:player:width" content="3">').when(q == 2, '<meta property="og:type" content="article"><p>og:video</p>').otherwise('<meta name="x" content="og:video">')
     return stories(spark, sf).select("pos", urls.video_story(F.concat(F.lit("https://x.org"), path)).alias("story"), urls.video_page(F.concat(F.lit("<html>"), page, "source")).alias("page"))
+
+
+@query("s14_listing_cards", """SELECT CAST(pos AS VARCHAR) AS article_id, CASE WHEN pos % 3 = 0 THEN 'Advisory' ELSE 'Story' END AS content_type, 'T ' || source AS title, CASE WHEN pos % 4 = 0 THEN '' ELSE 'slug-' || pos END AS slug, CASE WHEN pos % 4 = 2 THEN lang || chr(10) || chr(10) || source ELSE '' END AS summary,
+ 'J. ' || source AS author, 'a@x.org' AS author_email, strftime(published, '%Y-%m-%dT%H:%M:00+00:00') AS created_at, CASE WHEN pos % 3 = 0 THEN strftime(published, '%Y-%m-%dT%H:%M:00+00:00') ELSE 'soon' END AS modified_at, 'Boston Borough Council|' || CASE WHEN pos % 3 = 0 THEN 'Lincoln City Council' ELSE source END AS authorities FROM stories""")
+def listing_cards(spark, sf):
+    """Every story as a card, each third one in the newer layout."""
+    p, when = F.col("pos"), F.date_format("published", "EEE, MMM dd, yyyy HH:mm")
+    head = F.concat(F.lit("\n T  "), "source", F.lit("\r\n"), F.when(p % 4 != 0, F.concat(F.lit("slug-"), p.cast("string"), F.lit(" V.3\n\n"))).otherwise(""), F.when(p % 4 == 2, F.concat_ws("\n", "lang", "source")).otherwise(""), F.lit("\n"))
+    newer = F.concat(F.lit("Created at: "), when, F.lit(" (London GMT) Modified at: "), when, F.lit("\nBoston Borough Council Lincoln City Council\nAdvisory Author: J. "), "source", F.lit(" Author's email: a@x.org Last reviewed by email: r@x.org\nother"))
+    older = F.concat(F.lit("Type: Advisory\nAuthor:\nAuthor: J. "), "source", F.lit("\nAUTHOR'S EMAIL: a@x.org\nAuthor: second\nCreated at: "), when, F.lit("\nmodified at: soon\nBoston Borough Council\n"), "source")
+    s = stories(spark, sf).select(F.concat(F.lit("https://x.org/article/"), p.cast("string")).alias("url"), F.concat(head, F.when(p % 3 == 0, newer).otherwise(older)).alias("text"))
+    return cards.listing_cards(s).select("article_id", "content_type", "title", "slug", "summary", "author", "author_email", "created_at", "modified_at", F.array_join("authorities", "|").alias("authorities"))
