@@ -19,19 +19,25 @@ import re
 
 import numpy as np
 
-#: Words remembered by a worker before its memory is emptied.
+from .blobs import mixed
+
+#: Words that a worker's :class:`PieceCounter` remembers before its memory is emptied.
 REMEMBERED = 700_000
+#: Seats for words in the memory of :class:`WordBpe`, as a power of two; it is emptied after a third as many new words.
+SEATS_LOG2 = 22
+#: Words looked up at once: few enough for their columns to stay in the CPU's cache.
+SLICE = 1 << 15
 
 #: Letters that lower-case one to one and that Unicode composition leaves alone.
 _PLAIN = re.compile("[\t\n\r\x20-\x7EÀ-ÖØ-öø-ÿ]*")
-_LETTERS = "a-zß-öø-ÿ"
-#: The vocabulary file's word pattern, and the same on plain lower-case text.
+#: The vocabulary file's word pattern, which :func:`_words` follows on plain lower-case text.
 _FILE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
 
 _LOWER = bytes(ord(chr(i).lower()) if len(chr(i).lower()) == 1 and ord(chr(i).lower()) < 256 else i for i in range(256))
 #: Kind of a Latin-1 character: 0 white space, 1 letter, 2 digit, 3 other.
 _KIND = np.array([0 if chr(i).isspace() else 2 if 48 <= i < 58 else 1 if chr(i).isalpha() else 3 for i in range(256)], np.uint8)
+#: Keeps the first 0 to 8 bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def vocabulary_path(name: str) -> str:
@@ -41,36 +47,31 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _words(text: str) -> list[bytes]:
-    """Words of a plain text, lower case, as Latin-1: runs of letters, single digits, runs of other marks."""
-    low = text.encode("latin-1").translate(_LOWER)
-    if b"'" in low:
-        return [w.encode("latin-1") for w in _WORD.findall(low.decode("latin-1"))]
-    chars = np.frombuffer(low, np.uint8)
+def _words(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, lengths) of the words of plain lower-case Latin-1 text that ends in white space:
+    runs of letters, single digits, runs of other marks, and the endings 's 't 're 've 'm 'll 'd."""
     kind = _KIND[chars]
-    cut = np.flatnonzero((kind[1:] != kind[:-1]) | (kind[1:] == 2)) + 1
-    apart = np.full(len(chars) + len(cut), 32, np.uint8)
-    keep = np.ones(len(apart), bool)
-    keep[cut + np.arange(len(cut))] = False
-    apart[keep] = chars
-    return apart.tobytes().split()
-
-
-class _Known(dict):
-    """Ids of words; a look-up of a word not met before gives None and notes it."""
-
-    def __init__(self):
-        self.missed: set[bytes] = set()
-
-    def __missing__(self, word: bytes) -> None:
-        self.missed.add(word)
+    cut = np.ones(len(chars), bool)
+    cut[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    mark = np.flatnonzero(chars == ord("'"))
+    if len(mark):
+        mark = mark[cut[mark]]
+        a, b = chars[mark + 1], chars[np.minimum(mark + 2, len(chars) - 1)]
+        one = np.isin(a, np.frombuffer(b"stmd", np.uint8))
+        two = ((a == ord("r")) | (a == ord("v"))) & (b == ord("e")) | (a == ord("l")) & (b == ord("l"))
+        cut[mark[one | two] + 1] = False
+        cut[mark[one] + 2] = True
+        cut[mark[two] + 3] = True
+    at = np.flatnonzero(cut)
+    word = kind[at] != 0
+    return at[word], np.diff(at, append=len(chars))[word]
 
 
 class WordBpe:
     """Ids of a ``tokenizers`` JSON file as little-endian unsigned 16-bit bytes
     (32-bit where the vocabulary has over 65,536 entries)."""
 
-    def __init__(self, name: str):
+    def __init__(self, name: str, seats_log2: int = SEATS_LOG2):
         import json
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -95,47 +96,86 @@ class WordBpe:
             self._model = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *pre[1:]]}}))
             self._ends = np.zeros(self.library.get_vocab_size(), bool)
             self._ends[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
-        self._known = _Known()
+        #: Ids of the words met before, and where each word's lie there: first and count.
+        self._pool, self._used, self._met = np.zeros(1 << 16, self.dtype), 0, 0
+        self._long: dict[bytes, tuple[int, int]] = {}  # words of over 16 bytes
+        # The others by seat: both halves of the word, zero in an empty seat, first and count.  A
+        # seat is the word's that came last to it; another that hashes there is learnt anew.
+        seats = 1 << seats_log2
+        self._shift = np.uint64(64 - seats_log2)
+        self._lo, self._hi = np.zeros(seats, np.uint64), np.zeros(seats, np.uint64)
+        self._at, self._n = np.zeros(seats, np.int32), np.zeros(seats, np.uint8)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _learn(self, new: list[bytes]) -> None:
+    def _learn(self, new: list[bytes]) -> list[tuple[int, int]]:
+        """Where the ids of ``new`` words lie from now on."""
+        places = []
         for at in range(0, len(new), 256):
             part = new[at : at + 256]
             ids = np.array(self._model.encode(b" ".join(part).decode("latin-1"), add_special_tokens=False).ids, self.dtype)
-            ends = (np.flatnonzero(self._ends[ids]) + 1) * self.dtype.itemsize
-            raw = ids.tobytes()
-            if len(ends) == len(part) and ends[-1] == len(raw):
-                self._known.update(zip(part, [raw[i:j] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist())]))
-            else:  # a word whose last character the vocabulary lacks
-                self._known.update((w, self._whole(w.decode("latin-1"))) for w in part)
+            ends = np.flatnonzero(self._ends[ids]) + 1
+            if len(ends) != len(part) or ends[-1] != len(ids):  # a word whose last character the vocabulary lacks
+                each = [np.frombuffer(self._whole(w.decode("latin-1")), self.dtype) for w in part]
+                ids, ends = np.concatenate(each), np.cumsum([len(x) for x in each])
+            if self._used + len(ids) > len(self._pool):
+                self._pool = np.concatenate((self._pool, np.zeros(len(self._pool) + len(ids), self.dtype)))
+            self._pool[self._used : self._used + len(ids)] = ids
+            first = np.append(0, ends[:-1])
+            places += zip((self._used + first).tolist(), (ends - first).tolist())
+            self._used += len(ids)
+        self._met += len(new)
+        return places
+
+    def _look_up(self, raw: bytes, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first, count) in the pool of the ids of the words that lie at ``starts`` of ``raw``."""
+        # A word of up to 16 bytes, none zero, is two numbers: read from the eights of bytes it lies in.
+        eights, at, shift = np.frombuffer(raw, "<u8"), starts >> 3, ((starts & 7) << 3).astype(np.uint64)
+        back, one = np.uint64(63) - shift, np.uint64(1)
+        a, b, c = eights[at], eights[at + 1], eights[at + 2]
+        lo = (a >> shift | b << one << back) & _FIRST[np.minimum(lengths, 8)]
+        hi = (b >> shift | c << one << back) & _FIRST[np.clip(lengths - 8, 0, 8)]
+        seat = (mixed(lo, hi) >> self._shift).astype(np.int64)
+        first, count = self._at[seat], self._n[seat].astype(np.int32)
+        miss = np.flatnonzero((self._lo[seat] != lo) | (self._hi[seat] != hi) | (lengths > 16))
+        if len(miss):
+            words = [raw[i:j] for i, j in zip(starts[miss].tolist(), (starts[miss] + lengths[miss]).tolist())]
+            new = {w: i for w, i in zip(words, miss.tolist()) if w not in self._long}
+            places = dict(zip(new, self._learn(list(new))))
+            self._long.update((w, p) for w, p in places.items() if len(w) > 16)
+            first[miss], count[miss] = np.array([places.get(w) or self._long[w] for w in words], np.int32).T
+            short = np.array([i for w, i in new.items() if len(w) <= 16], int)
+            for column, values in ((self._lo, lo), (self._hi, hi), (self._at, first), (self._n, count)):
+                column[seat[short]] = values[short]
+        return first, count
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as bytes of :attr:`dtype`; a null text is empty."""
-        known = self._known
-        if len(known) > REMEMBERED:
-            known.clear()
-        known.missed.clear()
-        words, out = [], []
-        for text in texts:
-            text = text or ""
-            if self._cuts and _PLAIN.fullmatch(text) and not any(s in text for s in self._special):
-                ws = _words(text)
-                words.append(ws)
-                out.append(list(map(known.__getitem__, ws)))
-            else:
-                words.append(None)
-                out.append(self._whole(text))
-        self._learn(list(known.missed))
-        for i, (ws, got) in enumerate(zip(words, out)):
-            if ws is None:
-                continue
-            at = -1
-            for _ in range(got.count(None)):
-                at = got.index(None, at + 1)
-                got[at] = known[ws[at]]
-            out[i] = b"".join(got)
+        if self._met > len(self._lo) // 3:
+            self._lo.fill(0)
+            self._long.clear()
+            self._used = self._met = 0
+        texts = [text or "" for text in texts]
+        plain = [i for i, text in enumerate(texts) if self._cuts and _PLAIN.fullmatch(text) and not any(s in text for s in self._special)]
+        out = [b""] * len(texts)
+        for i in set(range(len(texts))).difference(plain):
+            out[i] = self._whole(texts[i])
+        if plain:  # one behind another, with a line's end after each
+            joined = "\n".join([texts[i] for i in plain])
+            raw = joined.encode("latin-1").translate(_LOWER) + b"\n" * (32 - len(joined) % 8)
+            starts, lengths = _words(np.frombuffer(raw, np.uint8))
+            ids, upto = [np.zeros(0, self.dtype)], [np.zeros(1, np.int64)]
+            for at in range(0, len(starts), SLICE):
+                first, count = self._look_up(raw, starts[at : at + SLICE], lengths[at : at + SLICE])
+                ends = np.cumsum(count, dtype=np.int64)
+                ids.append(self._pool[np.repeat(first - (ends - count), count) + np.arange(ends[-1])])
+                upto.append(upto[-1][-1] + ends)
+            ids, upto = np.concatenate(ids).tobytes(), np.concatenate(upto) * self.dtype.itemsize
+            begin = np.cumsum([0] + [len(texts[i]) + 1 for i in plain])
+            cut = upto[np.searchsorted(starts, begin)].tolist()
+            for i, lo, hi in zip(plain, cut, cut[1:]):
+                out[i] = ids[lo:hi]
         return out
 
 

@@ -69,6 +69,30 @@ def test_word_ids_are_the_librarys():
     assert got == [tok.library.encode(t or "", add_special_tokens=False).ids for t in TEXTS]
 
 
+@pytest.mark.parametrize("seats_log2", [1, 6, 12])
+def test_word_ids_with_few_seats(seats_log2):
+    """Words that share a seat, and a memory that is emptied all the time, change no id."""
+    tok = tokenizing.WordBpe("word_bpe_49k.json", seats_log2)
+    rnd = random.Random(12)
+    atoms = ["'", "'s", "'T", "'re", "'ve", "'m", "'ll", "'d", "!", "...", " ", "\n", "\t", "12", "Don", "mé", "ÀÉ", "ß", "÷", "x" * 8, "w" * 15, "w" * 16, "w" * 17, "é" * 16, "日", "<|endoftext|>"]
+    texts = [None, ""] + ["".join(rnd.choice(atoms) for _ in range(rnd.randint(0, 30))) for _ in range(3000)] + ["word " * 70_000]
+    got = [np.frombuffer(x, tok.dtype).tolist() for at in range(0, len(texts), 50) for x in tok.encode(texts[at : at + 50])]
+    assert got == [tok.library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_most_of_a_million_words_are_remembered():
+    """Words met before a million others: few are learnt again."""
+    tok = tokenizing.WordBpe("word_bpe_49k.json")
+    word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(5))
+    first = " ".join(map(word, range(2000)))
+    want = tok.encode([first])
+    for at in range(2000, 1_000_000, 10_000):
+        tok.encode([" ".join(map(word, range(at, at + 10_000)))])
+    learn, asked = tok._learn, []
+    tok._learn = lambda new: asked.extend(new) or learn(new)
+    assert tok.encode([first]) == want and len(asked) < 700
+
+
 def test_piece_counts_are_the_librarys():
     tok = tokenizing.PieceCounter("piece_bpe_32k.model")
     assert tok._cuts
