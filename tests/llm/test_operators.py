@@ -528,6 +528,22 @@ def test_pieces_cover_every_document_once(spark):
     assert packing.pack(documents(spark, docs).limit(0)).count() == 0
 
 
+def test_tasks_learn_words_once(monkeypatch):
+    """What op9 and op3 give for Arrow batches: the library's ids, and few words asked for again after 800,000 others."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokenizing, "_LOADED", {})
+    tok = tokenizing.loaded(tokenizing.WordBpe, packing.TOKENIZER)
+    word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(5))
+    again = pa.record_batch({"doc_id": [1, 2], "text": [" ".join(map(word, range(3000))), "It's " + word(7)]})
+    others = pa.record_batch({"doc_id": range(200), "text": [" ".join(map(word, range(at, at + 4000))) for at in range(3000, 803_000, 4000)]})
+    learn, asked = tok._learn, []
+    tok._learn = lambda new: asked.append(len(new)) or learn(new)
+    seen = [(raws, sum(asked)) for _, raws in packing.encoded([again, others, again], packing.TOKENIZER)]
+    assert [np.frombuffer(x, tok.dtype).tolist() for x in seen[-1][0]] == [tok.library.encode(t, add_special_tokens=False).ids for t in again.column(1).to_pylist()]
+    assert seen[-1][1] - seen[-2][1] < 1000
+
+
 # -- op10 ----------------------------------------------------------------------------------
 
 
