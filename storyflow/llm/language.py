@@ -44,6 +44,8 @@ FOLDS, HELD_OUT = 4, 2
 #: Bytes that the score takes a text to have at most: beyond them it would be 1 always.
 SCORE_BYTES = 24
 UNKNOWN = "und"
+#: Rows that a task hands back at once.
+ROWS = 256
 
 
 def held_out(doc_id: Column) -> Column:
@@ -211,20 +213,21 @@ def predict(docs: DataFrame, model: Model, *, keep: bool = False) -> DataFrame:
     """``doc_id, lang_pred, score`` and ``bits_per_byte`` of each row of ``docs`` (doc_id,
     text); with ``keep`` also ``row``, a struct of all its columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
-    head = [F.col("doc_id").cast("long").alias("doc_id"), "text"]
+    head = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")]
+    others = docs.drop("text").columns  # the text goes to the tasks once
     if keep:
-        head.append(F.struct(*[common.named("d", c).alias(c) for c in docs.columns]).alias("row"))
+        head.append(F.struct(*[common.named("d", c).alias(c) for c in others]).alias("row"))
     rows = docs.alias("d").select(*head)
     fields = [StructField("doc_id", LongType()), StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("bits_per_byte", DoubleType())]
-    fields += [StructField("row", rows.schema["row"].dataType)] if keep else []
+    fields += [StructField(c, rows.schema[c].dataType) for c in ("text", "row")] if keep else []
 
     def run(batches):
         import pyarrow as pa
 
         m = shared.value
-        for batch in batches:
+        for part in (batch.slice(at, ROWS) for batch in batches for at in range(0, batch.num_rows, ROWS)):
             names, scores, rates = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in part.column(1).to_pylist():
                 data = (text or "").encode("utf-8", "surrogatepass")
                 if not m.languages or not text or not any(map(str.isalpha, text)):
                     names.append(UNKNOWN)
@@ -237,9 +240,13 @@ def predict(docs: DataFrame, model: Model, *, keep: bool = False) -> DataFrame:
                 names.append(m.languages[best])
                 scores.append(float(1 / odds.sum()))
                 rates.append(float(bits[best] / len(data)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64()), *batch.columns[2:]], names=[f.name for f in fields])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64()), *(part.columns[1:] if keep else [])], names=[f.name for f in fields])
 
-    return rows.mapInArrow(run, StructType(fields))
+    found = rows.mapInArrow(run, StructType(fields))
+    if not keep:
+        return found
+    row = F.struct(*[(F.col("row").getField(c) if c in others else F.col("text")).alias(c) for c in docs.columns])
+    return found.select("doc_id", "lang_pred", "score", "bits_per_byte", row.alias("row"))
 
 
 def identify(docs: DataFrame, *, train_docs: int = TRAIN_DOCS, order: int = ORDER, keep: bool = False) -> DataFrame:

@@ -67,6 +67,11 @@ def _words(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[word], np.diff(at, append=len(chars))[word]
 
 
+def _with_room(a: np.ndarray, n: int) -> np.ndarray:
+    """``a``, longer if it holds fewer than ``n`` numbers."""
+    return a if len(a) >= n else np.concatenate((a, np.zeros(n, a.dtype)))
+
+
 class WordBpe:
     """Ids of a ``tokenizers`` JSON file as little-endian unsigned 16-bit bytes
     (32-bit where the vocabulary has over 65,536 entries)."""
@@ -92,26 +97,32 @@ class WordBpe:
             and kinds == ["NFC", "Replace", "Lowercase"]
             and spec["model"].get("end_of_word_suffix") == "</w>"
         )
-        if self._cuts:  # the same model, for texts already cut into words
-            self._model = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *pre[1:]]}}))
+        if self._cuts:  # the same model, held once, for texts already cut into words
+            bare = {"model": spec["model"] | {"vocab": {}, "merges": []}, "normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *pre[1:]]}}
+            self._model = Tokenizer.from_str(json.dumps(spec | bare))
+            self._model.model = self.library.model
             self._ends = np.zeros(self.library.get_vocab_size(), bool)
             self._ends[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
-        #: Ids of the words met before, and where each word's lie there: first and count.
-        self._pool, self._used, self._met = np.zeros(1 << 16, self.dtype), 0, 0
-        self._long: dict[bytes, tuple[int, int]] = {}  # words of over 16 bytes
-        # The others by seat: both halves of the word, zero in an empty seat, first and count.  A
-        # seat is the word's that came last to it; another that hashes there is learnt anew.
+        # The words met before are numbered from 1 as they come: both halves of a word of up to 16
+        # bytes, zero at 0, and where each word's ids begin in the pool; the next word's end them.
+        # The system gives memory to what is filled alone.
         seats = 1 << seats_log2
+        room = seats // 3 + 2
+        self._lo, self._hi, self._first = np.zeros(room, np.uint64), np.zeros(room, np.uint64), np.zeros(room, np.int32)
+        self._pool, self._used, self._met = np.zeros(max(1 << 16, 2 * seats), self.dtype), 0, 0
+        self._long: dict[bytes, int] = {}  # numbers of words of over 16 bytes
+        # The others' numbers by seat, 0 in an empty one.  A seat is the word's that came last to
+        # it; another that hashes there is learnt anew.
         self._shift = np.uint64(64 - seats_log2)
-        self._lo, self._hi = np.zeros(seats, np.uint64), np.zeros(seats, np.uint64)
-        self._at, self._n = np.zeros(seats, np.int32), np.zeros(seats, np.uint8)
+        self._seats = np.zeros(seats, np.int32)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _learn(self, new: list[bytes]) -> list[tuple[int, int]]:
-        """Where the ids of ``new`` words lie from now on."""
-        places = []
+    def _learn(self, new: list[bytes]) -> range:
+        """The numbers of ``new`` words from now on."""
+        numbers = range(self._met + 1, self._met + 1 + len(new))
+        self._lo, self._hi, self._first = (_with_room(a, numbers.stop + 1) for a in (self._lo, self._hi, self._first))
         for at in range(0, len(new), 256):
             part = new[at : at + 256]
             ids = np.array(self._model.encode(b" ".join(part).decode("latin-1"), add_special_tokens=False).ids, self.dtype)
@@ -119,14 +130,12 @@ class WordBpe:
             if len(ends) != len(part) or ends[-1] != len(ids):  # a word whose last character the vocabulary lacks
                 each = [np.frombuffer(self._whole(w.decode("latin-1")), self.dtype) for w in part]
                 ids, ends = np.concatenate(each), np.cumsum([len(x) for x in each])
-            if self._used + len(ids) > len(self._pool):
-                self._pool = np.concatenate((self._pool, np.zeros(len(self._pool) + len(ids), self.dtype)))
+            self._pool = _with_room(self._pool, self._used + len(ids))
             self._pool[self._used : self._used + len(ids)] = ids
-            first = np.append(0, ends[:-1])
-            places += zip((self._used + first).tolist(), (ends - first).tolist())
+            self._first[self._met + 2 : self._met + 2 + len(part)] = self._used + ends
             self._used += len(ids)
-        self._met += len(new)
-        return places
+            self._met += len(part)
+        return numbers
 
     def _look_up(self, raw: bytes, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first, count) in the pool of the ids of the words that lie at ``starts`` of ``raw``."""
@@ -137,23 +146,24 @@ class WordBpe:
         lo = (a >> shift | b << one << back) & _FIRST[np.minimum(lengths, 8)]
         hi = (b >> shift | c << one << back) & _FIRST[np.clip(lengths - 8, 0, 8)]
         seat = (mixed(lo, hi) >> self._shift).astype(np.int64)
-        first, count = self._at[seat], self._n[seat].astype(np.int32)
-        miss = np.flatnonzero((self._lo[seat] != lo) | (self._hi[seat] != hi) | (lengths > 16))
+        word = self._seats[seat]
+        miss = np.flatnonzero((self._lo[word] != lo) | (self._hi[word] != hi) | (lengths > 16))
         if len(miss):
             words = [raw[i:j] for i, j in zip(starts[miss].tolist(), (starts[miss] + lengths[miss]).tolist())]
             new = {w: i for w, i in zip(words, miss.tolist()) if w not in self._long}
-            places = dict(zip(new, self._learn(list(new))))
-            self._long.update((w, p) for w, p in places.items() if len(w) > 16)
-            first[miss], count[miss] = np.array([places.get(w) or self._long[w] for w in words], np.int32).T
+            numbers = dict(zip(new, self._learn(list(new))))
+            self._long.update((w, k) for w, k in numbers.items() if len(w) > 16)
+            word[miss] = [numbers.get(w) or self._long[w] for w in words]
             short = np.array([i for w, i in new.items() if len(w) <= 16], int)
-            for column, values in ((self._lo, lo), (self._hi, hi), (self._at, first), (self._n, count)):
-                column[seat[short]] = values[short]
-        return first, count
+            self._lo[word[short]], self._hi[word[short]] = lo[short], hi[short]
+            self._seats[seat[short]] = word[short]
+        first = self._first[word]
+        return first, self._first[word + 1] - first
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as bytes of :attr:`dtype`; a null text is empty."""
-        if self._met > len(self._lo) // 3:
-            self._lo.fill(0)
+        if self._met > len(self._seats) // 3:
+            self._seats.fill(0)
             self._long.clear()
             self._used = self._met = 0
         texts = [text or "" for text in texts]
