@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,6 +15,9 @@ LOCAL_SHARED = "/tmp/storyflow-checkpoints"
 #: Rows summed up together by :func:`offsets`.
 CHUNK = 256
 
+#: Whole texts handed to Python at once, at most: see :func:`text_batches`.
+TEXT_ROWS = 512
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, through Spark's own reader."""
@@ -64,6 +69,20 @@ def saved(df: DataFrame, *, codec: str = "snappy", folder: str | None = None) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def text_batches(spark: SparkSession) -> Iterator[None]:
+    """For jobs that run within it: Arrow batches of at most ``TEXT_ROWS`` rows.  A batch of
+    texts is held several times over, in the JVM outside its heap and in Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def text_of(column: str | Column = "text") -> Column:
     """The text, a null one being empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -169,7 +169,8 @@ def tokenised(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID)
             k += len(out)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
-    return common.saved(rows.mapInArrow(run, "doc_id long, part long, k long, ids binary, n long"), codec="zstd")
+    with common.text_batches(docs.sparkSession):
+        return common.saved(rows.mapInArrow(run, "doc_id long, part long, k long, ids binary, n long"), codec="zstd")
 
 
 def place(lengths: DataFrame, *, window: int = WINDOW, unit: int = UNIT, depth: int = DEPTH) -> DataFrame:

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from storyflow.llm import language, tokenizing
+from storyflow.llm import common, language, packing, tokenizing
 
 ENCODE = """
 def held():
@@ -62,3 +62,19 @@ def test_texts_go_to_the_language_model_once(spark, monkeypatch):
     assert [b.num_rows for b in given] == [602]
     back = list(run(given))
     assert max(b.num_rows for b in back) <= 256 and sum(b.num_rows for b in back) == 602
+
+
+def test_texts_go_to_the_tokenizer_in_small_batches(spark, monkeypatch):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, sizes = spark.conf.get(name), []
+    docs = spark.range(1500).coalesce(1).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    count = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches)
+    monkeypatch.setattr(common, "saved", lambda df, **_: sizes.extend(r.n for r in docs.mapInArrow(count, "n long").collect()) or df)
+    packing.tokenised(docs)
+    assert sum(sizes) == 1500 and max(sizes) <= 512 and spark.conf.get(name) == before
+    spark.conf.set(name, "100")
+    try:
+        with common.text_batches(spark):
+            assert spark.conf.get(name) == "100"
+    finally:
+        spark.conf.set(name, before)
