@@ -88,12 +88,14 @@ def council(c: Column | str, now: Column) -> Column:
     return F.when(seconds.isNotNull(), F.timestamp_micros(F.unix_micros(now) - seconds * 1_000_000)).otherwise(F.coalesce(whole, day))
 
 
-def from_path(url: Column | str, year: int) -> Column:
-    """The date in a URL's path: 3rd-may-yyyy, yyyy-mm-dd, yyyy/mm/dd or yyyy/mm, the year from 2000 to next.
-    A month's whole name or its first three letters count; a day that is none gives null."""
+def from_path(url: Column | str, year: Column | int) -> Column:
+    """The date in a URL's path: 3rd-may-yyyy, yyyy-mm-dd, yyyy/mm/dd or yyyy/mm, the year from 2000 to the one after
+    ``year``, in which the URL is read.  A month's whole name or its first three letters count; a day that is none gives null."""
     text = blank(url)
-    named = r"(?i)(?:^|/)(\d{1,2})(?:st|nd|rd|th)?-([a-z]+)-(20\d{2})(?:/|$)"
-    day, month, of = (F.regexp_extract(text, named, i) for i in (1, 2, 3))
+    year = F.lit(year) if isinstance(year, int) else year
+    named = r"(?i)(?:^|/)(\d{1,2})(?:st|nd|rd|th)?-([a-z]+)-(%s)(?:/|$)"
+    # Names go with years of 20xx; with later ones where these can be meant.
+    day, month, of = (F.when(year >= 2099, F.regexp_extract(text, named % r"[2-9]\d{3}", i)).otherwise(F.regexp_extract(text, named % r"20\d{2}", i)) for i in (1, 2, 3))
     spelt = F.concat_ws(" ", day, month, of)
     ordinal = F.coalesce(F.try_to_timestamp(spelt, F.lit("d MMMM yyyy")), F.try_to_timestamp(spelt, F.lit("d MMM yyyy")))
     is_named = (day != "") & F.lower(month).rlike(_MONTH_NAMES)
