@@ -88,7 +88,7 @@ def _cards(spark, sf):
     cards = stories(spark, sf).select(
         "pos", "source", title.alias("title"), F.when(p % 3 == 0, F.col("summary")).otherwise("").alias("summary"), F.when(p % 5 == 0, "1 May").otherwise("").alias("published"),
         F.concat(F.lit("https://x.org/"), F.element_at(F.array(*map(F.lit, tails)), (p % 10 + 1).cast("int"))).alias("url"), (p % 13 == 0).alias("has_metadata"), (p % 4 == 1).alias("broad_context"), (p % 3).alias("n_links"),
-        F.col("body").alias("card_text"), F.when(p % 8 == 0, F.col("body")).otherwise(title).alias("link_text"), F.when(p % 2 == 0, "x Tag-link").otherwise("plain").alias("marker"), F.when(p % 6 == 0, "i.jpg").otherwise("").alias("image"),
+        F.col("body").alias("card_text"), F.when(p % 8 == 0, F.col("body")).otherwise(F.col("title")).alias("link_text"), F.when(p % 2 == 0, "x Tag-link").otherwise("plain").alias("marker"), F.when(p % 6 == 0, "i.jpg").otherwise("").alias("image"),
     )
     return listings.rejection(cards, F.lit(_YEAR))
 

@@ -39,3 +39,13 @@ def test_named_path_dates_of_stories_years_ahead(spark, tmp_path):
     sf = documents(tmp_path / "sf", [(i + k, "t") for i in (3, 17544, 512_000, 657_000, 666_000, 672_000, 675_000, 3_080_000) for k in range(10)])
     mine, want = both(spark, sf, "dt6_named_path_dates", "documents")
     assert mine == want
+
+
+def one_line(tmp_path):
+    """Stories that are all title: the title alone, not the card's, is what their links say."""
+    return documents(tmp_path / "sf", [(i, f"Some words of story {i} on a single line") for i in range(10_000, 10_900)])
+
+
+def test_listing_rejection_of_stories_that_are_all_title(spark, tmp_path):
+    mine, want = both(spark, one_line(tmp_path), "f19_listing_rejection", "documents")
+    assert mine == want and any("navigation-first-page" in r for r in mine)
