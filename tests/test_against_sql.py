@@ -49,3 +49,8 @@ def one_line(tmp_path):
 def test_listing_rejection_of_stories_that_are_all_title(spark, tmp_path):
     mine, want = both(spark, one_line(tmp_path), "f19_listing_rejection", "documents")
     assert mine == want and any("navigation-first-page" in r for r in mine)
+
+
+def test_source_analysis_of_stories_that_are_all_title(spark, tmp_path):
+    mine, want = both(spark, one_line(tmp_path), "a15_source_analysis", "documents")
+    assert mine == want
