@@ -2,8 +2,8 @@
 
 For a table that is part of the plan (some thousands of phrases), :func:`found_in` reads a text
 once: one pattern, branched letter by letter, that looks ahead at every word's start.  For
-tables of any size :func:`matches` parts texts into words once and joins them with the
-phrases' first words; Spark broadcasts the table if it is small and shuffles by word if not.
+tables of any size :func:`matches` parts texts into words once and joins runs of them with whole
+phrases; Spark broadcasts the table if it is small and shuffles by run if not.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import written
+
 
 def branched(phrases: list[str], text: str = re.escape) -> str:
     """A pattern for any of ``phrases``, the longest at a place, whose common beginnings are common branches.
@@ -52,19 +54,31 @@ def found_in(text: Column, phrases: list[str]) -> Column:
     return F.array_distinct(F.flatten(F.transform(hits, lambda h: F.coalesce(F.try_element_at(table, h), F.array(h)))))
 
 
+def _joined(words: list[Column]) -> Column:
+    """Words as one text, different for different words; null where one is missing (:func:`_marked`)."""
+    return F.concat(*[x for w in words for x in (F.lit("\0\1"), w)])
+
+
+def _marked(words: Column) -> Column:
+    """Words in which NUL is doubled, so that it can part them; a null word is NUL and 2."""
+    return F.transform(words, lambda w: F.coalesce(F.replace(w, F.lit("\0"), F.lit("\0\0")), F.lit("\0\2")))
+
+
 def matches(texts: DataFrame, key: str, words: Column, phrases: DataFrame, most: int | None = None) -> DataFrame:
     """``key, phrase`` once for each phrase that a text holds.
 
-    ``words``: a text's words in order, as an array; ``phrases``: phrase, words.  Each word goes with as many
-    that follow as the longest phrase has (``most``; else asked of the table), is joined on the
-    first word, and the others are compared.  A null or empty text holds none."""
-    if most is None:
-        most = phrases.agg(F.max(F.size("words")).alias("n")).first()["n"] or 1
-    lists = texts.select(F.col(key).alias("_key"), words.alias("_w"))
-    shifted = [F.col("_w") if i == 0 else F.slice("_w", F.lit(i + 1), F.greatest(F.lit(0), F.size("_w") - i)) for i in range(most)]
-    rows = lists.where(F.size("_w") > 0).select("_key", F.inline(F.arrays_zip(*[s.alias(f"w{i}") for i, s in enumerate(shifted)])).alias(*[f"w{i}" for i in range(most)]))
-    table = phrases.select("phrase", F.col("words").alias("_p"), F.get("words", F.lit(0)).alias("w0"))
-    rest = F.lit(True)
-    for i in range(1, most):
-        rest = rest & ((F.size("_p") <= i) | F.col(f"w{i}").eqNullSafe(F.get("_p", F.lit(i))))
-    return rows.join(table, "w0").where(rest).select(F.col("_key").alias(key), "phrase").distinct()
+    ``words``: a text's words in order, as an array; ``phrases``: phrase, words; ``most``: of phrases with more
+    words, if given, only so many count.  For each length that phrases have, each word of a text goes with those that follow, and
+    is joined on all of them at once: no row is made for phrases that only begin alike.  A null or empty text holds none."""
+    table = phrases.select("phrase", (F.slice("words", 1, most) if most else F.col("words")).alias("_p")).where(F.get("_p", F.lit(0)).isNotNull())
+    table = written(table.select("phrase", F.size("_p").alias("_n"), F.aggregate(_marked(F.col("_p")), F.lit(""), lambda s, w: F.concat(s, F.lit("\0\1"), w)).alias("_g")))
+    lengths = sorted(r["_n"] for r in table.select("_n").distinct().collect())
+    if not lengths:
+        return texts.select(F.col(key), F.lit(None).cast(phrases.schema["phrase"].dataType).alias("phrase")).limit(0)
+    names = [f"w{i}" for i in range(lengths[-1])]
+    lists = texts.select(F.col(key).alias("_key"), _marked(words).alias("_w"))
+    shifted = [F.col("_w") if i == 0 else F.slice("_w", F.lit(i + 1), F.greatest(F.lit(0), F.size("_w") - i)) for i in range(len(names))]
+    rows = lists.where(F.size("_w") > 0).select("_key", F.inline(F.arrays_zip(*[s.alias(n) for s, n in zip(shifted, names)])).alias(*names))
+    grams = [_joined([F.col(w) for w in names[:n]]) for n in lengths]
+    rows = rows.select("_key", (grams[0] if len(grams) == 1 else F.explode(F.array(*grams))).alias("_g")).where(F.col("_g").isNotNull())
+    return rows.join(table.select("phrase", "_g"), "_g").select(F.col("_key").alias(key), "phrase").distinct()

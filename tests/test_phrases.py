@@ -50,3 +50,24 @@ def test_the_join_finds_the_same_and_takes_a_large_table(spark):
     assert {r["i"]: r["k"] for r in row if r["k"]} == {i: sorted(k) for i, k in found.items()}
     many = table.unionByName(spark.range(100_000).select(F.concat(F.lit("w"), F.col("id").cast("string"), F.lit(" x")).alias("phrase")).withColumn("words", F.split("phrase", " ")))
     assert phrases.matches(df, "i", words, many).count() == sum(map(len, found.values()))
+
+
+def test_phrases_that_begin_alike_make_no_rows(spark):
+    n = 400
+    table = spark.createDataFrame([(f"p{i}", ["the", f"a{i}", "x"]) for i in range(n)] + [("one", ["the"]), ("nul", ["a\0\1b"]), ("two", ["a\0", "b"]), ("none", [])], "phrase string, words array<string>")
+    texts = spark.createDataFrame([(k, ["the"] * 50 + [f"a{k}", "x"] + ["a\0", "b"] * (k == 7)) for k in range(n)] + [(-1, []), (-2, None)], "k long, w array<string>")
+    found = phrases.matches(texts, "k", F.col("w"), table)
+    got = {tuple(r) for r in found.collect()}
+    assert got == {(k, f"p{k}") for k in range(n)} | {(k, "one") for k in range(n)} | {(7, "two")}
+    # Rows that meet in the join are matches, repeats counted: nothing is left to compare.
+    plan, joined = found._jdf.queryExecution().executedPlan(), []
+
+    def walk(p):
+        p = p.finalPhysicalPlan() if p.nodeName() == "AdaptiveSparkPlan" else p.plan() if "QueryStage" in p.nodeName() else p
+        if "Join" in p.nodeName():
+            joined.append((p.metrics().apply("numOutputRows").value(), p.condition().isEmpty()))
+        for i in range(p.children().size()):
+            walk(p.children().apply(i))
+
+    walk(plan)
+    assert joined == [(n * 51 + 1, True)]
