@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..data.boilerplate import ANSWER_FURNITURE
 from ..data.rules import DETAIL_PREFIXES, DETAIL_UI_LINES
-from ..functions.text import blank, casefold, clean
+from ..functions.text import blank, bound, casefold, clean
 from .filters import meaningful_summary
 
 #: Fixed pattern: a council's name.
@@ -76,10 +76,14 @@ def laid_out(c: Column | str, least: int = 500) -> Column:
     """Paragraphs between blank lines; a long single block becomes paragraphs of two sentences."""
     raw = F.regexp_replace(blank(c), r"\r\n?", "\n")
     parts = F.filter(F.transform(F.split(raw, r"\n\s*\n"), lambda p: clean(p)), lambda p: p != "")
-    one = blank(F.get(parts, F.lit(0)))
-    sentences = F.split(one, r"(?<=[.!?])\s+(?=[A-Z0-9‘“])")
-    pairs = F.transform(F.sequence(F.lit(0), F.size(sentences) - 1, F.lit(2)), lambda i: F.trim(F.array_join(F.slice(sentences, i + 1, F.lit(2)), " ")))
-    return F.when(F.size(parts) > 1, F.array_join(parts, "\n\n")).when((F.char_length(one) < least) | (F.size(sentences) < 3), one).otherwise(F.array_join(pairs, "\n\n"))
+
+    def pairs(sentences: Column) -> Column:
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.size(sentences) - 1, F.lit(2)), lambda i: F.trim(F.array_join(F.slice(sentences, i + 1, F.lit(2)), " "))), "\n\n")
+
+    def single(one: Column) -> Column:
+        return F.when(F.char_length(one) < least, one).otherwise(bound(F.split(one, r"(?<=[.!?])\s+(?=[A-Z0-9‘“])"), lambda s: F.when(F.size(s) < 3, one).otherwise(pairs(s))))
+
+    return bound(parts, lambda p: F.when(F.size(p) > 1, F.array_join(p, "\n\n")).otherwise(bound(blank(F.get(p, F.lit(0))), single)))
 
 
 def without_sharing(c: Column | str) -> Column:
