@@ -38,24 +38,29 @@ def _words(c: Column) -> Column:
 
 def trimmed_summary(c: Column | str, most: int = 70, least: int = 30) -> Column:
     """At most so many words: back to the last sentence's end if enough words remain, else with an ellipsis."""
-    words = _words(clean(c))
-    cut = F.array_join(F.slice(words, 1, most), " ")
-    whole = F.trim(F.regexp_extract(cut, r"(?s)^(.*[.!?])(?=\s|\z)", 1))
-    open_ = F.concat(F.regexp_replace(cut, r"[ ,;:-]+\z", ""), F.when(cut.rlike(r"[.!?]\z"), "").otherwise("…"))
-    return F.when(F.size(words) <= most, F.array_join(words, " ")).when((whole != "") & (F.size(_words(whole)) >= least), whole).otherwise(open_)
+
+    def trimmed(words: Column) -> Column:
+        whole = lambda cut: F.trim(F.regexp_extract(cut, r"(?s)^(.*[.!?])(?=\s|\z)", 1))
+        open_ = lambda cut: F.concat(F.regexp_replace(cut, r"[ ,;:-]+\z", ""), F.when(cut.rlike(r"[.!?]\z"), "").otherwise("…"))
+        short = bound(F.array_join(F.slice(words, 1, most), " "), lambda cut: bound(whole(cut), lambda w: F.when((w != "") & (F.size(_words(w)) >= least), w).otherwise(open_(cut))))
+        return F.when(F.size(words) <= most, F.array_join(words, " ")).otherwise(short)
+
+    return bound(_words(clean(c)), trimmed)
 
 
 def summary_from_body(c: Column | str, least: int = 30, most: int = 70) -> Column:
-    """The opening paragraphs that say something, each once, until there are enough words."""
-    tidy = F.transform(F.split(blank(c), r"\n\s*\n|\r\n\s*\r\n"), lambda p: meaningful_summary(p))
-    said = F.filter(tidy, lambda p: p != "")
-    folded = F.transform(said, casefold)
-    once = F.filter(said, lambda p, i: F.array_position(folded, casefold(p)) == i + 1)
-    start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("n"), F.lit(False).alias("done"))
-    add = lambda a, p: F.when(a["done"] | ((F.size(a["kept"]) > 0) & (a["n"] >= least)), F.struct(a["kept"].alias("kept"), a["n"].alias("n"), F.lit(True).alias("done"))).otherwise(
-        F.struct(F.concat(a["kept"], F.array(p)).alias("kept"), (a["n"] + F.size(_words(p))).alias("n"), (a["n"] + F.size(_words(p)) >= most).alias("done"))
-    )
-    return trimmed_summary(F.aggregate(once, start, add, lambda a: F.array_join(a["kept"], " ")), most, least)
+    """The opening paragraphs that say something, each once, until there are enough words; those behind are not read."""
+    state = lambda kept, n, done: F.struct(kept.alias("kept"), n.alias("n"), done.alias("done"))
+    start = state(F.array().cast("array<string>"), F.lit(0), F.lit(False))
+
+    def said(a: Column, p: Column) -> Column:
+        again = (p == "") | F.exists(a["kept"], lambda k: casefold(k) == casefold(p))
+        more = bound(a["n"] + F.size(_words(p)), lambda n: state(F.concat(a["kept"], F.array(p)), n, n >= min(least, most)))
+        return F.when(again, a).otherwise(more)
+
+    add = lambda a, p: F.when(a["done"], a).otherwise(bound(meaningful_summary(p), lambda x: said(a, x)))
+    opening = F.aggregate(F.split(blank(c), r"\n\s*\n|\r\n\s*\r\n"), start, add, lambda a: F.array_join(a["kept"], " "))
+    return trimmed_summary(opening, most, least)
 
 
 def ensured_summary(summary: Column | str, others: list[Column | str], body: Column | str) -> Column:
