@@ -14,11 +14,13 @@ import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime, timedelta
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
 ITEM = "id string, created timestamp, payload string"
 
 
@@ -31,16 +33,64 @@ def instant(text: str) -> datetime | None:
     return found.astimezone(UTC) if found.tzinfo else None
 
 
+@lru_cache(maxsize=4)
+def _groups(root: str, files: tuple[str, ...]) -> list[tuple]:
+    """Latest and earliest time, number of rows with a time and reader of each row group of a Parquet table."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    import pyarrow.dataset as ds
+
+    utc, moment, out = pa.timestamp("us", "UTC"), timedelta(microseconds=1), []
+    for f in ds.dataset(root, format="parquet").get_fragments():
+        f.ensure_complete_metadata()
+        for group in f.row_groups:
+            part, meta = f.subset(row_group_ids=[group.id]), f.metadata.row_group(group.id)
+            found = next((c.statistics for c in map(meta.column, range(meta.num_columns)) if c.path_in_schema == "created"), None)
+            if found is not None and found.has_min_max and found.has_null_count and isinstance(found.max, datetime):
+                least, most, n = found.min, found.max, meta.num_rows - found.null_count
+            else:
+                times = part.to_table(columns={"created": pc.field("created").cast(utc)}).column(0)
+                span, n = pc.min_max(times), len(times) - times.null_count
+                least, most = span["min"].as_py(), span["max"].as_py()
+            if n:
+                aware = lambda t: t.astimezone(UTC) if t.tzinfo else t.replace(tzinfo=UTC)
+                out.append((aware(most) + moment, aware(least) - moment, n, part))
+    return sorted(out, key=lambda g: g[0], reverse=True)
+
+
 def parquet_pages(root: str, lower: datetime, upper: datetime, offset: int, limit: int) -> dict:
-    """The built-in interface: a Parquet table (id, created, payload), newest first, as if it were served by pages."""
+    """The built-in interface: a Parquet table (id, created, payload), newest first, as if it were served by pages.
+
+    The footers tell how many rows each row group holds and of what times, so how many rows come before it at least and
+    at most; a page reads only the groups that these allow to hold a row of it.  Of a table that is written in the order of time
+    these are two or three, also where rows of one time lie in several."""
+    import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
     import pyarrow.dataset as ds
 
     created = pc.field("created").cast(pa.timestamp("us", "UTC"))
-    found = ds.dataset(root, format="parquet").to_table(filter=(created >= lower) & (created <= upper), columns=["id", "created", "payload"])
-    rows = found.sort_by([("created", "descending"), ("id", "descending")]).slice(offset, limit).to_pylist()
-    return {"item": [{"id": r["id"], "created": r["created"].replace(tzinfo=UTC).isoformat(), "payload": r["payload"]} for r in rows], "total": found.num_rows}
+    within = (created >= lower) & (created <= upper)
+    groups = [g for g in _groups(root, tuple(ds.dataset(root, format="parquet").files)) if g[0] >= lower and g[1] <= upper]
+    n = np.array([g[2] if lower <= g[1] and g[0] <= upper else g[3].count_rows(filter=within) for g in groups], np.int64)
+    latest, earliest = (np.array([(g[i] - EPOCH) // timedelta(microseconds=1) for g in groups], np.int64) for i in (0, 1))
+
+    def rows_after(bounds: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The rows of the groups whose bound is greater than each of ``at``."""
+        order = np.argsort(bounds)
+        sums = np.concatenate([[0], np.cumsum(n[order])])
+        return sums[-1] - sums[np.searchsorted(bounds[order], at, "right")]
+
+    total = int(n.sum())
+    first = rows_after(earliest, latest)  # groups wholly later
+    last = total - rows_after(-latest, -earliest)  # all but groups wholly earlier
+    chosen = np.nonzero((first < offset + limit) & (last > offset) & (n > 0))[0]
+    before = int(n[last <= offset].sum())
+    rows = []
+    if len(chosen):
+        found = pa.concat_tables([groups[i][3].to_table(filter=within, columns=["id", "created", "payload"]) for i in chosen])
+        rows = found.sort_by([("created", "descending"), ("id", "descending")]).slice(offset - before, limit).to_pylist()
+    return {"item": [{"id": r["id"], "created": r["created"].replace(tzinfo=UTC).isoformat(), "payload": r["payload"]} for r in rows], "total": total}
 
 
 @dataclass

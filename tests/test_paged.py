@@ -91,3 +91,37 @@ def test_batch_read_has_the_same_window(spark, source):
 
 def test_times_without_a_zone_are_none():
     assert paged.instant("2024-01-01T00:00:00") is None and paged.instant("x") is None and paged.instant("2024-01-01T01:00:00+01:00") == datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC)
+
+
+def test_a_page_reads_the_row_groups_that_it_is_in(tmp_path, monkeypatch):
+    import random
+    from datetime import UTC, datetime, timedelta
+
+    import pyarrow as pa
+    import pyarrow.dataset as ds
+    import pyarrow.parquet as pq
+
+    from storyflow.sources import paged
+
+    rnd, zero = random.Random(3), datetime(2024, 1, 1, tzinfo=UTC)
+    rows = [(str(i), None if i % 50 == 0 else zero + timedelta(minutes=rnd.randrange(2000)), "p") for i in range(3000)]
+    for name, given, kind in (("mixed", rows, pa.timestamp("us")), ("sorted", sorted(rows, key=lambda r: (r[1] or zero, r[0]), reverse=True), pa.timestamp("us", "UTC"))):
+        (tmp_path / name).mkdir()
+        for f in range(3):
+            part = given[f * 1000 : f * 1000 + 1000]
+            t = pa.table({"id": [r[0] for r in part], "created": pa.array([r[1] and (r[1] if kind.tz else r[1].replace(tzinfo=None)) for r in part], kind), "payload": [r[2] for r in part]})
+            pq.write_table(t, str(tmp_path / name / f"{f}.parquet"), row_group_size=100, write_statistics=name == "sorted")
+        for lower, upper in ((0, 2000), (300, 1500), (700, 701), (5000, 6000)):
+            low, up = zero + timedelta(minutes=lower), zero + timedelta(minutes=upper)
+            want = [r[0] for r in sorted((r for r in rows if r[1] and low <= r[1] <= up), key=lambda r: (r[1], r[0]), reverse=True)]
+            got = []
+            for at in range(0, len(want) + 1, 70):
+                page = paged.parquet_pages(str(tmp_path / name), low, up, at, 70)
+                assert page["total"] == len(want)
+                got += [r["id"] for r in page["item"]]
+            assert got == want
+    seen = []
+    table = pa.concat_tables
+    monkeypatch.setattr(pa, "concat_tables", lambda ts: (seen.extend(t.num_rows for t in ts), table(ts))[1])
+    paged.parquet_pages(str(tmp_path / "sorted"), zero, zero + timedelta(days=9), 1500, 70)
+    assert 70 <= sum(seen) <= 500
