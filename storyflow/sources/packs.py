@@ -72,6 +72,14 @@ def zipped(row) -> bytes:
     return out.getvalue()
 
 
+def _store(path: str):
+    """The file system of a folder, and its path there."""
+    from pyarrow import fs
+
+    uri = path.replace("s3a://", "s3://", 1)
+    return fs.FileSystem.from_uri(uri) if ":/" in uri else (fs.LocalFileSystem(), uri)
+
+
 @dataclass
 class Attempt(WriterCommitMessage):
     """What a task's attempt wrote."""
@@ -87,10 +95,7 @@ class PackWriter(DataSourceWriter):
         self.path, self.overwrite, self.job = path.rstrip("/"), overwrite, uuid.uuid4().hex
 
     def _store(self):
-        from pyarrow import fs
-
-        uri = self.path.replace("s3a://", "s3://", 1)
-        return fs.FileSystem.from_uri(uri) if ":/" in uri else (fs.LocalFileSystem(), uri)
+        return _store(self.path)
 
     def write(self, iterator: Iterator) -> Attempt:
         store, root = self._store()
@@ -148,18 +153,41 @@ class StoryPacks(DataSource):
 
 
 def read_packs(spark, folder: str) -> DataFrame:
-    """The packs of all committed jobs in a folder: name, file and text of each of their files."""
+    """The packs of all committed jobs in a folder: name, file and text of each of their files.
+
+    The driver lists the folders of tasks alone; each of these is listed and read by a task of its own, so
+    that no process holds the names of all packs."""
+    from pyarrow import fs
+
+    path = folder.rstrip("/")
+    store, root = _store(path)
+    below = lambda at, prefix: [f.base_name for f in store.get_file_info(fs.FileSelector(at, allow_not_found=True)) if f.base_name.startswith(prefix)]
+    parts = [(f"{job}/{part}",) for job in below(root, "job-") for part in below(f"{root}/{job}", "part-")]
 
     def opened(batches):
         import pyarrow as pa
+        from pyarrow import fs
 
-        for batch in batches:
-            rows = []
-            for path, content in zip(*(c.to_pylist() for c in batch.columns)):
-                name = path.rsplit("/", 1)[-1].removesuffix(".zip")
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    rows += [(name, f, archive.read(f).decode()) for f in archive.namelist()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["name", "file", "text"])
+        store, root = _store(path)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(f"{folder}/job-*/part-*")
-    return files.select("path", "content").mapInArrow(opened, "name string, file string, text string")
+        def batch(rows):
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["name", "file", "text"])
+
+        for part in (p for b in batches for p in b.column(0).to_pylist()):
+            rows, size = [], 0
+            for found in store.get_file_info(fs.FileSelector(f"{root}/{part}")):
+                if not found.base_name.endswith(".zip"):
+                    continue
+                with store.open_input_stream(found.path) as f:
+                    content = f.read()
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    rows += [(found.base_name.removesuffix(".zip"), n, archive.read(n).decode()) for n in archive.namelist()]
+                size += len(content)
+                if len(rows) >= 1500 or size >= 1 << 20:
+                    yield batch(rows)
+                    rows, size = [], 0
+            if rows:
+                yield batch(rows)
+
+    listed = spark.createDataFrame(parts, "part string").repartition(max(1, len(parts)), "part")
+    return listed.mapInArrow(opened, "name string, file string, text string")

@@ -71,3 +71,17 @@ def test_a_job_that_fails_leaves_nothing(spark, tmp_path):
 def test_a_pack_is_the_same_bytes_each_time():
     row = {"name": "n", **dict.fromkeys(packs.FILES, "x"), "metadata": '{"a":"é"}'}
     assert packs.zipped(row) == packs.zipped(row)
+
+
+def test_the_driver_lists_the_folders_of_tasks_alone(spark, tmp_path, monkeypatch):
+    from pyarrow import fs
+
+    spark.dataSource.register(packs.StoryPacks)
+    rows = [(f"s-{i}", *["t"] * 5, "{}") for i in range(300)]
+    spark.createDataFrame(rows, packs.PACK).repartition(3).write.format("story_packs").mode("append").save(str(tmp_path / "p"))
+    found, selector = [], fs.FileSelector
+    monkeypatch.setattr(fs, "FileSelector", lambda at, **options: (found.append(at), selector(at, **options))[1])
+    read = packs.read_packs(spark, str(tmp_path / "p"))
+    assert found and all("/part-" not in at for at in found)
+    assert not read.inputFiles()  # Spark's own listing would hold every pack
+    assert {r.name for r in read.collect()} == {r[0] for r in rows} and read.count() == 300 * 6
