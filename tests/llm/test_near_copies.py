@@ -60,3 +60,13 @@ def test_no_pair_is_lost_or_added(spark, crowd):
     docs = made()
     assert rows(simhash.keep_first(documents(spark, docs), shingle=5, similarity=(4, 5), crowd=crowd), "doc_id") == brute_kept(docs)
     assert simhash.keep_first(documents(spark, docs).limit(0), shingle=5, similarity=(4, 5)).count() == 0
+
+
+@pytest.mark.parametrize("common", [0, 5])
+def test_common_shingles_change_the_order_alone(spark, monkeypatch, common):
+    """However few shingles are known to be common, the rows kept are those of brute force."""
+    from storyflow.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "COMMON", common)
+    docs = made()
+    assert rows(simhash.keep_first(documents(spark, docs), shingle=5, similarity=(4, 5), crowd=3), "doc_id") == brute_kept(docs)
